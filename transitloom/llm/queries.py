@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
 from .bpe import encode_texts
+from .exact_dedup import FIND_COPIES_SQL, find_copies
+from .near_dedup import find_near_copies
 from .token_counts import count_tokens
+from .url_filters import FILTER_URLS_SQL, RULES, filter_urls, rule_table
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +20,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(table(spark, sf_dir, "documents"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_near_copies(table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_bpe": op4_bpe,
+    "op8_url_filters": op8_url_filters,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filters": FILTER_URLS_SQL,
+    "op9_exact_dedup": FIND_COPIES_SQL,
+}

@@ -61,7 +61,7 @@ class LengthTable:
 
     def unpack(self) -> dict[str, int]:
         ends = np.cumsum(self.sizes, dtype=np.int64).tolist()
-        starts = [0, *ends[:-1]]
+        starts = [0, *ends][: len(ends)]
         return {self.blob[a:b].decode(): n for a, b, n in zip(starts, ends, self.tokens.tolist(), strict=True)}
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 #: The code points with the Unicode property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 chunks = CHUNK.findall
 

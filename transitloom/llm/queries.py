@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import table
 from .bpe import encode_texts
 from .exact_dedup import FIND_COPIES_SQL, find_copies
+from .fingerprints import fingerprint_edits
 from .near_dedup import find_near_copies
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 from .url_filters import FILTER_URLS_SQL, RULES, filter_urls, rule_table
 
 
@@ -20,6 +22,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"), keep_texts=False)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
@@ -35,6 +45,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_toxicity": op6_toxicity,
     "op8_url_filters": op8_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,

@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
 from .bpe import encode_texts
 from .exact_dedup import FIND_COPIES_SQL, find_copies
 from .fingerprints import fingerprint_edits
+from .mixing import DIMENSIONS, MIX_SQL, mix_corpus
 from .near_dedup import find_near_copies
+from .pii import KINDS, find_private, joined
+from .quality import classify_quality
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .url_filters import FILTER_URLS_SQL, RULES, filter_urls, rule_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_corpus(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), *DIMENSIONS, "tokens", "probability", "kept")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -30,6 +43,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in KINDS]
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
@@ -43,16 +65,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_url_filters": op8_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": MIX_SQL,
     "op8_url_filters": FILTER_URLS_SQL,
     "op9_exact_dedup": FIND_COPIES_SQL,
 }

@@ -6,12 +6,13 @@ signature's minwise tokens on average (one, and at times a second, by a hash of
 path) and each document goes to a child for each selected token; so two documents of the
 wanted similarity are expected to share a child at every level, while others part.
 
-In every node all documents are compared with its smallest one, a star; the links of a star
-are confirmed on the full sets and joined to components. A node whose documents all are in
-one component has nothing left to find and ends there, however many near copies it holds.
-A small node of several components has all its pairs across components compared; a large
-one branches again. So no group's pairs are ever listed, no node is cut short, and a hot
-node is dealt over many tasks (its star is an equi-join with one row on the hub's side).
+In every node all documents are compared with a few of them, the pivots; links are confirmed
+on the full sets and joined to components. A node whose documents all are in one component
+has nothing left to find and ends there, however many near copies it holds. Where few are
+outside the node's main component, these are compared with all of the node, which is every
+pair that could still join components. Any other node branches again. So no group's pairs
+are ever listed and no node is cut short; a large node is dealt in pieces over many tasks,
+each with its own copy of the node's few pivots or outsiders.
 """
 
 from __future__ import annotations
@@ -25,16 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, text_or_empty, written
+from .common import if_small, partitions, text_or_empty, written
 from .components import components
 from .shingles import MULTIPLIER, mix, multipliers, set_key, shingle_set, signature, similar
 
 #: Minwise tokens in a signature.
-TOKENS = 96
-#: Nodes up to this size are compared pair by pair.
-SMALL_NODE = 24
+TOKENS = 160
+#: Documents of a node, on average, with which all of it is compared at first.
+PIVOTS = 32
+#: Outsiders up to this number are compared with all of their node.
+FEW = 512
+#: A node's documents that one piece of it holds.
+PIECE = 256
 #: Standard deviations that an estimate may lie below the wanted similarity.
-SLACK = 4
+SLACK = 3.5
 CACHED_SETS = 64
 
 
@@ -52,7 +57,7 @@ def _binary_rows(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, key, sig): the size of each text's shingle set, its digest and its signature."""
+    """(id, n, key, sig): the size of each text's shingle set, its digest and its signature of 32-bit tokens."""
     by = multipliers(TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,6 +74,17 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
     return read.mapInArrow(run, "id long, n long, key binary, sig binary")
 
 
+def shortened(reps: DataFrame) -> DataFrame:
+    """With ``short``: the low byte of each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shorts = [x[::4] for x in batch.column(2).to_pylist()]  # tokens are little-endian
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shorts, pa.binary())], ["rep", "n", "sig", "short"])
+
+    return reps.mapInArrow(run, "rep long, n long, sig binary, short binary")
+
+
 def branch(nodes: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
     """(node, rep): the children of (node, rep, sig) rows; with ``trees``, of that many roots."""
     second = int((1 / similarity - 1) * (1 << 63)) * 2
@@ -95,20 +111,61 @@ def branch(nodes: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
     return nodes.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose set sizes and signatures leave the wanted similarity possible."""
-    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS)
+def met(rows: DataFrame, reps: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Likely pairs (a, b) of a node's probes with its documents, across components.
+
+    rows: (node, rep, c, size, probe). Signatures are compared by the low bytes of their
+    tokens. With ``best``, only each document's best probe and each probe's best document of
+    a piece; otherwise all whose set sizes and signatures leave the similarity possible.
+    """
+    least = TOKENS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS))
+
+    def pairs_of(probes: list[tuple], docs: list[tuple]) -> Iterator[tuple[int, int]]:
+        matrix = np.frombuffer(b"".join(x[3] for x in probes), np.uint8).reshape(-1, TOKENS)
+        rep, comp, size = (np.array([x[k] for x in probes]) for k in range(3))
+        top: dict[int, tuple[int, int]] = {}
+        for own, c, n, short in docs:
+            some = np.flatnonzero((comp != c) & (np.minimum(size, n) >= similarity * np.maximum(size, n) - 1e-6))
+            if not len(some):
+                continue
+            same = (matrix[some] == np.frombuffer(short, np.uint8)).sum(axis=1)
+            likely = np.flatnonzero(same >= least)
+            if not len(likely):
+                continue
+            if not best:
+                yield from ((own, int(r)) for r in rep[some[likely]])
+                continue
+            yield own, int(rep[some[likely[same[likely].argmax()]]])
+            for k in likely:
+                if same[k] > top.get(some[k], (0, 0))[0]:
+                    top[some[k]] = (int(same[k]), own)
+        yield from ((own, int(rep[k])) for k, (_, own) in top.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, probes, docs = None, [], []
         for batch in batches:
-            if batch.num_rows:
-                same = (_binary_rows(batch.column(2), TOKENS, "<u4") == _binary_rows(batch.column(3), TOKENS, "<u4")).mean(axis=1)
-                kept = np.flatnonzero(same >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept))], ["a", "b"])
-
-    of = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    sized = pairs.join(of("b"), "b").join(of("a"), "a").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - F.lit(1e-6))
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+            found: set[tuple[int, int]] = set()
+            for node, piece, probe, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (node, piece) != at or len(docs) >= PIECE:
+                    if probes and docs:
+                        found.update(pairs_of(probes, docs))
+                    docs = []
+                    if (node, piece) != at:
+                        at, probes = (node, piece), []
+                (probes if probe else docs).append(tuple(row))
+            yield _pair_batch(found)
+        if probes and docs:
+            yield _pair_batch(set(pairs_of(probes, docs)))
+
+    shown = rows.join(reps.select("rep", "n", "short"), "rep").withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int"))
+    docs = shown.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")).withColumn("probe", F.lit(False))
+    probes = shown.filter("probe").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = probes.unionByName(docs).repartition(partitions(rows.sparkSession), "node", "piece").sortWithinPartitions("node", "piece", F.desc("probe"), "rep")
+    return dealt.select("node", "piece", "probe", "rep", "c", "n", "short").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -150,42 +207,53 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = written(document_sets(docs, id_col, text_col, words), "near-sets")
     classes = written(sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep")), "near-classes")
     # a class's rows share set and signature; its smallest id's row stands for it
-    reps = written(sets.join(classes.select(F.col("rep").alias("id"), "rep", "key"), ["id", "key"]).dropDuplicates(["rep"]).select("rep", "n", "sig"), "near-reps")
+    reps = sets.join(classes.select(F.col("rep").alias("id"), "rep", "key"), ["id", "key"]).dropDuplicates(["rep"])
+    reps = written(shortened(reps.select("rep", "n", "sig")), "near-reps")
     compared: list[DataFrame] = []
     links: list[DataFrame] = []
-    held: list[DataFrame] = []
-
-    def compare(pairs: DataFrame) -> None:
-        for old in compared:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = written(likely(pairs, reps, similarity), "near-likely")
-        links.append(written(confirmed(pairs, docs, id_col, text_col, words, percent).distinct(), "near-links"))
-        compared.append(pairs)
+    labels = None
 
-    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("c", F.col("rep"))
         return rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the nodes that hold several components."""
-        several = rows.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("node")
-        return rows.join(several, "node", "left_semi")
-
+    def compare(rows: DataFrame, best: bool) -> None:
+        """Confirm the likely pairs not seen before, and bring the labels up to date."""
+        nonlocal labels
+        pairs = met(labelled(rows), reps, similarity, best)
+        if compared:
+            pairs = pairs.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
+        compared.append(written(pairs, "near-pairs"))
+        links.append(written(confirmed(compared[-1], docs, id_col, text_col, words, percent).distinct(), "near-links"))
+        if labels is None or not links[-1].isEmpty():
+            labels = components(reduce(DataFrame.union, links))
+
+    def unfinished(rows: DataFrame) -> DataFrame:
+        """(node, rep, size, probe, outsiders) of the nodes with several components; probes are outside the main one."""
+        own = labelled(rows.select("node", "rep", "size"))
+        main = own.groupBy("node", "c").count().groupBy("node").agg(F.max(F.struct("count", "c")).alias("main"), F.sum("count").alias("all"))
+        main = main.select("node", F.col("main.c").alias("main"), (F.col("all") - F.col("main.count")).alias("outsiders")).filter("outsiders > 0")
+        return own.join(main, "node").select("node", "rep", "size", (F.col("c") != F.col("main")).alias("probe"), "outsiders")
+
+    few: list[DataFrame] = []
     rows = branch(reps.withColumn("node", F.lit(0).cast("long")), similarity, trees_for(recall, similarity, 4))
     while True:
-        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).filter("size > 1")
-        held.append(written(rows.join(nodes, "node"), "near-nodes"))
-        compare(held[-1].filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-        labels = components(reduce(DataFrame.union, links))
-        large = written(mixed(labelled(held[-1].filter(F.col("size") > SMALL_NODE), labels)).select("node", "rep"), "near-large")
-        if large.isEmpty():
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        held = written(rows.join(sizes, "node"), "near-nodes")
+        draw = F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        compare(held.withColumn("probe", draw < PIVOTS / F.col("size")), best=True)
+        left = written(unfinished(held), "near-left")
+        few.append(left.filter(F.col("outsiders") <= FEW))
+        many = left.filter(F.col("outsiders") > FEW)
+        if many.isEmpty():
             break
-        rows = written(branch(large.join(reps, "rep"), similarity), "near-rows")
-    small = reduce(DataFrame.union, [x.filter(F.col("size") <= SMALL_NODE) for x in held]).select("node", "rep")
-    small = written(mixed(labelled(small, labels)).select("node", "rep", "c"), "near-small")
-    left, right = small.select("node", F.col("rep").alias("a"), F.col("c").alias("c_a")), small.select("node", F.col("rep").alias("b"), F.col("c").alias("c_b"))
-    compare(left.join(right, "node").filter("a < b and c_a <> c_b").select("a", "b").distinct())
-    if not links[-1].isEmpty():
-        labels = components(reduce(DataFrame.union, links))
+        rows = written(branch(many.select("node", "rep").join(reps, "rep"), similarity), "near-rows")
+    last = reduce(DataFrame.union, few)
+    for best in (True, False):
+        # by now most outsiders have joined: the rest meets all of its node
+        last = written(unfinished(last), "near-few")
+        compare(last, best)
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("c", "rep").alias("component_id"))
     out = sets.select("id", "n", "key").join(written(named, "near-named"), "key", "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))

@@ -17,6 +17,7 @@ each with its own copy of the node's few pivots or outsiders.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -35,12 +36,19 @@ TOKENS = 160
 #: Documents of a node, on average, with which all of it is compared at first.
 PIVOTS = 32
 #: Outsiders up to this number are compared with all of their node.
-FEW = 512
+FEW = 1024
 #: A node's documents that one piece of it holds.
 PIECE = 256
 #: Standard deviations that an estimate may lie below the wanted similarity.
 SLACK = 3.5
 CACHED_SETS = 64
+#: Hashes of a set in the sketch that settles doubtful pairs; a smaller set is told exactly.
+SKETCH = 256
+#: Levels of a tree from one comparison with pivots to the next; those between only part what differs.
+LEVELS_BETWEEN = 4
+#: Bytes of signatures that go to all executors; more are joined by a shuffle.
+FEW_BYTES = 16 << 20
+NOT_A_HASH = np.uint64(1 << 32)
 
 
 def trees_for(recall: float, similarity: float, depth: int) -> int:
@@ -57,7 +65,7 @@ def _binary_rows(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, key, sig): the size of each text's shingle set, its digest and its signature of 32-bit tokens."""
+    """(id, n, key, sig, uid): the size of each text's shingle set, its digest and its signature of 32-bit tokens; uid names the row."""
     by = multipliers(TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +79,19 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["id", "n", "key", "sig"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return read.mapInArrow(run, "id long, n long, key binary, sig binary")
+    return read.mapInArrow(run, "id long, n long, key binary, sig binary").withColumn("uid", F.monotonically_increasing_id())
+
+
+def sketches(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(rep, sketch): the high halves of the SKETCH smallest hashes of each wanted text's set, in order; of a smaller set all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [(shingle_set(t, words)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["rep", "sketch"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).cast("binary").alias("text"))
+    return read.join(if_small(wanted, 16), "rep", "left_semi").mapInArrow(run, "rep long, sketch binary").dropDuplicates(["rep"])
 
 
 def shortened(reps: DataFrame) -> DataFrame:
@@ -111,57 +131,92 @@ def branch(nodes: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
     return nodes.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
 
 
+class Probes:
+    """A node's probes as matrices: rep, component, set size, low token bytes, and sketches where there are any."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rep, self.comp, self.size = (np.array([r[k] for r in rows]) for k in range(3))
+        self.short = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, TOKENS)
+        self.sketch = None
+        if len(rows[0]) > 4:
+            self.sketch = np.full((len(rows), SKETCH), NOT_A_HASH, np.uint64)
+            for k, row in enumerate(rows):
+                own = np.frombuffer(row[4], "<u4")
+                self.sketch[k, : len(own)] = own
+            self.limit = np.where(self.size <= SKETCH, NOT_A_HASH, self.sketch[:, -1])
+
+    def likely(self, row: tuple, similarity: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Probes of other components whose sizes and tokens leave the similarity possible, and their equal tokens."""
+        some = np.flatnonzero((self.comp != row[1]) & (np.minimum(self.size, row[2]) >= similarity * np.maximum(self.size, row[2]) - 1e-6))
+        same = (self.short[some] == np.frombuffer(row[3], np.uint8)).sum(axis=1)
+        return some[same >= least], same[same >= least]
+
+    def settled(self, some: np.ndarray, row: tuple, similarity: float) -> np.ndarray:
+        """Of these, what the sketches leave possible.
+
+        Both sketches hold all hashes up to the smaller of their limits, so the similarity below
+        it is known: exactly for small sets, else as a sample of the whole.
+        """
+        own = np.frombuffer(row[4], "<u4").astype(np.uint64)
+        limit = np.minimum(self.limit[some], NOT_A_HASH if row[2] <= SKETCH else own[-1])
+        theirs = self.sketch[some]
+        inside = (theirs <= limit[:, None]) & (theirs < NOT_A_HASH)
+        at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        both = ((own[at] == theirs) & inside).sum(axis=1)
+        union = inside.sum(axis=1) + np.searchsorted(own, limit, "right") - both
+        slack = np.where(limit >= NOT_A_HASH, 1.5 / union, SLACK * np.sqrt(similarity * (1 - similarity) / union))
+        return some[both / union >= similarity - slack]
+
+
 def met(rows: DataFrame, reps: DataFrame, similarity: float, best: bool) -> DataFrame:
     """Likely pairs (a, b) of a node's probes with its documents, across components.
 
-    rows: (node, rep, c, size, probe). Signatures are compared by the low bytes of their
-    tokens. With ``best``, only each document's best probe and each probe's best document of
-    a piece; otherwise all whose set sizes and signatures leave the similarity possible.
+    rows: (node, rep, c, size, probe); reps: (rep, n, short) and for the last look sketch.
+    With ``best``, only each document's best probe and each probe's best document of a piece;
+    otherwise all pairs that may be similar.
     """
     least = TOKENS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS))
 
-    def pairs_of(probes: list[tuple], docs: list[tuple]) -> Iterator[tuple[int, int]]:
-        matrix = np.frombuffer(b"".join(x[3] for x in probes), np.uint8).reshape(-1, TOKENS)
-        rep, comp, size = (np.array([x[k] for x in probes]) for k in range(3))
+    def pairs_of(probes: Probes, docs: list[tuple]) -> Iterator[tuple[int, int]]:
         top: dict[int, tuple[int, int]] = {}
-        for own, c, n, short in docs:
-            some = np.flatnonzero((comp != c) & (np.minimum(size, n) >= similarity * np.maximum(size, n) - 1e-6))
+        for row in docs:
+            some, same = probes.likely(row, similarity, least)
+            if len(some) and probes.sketch is not None:
+                kept = np.isin(some, probes.settled(some, row, similarity))
+                some, same = some[kept], same[kept]
             if not len(some):
                 continue
-            same = (matrix[some] == np.frombuffer(short, np.uint8)).sum(axis=1)
-            likely = np.flatnonzero(same >= least)
-            if not len(likely):
-                continue
             if not best:
-                yield from ((own, int(r)) for r in rep[some[likely]])
+                yield from ((row[0], int(r)) for r in probes.rep[some])
                 continue
-            yield own, int(rep[some[likely[same[likely].argmax()]]])
-            for k in likely:
-                if same[k] > top.get(some[k], (0, 0))[0]:
-                    top[some[k]] = (int(same[k]), own)
-        yield from ((own, int(rep[k])) for k, (_, own) in top.items())
+            yield row[0], int(probes.rep[some[same.argmax()]])
+            for k, n in zip(some.tolist(), same.tolist(), strict=True):
+                if n > top.get(k, (0, 0))[0]:
+                    top[k] = (n, row[0])
+        yield from ((own, int(probes.rep[k])) for k, (_, own) in top.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, probes, docs = None, [], []
+        at, probes, docs, ready = None, [], [], None
         for batch in batches:
             found: set[tuple[int, int]] = set()
             for node, piece, probe, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (node, piece) != at or len(docs) >= PIECE:
                     if probes and docs:
-                        found.update(pairs_of(probes, docs))
+                        ready = ready or Probes(probes)
+                        found.update(pairs_of(ready, docs))
                     docs = []
                     if (node, piece) != at:
-                        at, probes = (node, piece), []
+                        at, probes, ready = (node, piece), [], None
                 (probes if probe else docs).append(tuple(row))
             yield _pair_batch(found)
         if probes and docs:
-            yield _pair_batch(set(pairs_of(probes, docs)))
+            yield _pair_batch(set(pairs_of(ready or Probes(probes), docs)))
 
-    shown = rows.join(reps.select("rep", "n", "short"), "rep").withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int"))
+    shown = rows.join(reps, "rep").withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int"))
     docs = shown.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")).withColumn("probe", F.lit(False))
     probes = shown.filter("probe").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     dealt = probes.unionByName(docs).repartition(partitions(rows.sparkSession), "node", "piece").sortWithinPartitions("node", "piece", F.desc("probe"), "rep")
-    return dealt.select("node", "piece", "probe", "rep", "c", "n", "short").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("node", "piece", "probe", "rep", "c", *[c for c in ("n", "short", "sketch") if c in reps.columns]).mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -205,10 +260,11 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     similarity = percent / 100
     sets = written(document_sets(docs, id_col, text_col, words), "near-sets")
-    classes = written(sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep")), "near-classes")
-    # a class's rows share set and signature; its smallest id's row stands for it
-    reps = sets.join(classes.select(F.col("rep").alias("id"), "rep", "key"), ["id", "key"]).dropDuplicates(["rep"])
-    reps = written(shortened(reps.select("rep", "n", "sig")), "near-reps")
+    classes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "uid")).alias("m"))
+    classes = written(classes.select("key", F.col("m.id").alias("rep"), F.col("m.uid").alias("uid")), "near-classes")
+    reps = sets.join(if_small(classes.select("rep", "uid"), 32), "uid").select("rep", "n", "sig")
+    reps = written(shortened(reps), "near-reps")
+    shorts = if_small(reps.select("rep", "n", "short"), 2 * TOKENS, FEW_BYTES)
     compared: list[DataFrame] = []
     links: list[DataFrame] = []
     labels = None
@@ -216,18 +272,19 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
             return rows.withColumn("c", F.col("rep"))
-        return rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        return rows.join(labels, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
 
-    def compare(rows: DataFrame, best: bool) -> None:
+    def compare(rows: DataFrame, known: DataFrame, best: bool) -> None:
         """Confirm the likely pairs not seen before, and bring the labels up to date."""
         nonlocal labels
-        pairs = met(labelled(rows), reps, similarity, best)
-        if compared:
-            pairs = pairs.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
-        compared.append(written(pairs, "near-pairs"))
-        links.append(written(confirmed(compared[-1], docs, id_col, text_col, words, percent).distinct(), "near-links"))
+        pairs = met(labelled(rows), known, similarity, best)
+        for old in compared:
+            pairs = pairs.join(if_small(old, 32), ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        compared.append(pairs)
+        links.append(written(confirmed(pairs, docs, id_col, text_col, words, percent).distinct(), "near-links"))
         if labels is None or not links[-1].isEmpty():
-            labels = components(reduce(DataFrame.union, links))
+            labels = if_small(components(reduce(DataFrame.union, links)).withColumnRenamed("v", "rep"), 32)
 
     def unfinished(rows: DataFrame) -> DataFrame:
         """(node, rep, size, probe, outsiders) of the nodes with several components; probes are outside the main one."""
@@ -238,11 +295,12 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     few: list[DataFrame] = []
     rows = branch(reps.withColumn("node", F.lit(0).cast("long")), similarity, trees_for(recall, similarity, 4))
-    while True:
+    for level in itertools.count():
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         held = written(rows.join(sizes, "node"), "near-nodes")
-        draw = F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        compare(held.withColumn("probe", draw < PIVOTS / F.col("size")), best=True)
+        if level % LEVELS_BETWEEN == 0:
+            draw = F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+            compare(held.withColumn("probe", draw < PIVOTS / F.col("size")), shorts, best=True)
         left = written(unfinished(held), "near-left")
         few.append(left.filter(F.col("outsiders") <= FEW))
         many = left.filter(F.col("outsiders") > FEW)
@@ -250,11 +308,14 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         rows = written(branch(many.select("node", "rep").join(reps, "rep"), similarity), "near-rows")
     last = reduce(DataFrame.union, few)
-    for best in (True, False):
-        # by now most outsiders have joined: the rest meets all of its node
-        last = written(unfinished(last), "near-few")
-        compare(last, best)
-    named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("c", "rep").alias("component_id"))
-    out = sets.select("id", "n", "key").join(written(named, "near-named"), "key", "left")
+    compare(last, shorts, best=True)
+    # a document without a best partner has none; the others meet all of their node once more
+    ends = reduce(DataFrame.union, compared)
+    partnered = written(ends.select(F.col("a").alias("rep")).union(ends.select(F.col("b").alias("rep"))).distinct(), "near-partnered")
+    last = unfinished(last.join(if_small(partnered, 16), "rep", "left_semi"))
+    known = reps.select("rep", "n", "short").join(written(sketches(docs, partnered, id_col, text_col, words), "near-sketches"), "rep")
+    compare(last, known, best=False)
+    named = classes.join(labels, "rep", "left").select("key", F.coalesce("c", "rep").alias("component_id"))
+    out = sets.select("id", "n", "key").join(if_small(written(named, "near-named"), 48), "key", "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))

@@ -111,10 +111,13 @@ def pairs(points: DataFrame) -> DataFrame:
 
 
 def _both_ends(links: DataFrame, found: DataFrame) -> DataFrame:
-    """(event_id, shape_id, mean, from_cum, to_cum) of pairs whose ends both are in reach of a shape."""
+    """(event_id, shape_id, mean, from_cum, to_cum) of pairs whose ends both are in reach of a shape.
+
+    Means are compared to the micrometre, so that mirrored shapes tie and their ids decide.
+    """
     first = found.select("event_id", "shape_id", F.col("perp").alias("p1"), F.col("cum").alias("from_cum"))
     second = found.select(F.col("event_id").alias("next_id"), "shape_id", F.col("perp").alias("p2"), F.col("cum").alias("to_cum"))
-    return links.select("event_id", "next_id").join(first, "event_id").join(second, ["next_id", "shape_id"]).select("event_id", "shape_id", ((F.col("p1") + F.col("p2")) / 2).alias("mean"), "from_cum", "to_cum")
+    return links.select("event_id", "next_id").join(first, "event_id").join(second, ["next_id", "shape_id"]).select("event_id", "shape_id", round_half_up((F.col("p1") + F.col("p2")) / 2, 6).alias("mean"), "from_cum", "to_cum")
 
 
 def snap_pairs(points: DataFrame, shapes: DataFrame) -> DataFrame:

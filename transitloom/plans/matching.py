@@ -162,7 +162,7 @@ def k3(spark, sf_dir):
 
 
 _PAIRS = "pr AS MATERIALIZED (SELECT * FROM (SELECT event_id, bus_id, route, tick_id, lat, lon, lead(event_id) OVER w AS next_id, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM pos WINDOW w AS (PARTITION BY bus_id ORDER BY tick_id, event_id)) WHERE next_id IS NOT NULL)"
-_ENDS = "(SELECT p.event_id, a.shape_id, (a.perp + b.perp) / 2 AS mean, a.cum AS c1, b.cum AS c2 FROM pr p JOIN {m} a ON a.event_id = p.event_id JOIN {m} b ON b.event_id = p.next_id AND b.shape_id = a.shape_id)"
+_ENDS = "(SELECT p.event_id, a.shape_id, floor((a.perp + b.perp) / 2 * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS mean, a.cum AS c1, b.cum AS c2 FROM pr p JOIN {m} a ON a.event_id = p.event_id JOIN {m} b ON b.event_id = p.next_id AND b.shape_id = a.shape_id)"
 
 
 @query("j5_snap_pairs", f"WITH {fx.POS_DENSE}, {fx.SHAPES}, {_CUM}, {_POINTS}, {_proj('m', 'pt', 400)}, {_PAIRS}, e AS {_ENDS.format(m='m')} SELECT event_id, shape_id, {half_up('mean', 3)} AS mean, {half_up('c1', 2)} AS from_cum, {half_up('c2', 2)} AS to_cum FROM e")

@@ -81,7 +81,7 @@ def repeated_prints(prints: DataFrame, slice_bits: int) -> DataFrame:
             own = own.merged(CountingQuotientFilter.of(np.concatenate(waiting)))
         slices = (own.prints >> shift).astype(np.int64)
         names, starts = np.unique(slices, return_index=True)
-        ends = [*starts[1:], len(slices)]
+        ends = [*starts[1:], len(slices)][: len(names)]  # an empty partition has no slice
         rows = [(int(k), *CountingQuotientFilter(own.prints[a:b], own.counters[a:b]).packed()) for k, a, b in zip(names, starts, ends, strict=True)]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = [pa.int32(), *[pa.binary()] * 4]

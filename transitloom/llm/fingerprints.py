@@ -29,8 +29,8 @@ FACTORS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 BOUND = 320
 #: Bytes whose triplets are hashed at once; bounds a very long text's memory.
 BLOCK = 1 << 16
-#: The order of rows without an id: after all others.
-NO_ID = -(1 << 63)
+#: The place of rows without an id: after all others. Ids are larger; bounds pass through doubles, which hold it exactly.
+NO_ID = -(1 << 62)
 
 
 def _counts(data: bytes) -> np.ndarray:

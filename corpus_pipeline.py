@@ -18,6 +18,10 @@ from transitloom.llm.near_dedup import find_near_copies
 from transitloom.llm.quality import fit_quality, judge
 
 
+#: Workers outlive a stage: what the last one remembers has to leave room for the next run's first.
+WORKER_CACHE = 60_000
+
+
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents whose ids are not among the rows of ``found`` that are not kept."""
     dropped = written(found.filter("not kept").select("doc_id").distinct(), "pipeline-dropped")
@@ -49,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the text decoded from them."""
-    return encode_texts(docs).drop("decoded")
+    return encode_texts(docs, cache_entries=WORKER_CACHE).drop("decoded")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 from .pretokens import CACHED_CHARS, WHITE, chunks, read_bytes
 
 LONG_WORD = 256
@@ -47,7 +47,8 @@ def printable_bytes() -> dict[str, int]:
 class BytePairCoder:
     """Merge ranks, ids and bytes of one vocabulary, with caches of words and chunks."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         spec = json.loads(blob)
         model, alphabet = spec["model"], printable_bytes()
         raw = {token: bytes(alphabet[c] for c in token) for token in model["vocab"]}
@@ -115,13 +116,13 @@ class BytePairCoder:
             if ids is None:
                 ids = b"".join(n.to_bytes(4, "little") for n in self.merge(word.encode()))
                 if len(word) <= CACHED_CHARS:
-                    if len(self.words) >= CACHE_ENTRIES:
+                    if len(self.words) >= self.entries:
                         self.words.clear()
                     self.words[word] = ids
             found.append(ids)
         packed = b"".join(found)
         if len(chunk) <= CACHED_CHARS:
-            if len(self.chunks) >= CACHE_ENTRIES:
+            if len(self.chunks) >= self.entries:
                 self.chunks.clear()
             self.chunks[chunk] = packed
         return packed
@@ -142,28 +143,30 @@ class BytePairCoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def coder(key: str, blob: bytes) -> BytePairCoder:
+def coder(key: str, blob: bytes, entries: int = CACHE_ENTRIES) -> BytePairCoder:
     """The worker's one coder of a vocabulary."""
     if key not in _CODERS:
         _CODERS[key] = BytePairCoder(blob)
+    _CODERS[key].entries = entries
     return _CODERS[key]
 
 
-def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decode: bool = True, keep_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decode: bool = True, keep_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Token ids of each text and the text decoded from them.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256), and with ``keep_ids`` also token_ids
     (array<int>) and decoded (string). Null and empty texts have no tokens; any id may repeat
     or be null; an empty table gives none. There is no shuffle: every task encodes the texts
-    that it reads.
+    that it reads. cache_entries bounds the words and the chunks that a worker remembers.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     blob = read_bytes(spark, path)
     model, key = spark.sparkContext.broadcast(blob), f"{path}:{len(blob)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(key, model.value)
+        own = coder(key, model.value, cache_entries)
         for batch in batches:
             counts, digests, back, lists, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Bytes that a broadcast table may hold; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of texts in one batch for a Python worker.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
@@ -46,5 +49,13 @@ def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> Data
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the batches of texts that go to Python workers small, whatever the texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = spark.conf.get(key, None)
+    if set_to is None or not set_to.rstrip("b").isdigit() or not 0 < int(set_to.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

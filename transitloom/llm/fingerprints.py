@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_or_empty
+from .common import bounded_batches, partitions, text_or_empty
 
 BUCKETS = 256
 #: The triplets of a window whose first byte is in all of them.
@@ -150,6 +150,7 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_text"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + ", edited_text string" * keep_texts
     ordered = with_next_text(docs, id_col, text_col).select("bucket", "copy", "id", "text")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, partitions, text_or_empty, written
+from .common import bounded_batches, if_small, partitions, text_or_empty, written
 from .components import components
 from .shingles import MULTIPLIER, mix, multipliers, set_key, shingle_set, signature, similar
 
@@ -258,6 +258,7 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked with nothing. A row without an id is linked with nothing and kept. Rows that repeat
     an id are taken as copies of one document. Ids are integers. An empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     similarity = percent / 100
     sets = written(document_sets(docs, id_col, text_col, words), "near-sets")
     classes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "uid")).alias("m"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[str, int, int]
@@ -257,6 +257,7 @@ def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     none, and so has every text without digits and at-signs. Ids may be null or repeat. An
     empty table gives none. Whole texts are searched, in time linear in their length.
     """
+    bounded_batches(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(learn_field(docs, text_col, sample).weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

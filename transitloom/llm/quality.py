@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, text_or_empty, written
+from .common import bounded_batches, if_small, text_or_empty, written
 
 FEATURES = ["bias", "words", "distinct", "repeats", "symbols", "shouts", "bars", "capitals", "digits", "word length", "lines", "distinct lines", "longest"]
 CAPITALS = bytes(range(65, 91))
@@ -119,6 +119,7 @@ def _strength(groups: DataFrame, mean: float, n: str, total: str) -> float:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8000) -> QualityModel:
     """The classifier, and the sums of all documents' evidence by section and site."""
+    bounded_batches(docs.sparkSession)
     weights = train(docs, labels, id_col, text_col, label_col, sample)
     odds = docs.select(host.alias("host"), path.alias("path"), evidence(text_or_empty(text_col), weights).alias("odds"))
     good = 1 / (1 + F.exp(-F.col("odds")))

@@ -9,7 +9,7 @@ import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that are hashed against all multipliers at once; bounds a very long text's memory.
-BLOCK = 1 << 14
+BLOCK = 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:

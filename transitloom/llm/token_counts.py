@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 from .pretokens import CACHED_CHARS, chunks, read_bytes
 
 #: Worker-wide second tier, by tokenizer: chunk -> tokens.
@@ -92,6 +92,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     alone, never a count.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     blob = read_bytes(spark, path)
     tokenizer = _tokenizer(path, blob)

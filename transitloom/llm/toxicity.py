@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 BUCKETS = 1 << 18
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 10
@@ -222,6 +222,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     read the text alone. Null and empty texts get the score of no words. Without labels of
     both kinds the untrained network scores. An empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     model = train_classifier(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -53,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the text decoded from them."""
-    return encode_texts(docs, cache_entries=WORKER_CACHE).drop("decoded")
+    return encode_texts(docs, cache_entries=WORKER_CACHE, forget=True).drop("decoded")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

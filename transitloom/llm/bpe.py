@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, give_back, text_or_empty
 from .pretokens import CACHED_CHARS, WHITE, chunks, read_bytes
 
 LONG_WORD = 256
@@ -151,13 +151,14 @@ def coder(key: str, blob: bytes, entries: int = CACHE_ENTRIES) -> BytePairCoder:
     return _CODERS[key]
 
 
-def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decode: bool = True, keep_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, decode: bool = True, keep_ids: bool = True, cache_entries: int = CACHE_ENTRIES, forget: bool = False) -> DataFrame:
     """Token ids of each text and the text decoded from them.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256), and with ``keep_ids`` also token_ids
     (array<int>) and decoded (string). Null and empty texts have no tokens; any id may repeat
     or be null; an empty table gives none. There is no shuffle: every task encodes the texts
-    that it reads. cache_entries bounds the words and the chunks that a worker remembers.
+    that it reads. cache_entries bounds the words and the chunks that a worker remembers;
+    with ``forget`` it gives up the vocabulary too when a task ends.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -183,6 +184,10 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             if keep_ids:
                 columns += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded"][: len(columns)])
+        if forget:
+            del own
+            _CODERS.pop(key, None)
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * keep_ids

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, if_small, partitions, text_or_empty, written
+from .common import bounded_batches, give_back, if_small, partitions, text_or_empty, written
 from .components import components
 from .shingles import MULTIPLIER, mix, multipliers, set_key, shingle_set, signature, similar
 
@@ -77,6 +77,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                 keys.append(set_key(prints))
                 tokens.append(signature(prints, by).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["id", "n", "key", "sig"])
+        give_back()
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     return read.mapInArrow(run, "id long, n long, key binary, sig binary").withColumn("uid", F.monotonically_increasing_id())
@@ -211,6 +212,7 @@ def met(rows: DataFrame, reps: DataFrame, similarity: float, best: bool) -> Data
             yield _pair_batch(found)
         if probes and docs:
             yield _pair_batch(set(pairs_of(ready or Probes(probes), docs)))
+        give_back()
 
     shown = rows.join(reps, "rep").withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int"))
     docs = shown.withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")).withColumn("probe", F.lit(False))
@@ -239,6 +241,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
                 if similar(sets[a], shingle_set(text_b, words), percent):
                     kept.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([left[k] for k in kept], pa.int64()), pa.array([right[k] for k in kept], pa.int64())], ["a", "b"])
+        give_back()
 
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))

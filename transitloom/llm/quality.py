@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, if_small, text_or_empty, written
+from .common import bounded_batches, give_back, if_small, text_or_empty, written
 
 FEATURES = ["bias", "words", "distinct", "repeats", "symbols", "shouts", "bars", "capitals", "digits", "word length", "lines", "distinct lines", "longest"]
 CAPITALS = bytes(range(65, 91))
@@ -84,7 +84,9 @@ def evidence(text: Column, weights: np.ndarray) -> Column:
 
     @F.pandas_udf("double")
     def own(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([statistics(t) for t in texts]).reshape(-1, len(weights)) @ weights)
+        odds = np.array([statistics(t) for t in texts]).reshape(-1, len(weights)) @ weights
+        give_back()
+        return pd.Series(odds)
 
     return own(text)
 

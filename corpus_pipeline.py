@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents that meets the target weights."""
+    """A sample of the documents that holds a stated share of their tokens and meets the target weights as far as those reach."""
     return mix_corpus(docs).filter("kept").select("row.*")
 
 

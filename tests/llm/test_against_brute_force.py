@@ -224,6 +224,22 @@ def test_raking_meets_given_marginals(spark):
     assert mixed.agg(F.max("probability")).first()[0] == 1.0
 
 
+def test_one_stray_cell_leaves_the_mixture_alone(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(k, f"a{k} " * (20 + k % 50), ("de", "en")[k % 3 > 0], ("s", "t", "u")[k % 7 % 3]) for k in range(1500)]
+    rows += [(k, f"b{k} c, 123", "en", "t") for k in range(1500, 1700)]
+    clean = spark.createDataFrame(rows, schema)
+    stray = clean.union(spark.createDataFrame([(9999, "two words", None, "elsewhere")], schema))
+    kept, mixed = ({r.doc_id for r in corpus_pipeline.mixing(spark, d, SF).collect()} for d in (clean, stray))
+    assert 9999 in mixed and len(kept - mixed) < 0.01 * len(rows) and len(mixed) > 0.6 * len(rows)
+    got = mixing.mix_corpus(stray).collect()
+    total = sum(r.tokens for r in got)
+    assert all(0 <= r.probability <= 1 for r in got)
+    assert abs(sum(r.tokens * r.probability for r in got) / total - mixing.KEEP) < 1e-3
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from pyspark.sql import functions as F

@@ -7,6 +7,10 @@ is kept with the probability that its cell's rate has to the largest rate; so th
 tokens meet every marginal in expectation and no document is repeated. The draw is a hash of
 the id, hence the same in every run and for every partitioning.
 
+That scale hangs on the one cell of the largest rate, however small. With a share of tokens
+to keep, the raking is bounded instead: no cell's weight exceeds its tokens, a scarce cell is
+kept whole, and the others meet what is left of the marginals of that stated total.
+
 Everything is built-in functions. Documents are summed before they move; a cell is one row
 however many documents it has, and the raking runs over cells alone.
 """
@@ -27,6 +31,10 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 SWEEPS, TOLERANCE, MOST_ROUNDS = 12, 1e-6, 25
 #: Cells up to this number are raked in one task, without a shuffle.
 ONE_TASK_CELLS = 200_000
+#: The share of its tokens that the pipeline's mixture keeps.
+KEEP = 0.75
+#: Bounded raking ends where a round leaves more than this share of the last one's miss.
+SLOW = 0.9
 WORDS = r"[^\x20\x09-\x0D]+"
 #: 13 hexadecimal digits of a digest, as a number in [0, 1).
 DRAW_RANGE = float(1 << 52)
@@ -75,12 +83,37 @@ def given_targets(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFra
     return cells
 
 
-def rake(cells: DataFrame, *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def within_reach(cells: DataFrame, keep: float) -> DataFrame:
+    """Cells with goals for ``keep`` of all tokens, none above what its value has.
+
+    A value that has less than its goal is wanted whole; the others of its marginal share what
+    it lacks in proportion to their goals, so that every marginal sums to the same total.
+    """
+    for name in DIMENSIONS:
+        goal = F.col(f"goal_{name}")
+        values = written(cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("have"), F.max(goal).alias(f"goal_{name}")), "mix-values")
+        scale = 0.0
+        total = values.agg(F.sum("have")).first()[0] or 0.0
+        while True:
+            whole = goal * scale >= F.col("have")
+            full, rest = values.agg(F.sum(F.when(whole, F.col("have"))), F.sum(F.when(~whole, goal))).first()
+            wider = (keep * total - (full or 0.0)) / rest if rest else scale
+            if wider <= scale * (1 + 1e-12):
+                break
+            scale = wider
+        own = F.sum("tokens").over(Window.partitionBy(name)).cast("double")
+        cells = cells.withColumn(f"goal_{name}", F.least(goal * scale, own))
+    return cells
+
+
+def rake(cells: DataFrame, *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, bounded: bool = False) -> DataFrame:
     """(source, lang, topic, tokens, ..., raked) from cells with their goals.
 
     Sweeps go on until every marginal's relative miss is under the tolerance. Marginals that
-    no cells can meet together stop after MOST_ROUNDS rounds, at the best compromise.
+    no cells can meet together stop after MOST_ROUNDS rounds, at the best compromise. With
+    ``bounded`` no cell's weight exceeds its tokens, and rounds also end once they gain little.
     """
+    missed = float("inf")
     cells = written(cells.withColumn("raked", F.col("tokens").cast("double")), "mix-cells")
     few = cells.count() <= ONE_TASK_CELLS
     for _ in range(MOST_ROUNDS):
@@ -89,37 +122,43 @@ def rake(cells: DataFrame, *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE
             for name in DIMENSIONS:
                 have = F.sum("raked").over(Window.partitionBy(name))
                 now = now.withColumn("raked", F.when(have > 0, F.col("raked") * F.col(f"goal_{name}") / have).otherwise(0.0))
+                if bounded:
+                    now = now.withColumn("raked", F.least("raked", F.col("tokens").cast("double")))
         cells = written(now, "mix-raked")
         misses = [cells.groupBy(name).agg(F.sum("raked").alias("have"), F.max(f"goal_{name}").alias("goal")).filter("goal > 0").agg(F.max(F.abs(F.col("have") / F.col("goal") - 1)).alias("miss")) for name in DIMENSIONS]
-        if max((m.first().miss or 0.0) for m in misses) < tolerance:
+        before, missed = missed, max((m.first().miss or 0.0) for m in misses)
+        if missed < tolerance or (bounded and missed > SLOW * before):
             break
     return cells
 
 
-def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, lang: Column, topic: Column, tokens: Column, targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] = POWERS, seed: str = "mix") -> DataFrame:
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, lang: Column, topic: Column, tokens: Column, targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] = POWERS, seed: str = "mix", keep: float | None = None) -> DataFrame:
     """(row, id, source, lang, topic, tokens, probability, kept): ``row`` holds the input row as it was.
 
     Targets are tempered shares of the input's own tokens, or tables (value, share) for each
     of source, lang and topic. Null sources, languages and topics are values of their own.
     Documents of a cell without tokens, empty ones, are kept; those whose value has a share of
-    zero are not. Rows of equal id share their draw. An empty table gives none.
+    zero are not. Rows of equal id share their draw. An empty table gives none. With ``keep`` the
+    mixture holds that share of the tokens whatever the rarest cell's rate, and probabilities are
+    those of bounded raking; without, the cell of the largest rate is kept whole and sets the scale.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(id_col).alias("id"), source.alias("source"), lang.alias("lang"), topic.alias("topic"), F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("tokens"))
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
-    raked = rake(given_targets(cells, targets) if targets else tempered_targets(cells, powers))
+    aimed = given_targets(cells, targets) if targets else tempered_targets(cells, powers)
+    raked = rake(aimed) if keep is None else rake(within_reach(aimed, keep), bounded=True)
     rates = raked.withColumn("rate", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")))
-    top = rates.agg(F.max("rate").alias("top"))
+    top = rates.agg((F.max("rate") if keep is None else F.lit(1.0)).alias("top"))
     rates = rates.crossJoin(F.broadcast(top)).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], F.when(F.col("tokens") > 0, F.round(F.col("rate") / F.col("top"), 9)).otherwise(1.0).alias("probability"))
     match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMENSIONS]
     found = rows.join(if_small(written(rates, "mix-rates"), 256), match[0] & match[1] & match[2], "left")
     return found.select("row", "id", *DIMENSIONS, "tokens", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("kept"))
 
 
-def mix_corpus(docs: DataFrame) -> DataFrame:
+def mix_corpus(docs: DataFrame, keep: float | None = KEEP) -> DataFrame:
     """mix_documents with production parameters for tables shaped like ``documents``."""
     text = text_or_empty("text")
-    return mix_documents(docs, source=F.col("source"), lang=F.col("lang"), topic=topic_of(text), tokens=token_count(text))
+    return mix_documents(docs, source=F.col("source"), lang=F.col("lang"), topic=topic_of(text), tokens=token_count(text), keep=keep)
 
 
 def _mix_sql() -> str:

@@ -19,7 +19,8 @@ from .url_filters import FILTER_URLS_SQL, RULES, filter_urls, rule_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_corpus(table(spark, sf_dir, "documents"))
+    """Mixed on the scale of the largest rate, as MIX_SQL states it; the pipeline's mixture is bounded."""
+    mixed = mix_corpus(table(spark, sf_dir, "documents"), keep=None)
     return mixed.select(F.col("id").alias("doc_id"), *DIMENSIONS, "tokens", "probability", "kept")
 
 

@@ -127,6 +127,37 @@ def test_near_copies_in_a_large_group(spark, monkeypatch):
     assert got == plain_components(made, 4, 80)
 
 
+def test_signatures_lose_far_less_than_the_recall_allows():
+    least = near_dedup.fewest_equal(0.9999, 0.8)
+    lost = sum(math.comb(near_dedup.TOKENS, k) * 0.8**k * 0.2 ** (near_dedup.TOKENS - k) for k in range(least))
+    assert 0 < lost <= 1e-5
+
+
+def test_deep_nodes_get_trees_for_their_depth(spark, monkeypatch):
+    """Pairs of just the wanted similarity among texts that share a passage, at the production recall."""
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 0)
+    roots, branch = [], near_dedup.branch
+
+    def counted(nodes, similarity, trees=range(0)):
+        roots.append(trees if isinstance(trees, int) else len(trees))
+        return branch(nodes, similarity, trees)
+
+    monkeypatch.setattr(near_dedup, "branch", counted)
+    passage, made = [f"w{k}" for k in range(70)], {}
+    for k in range(100):
+        own = [f"p{k // 2}x{i}" for i in range(20)]
+        made[k] = " ".join([*passage, *own, *(f"q{k}x{i}" for i in range(10))])
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.find_near_copies(docs, words=1, recall=0.9999).collect()}
+    assert got == plain_components(made, 1, 80)
+    deepest, run = 0, 0
+    for n in roots:
+        run = 1 if n else run + 1
+        deepest = max(deepest, run)
+    assert deepest > 4 and sum(roots) >= near_dedup.trees_for(0.9999, 0.8, deepest)
+
+
 def test_components_both_ways(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))] + [(1000 + k, 1001 + k) for k in range(40)]

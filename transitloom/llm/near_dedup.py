@@ -13,6 +13,10 @@ outside the node's main component, these are compared with all of the node, whic
 pair that could still join components. Any other node branches again. So no group's pairs
 are ever listed and no node is cut short; a large node is dealt in pieces over many tasks,
 each with its own copy of the node's few pivots or outsiders.
+
+A deeper node is less surely shared. Documents of nodes that went below the level for which
+there are trees enough get further trees of their own, until there are enough for the level
+that was reached.
 """
 
 from __future__ import annotations
@@ -39,8 +43,12 @@ PIVOTS = 32
 FEW = 1024
 #: A node's documents that one piece of it holds.
 PIECE = 256
-#: Standard deviations that an estimate may lie below the wanted similarity.
-SLACK = 3.5
+#: Standard deviations that a sketch may lie below the wanted similarity; 4.75 lose 4e-6 of the pairs that just have it.
+SLACK = 4.75
+#: Share of what the recall may lose that goes to the comparison of signatures, which is the same in every tree.
+FILTER_LOSS = 0.1
+#: Levels for which the first trees are enough.
+LEVELS = 4
 CACHED_SETS = 64
 #: Hashes of a set in the sketch that settles doubtful pairs; a smaller set is told exactly.
 SKETCH = 256
@@ -60,6 +68,16 @@ def trees_for(recall: float, similarity: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
+def fewest_equal(recall: float, similarity: float) -> int:
+    """Equal tokens that a pair of just this similarity has, but for FILTER_LOSS of what the recall may lose."""
+    fewer = 0.0
+    for k in range(TOKENS + 1):
+        fewer += math.comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k)
+        if fewer > FILTER_LOSS * (1 - recall):
+            return k
+    return TOKENS
+
+
 def _binary_rows(column: pa.Array, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
@@ -106,8 +124,8 @@ def shortened(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "rep long, n long, sig binary, short binary")
 
 
-def branch(nodes: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
-    """(node, rep): the children of (node, rep, sig) rows; with ``trees``, of that many roots."""
+def branch(nodes: DataFrame, similarity: float, trees: range = range(0)) -> DataFrame:
+    """(node, rep): the children of (node, rep, sig) rows; with ``trees``, of the roots of these numbers."""
     second = int((1 / similarity - 1) * (1 << 63)) * 2
 
     def children(node: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -126,7 +144,7 @@ def branch(nodes: DataFrame, similarity: float, trees: int = 0) -> DataFrame:
             rep, sig = batch.column(1).to_numpy(), _binary_rows(batch.column(2), TOKENS, "<u4")
             if not trees:
                 yield from children(batch.column(0).to_numpy().view(np.uint64), rep, sig)
-            for k in range(trees):
+            for k in trees:
                 yield from children(np.full(len(rep), mix(np.array([k + 1], np.uint64))[0]), rep, sig)
 
     return nodes.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
@@ -146,7 +164,7 @@ class Probes:
                 self.sketch[k, : len(own)] = own
             self.limit = np.where(self.size <= SKETCH, NOT_A_HASH, self.sketch[:, -1])
 
-    def likely(self, row: tuple, similarity: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def likely(self, row: tuple, similarity: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Probes of other components whose sizes and tokens leave the similarity possible, and their equal tokens."""
         some = np.flatnonzero((self.comp != row[1]) & (np.minimum(self.size, row[2]) >= similarity * np.maximum(self.size, row[2]) - 1e-6))
         same = (self.short[some] == np.frombuffer(row[3], np.uint8)).sum(axis=1)
@@ -169,15 +187,14 @@ class Probes:
         return some[both / union >= similarity - slack]
 
 
-def met(rows: DataFrame, reps: DataFrame, similarity: float, best: bool) -> DataFrame:
+def met(rows: DataFrame, reps: DataFrame, similarity: float, least: int, best: bool) -> DataFrame:
     """Likely pairs (a, b) of a node's probes with its documents, across components.
 
-    rows: (node, rep, c, size, probe); reps: (rep, n, short) and for the last look sketch.
+    rows: (node, rep, c, size, probe); reps: (rep, n, short) and for the last look sketch;
+    least: the equal tokens that a pair needs.
     With ``best``, only each document's best probe and each probe's best document of a piece;
     otherwise all pairs that may be similar.
     """
-    least = TOKENS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS))
-
     def pairs_of(probes: Probes, docs: list[tuple]) -> Iterator[tuple[int, int]]:
         top: dict[int, tuple[int, int]] = {}
         for row in docs:
@@ -256,13 +273,14 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Two texts are linked if ``100 * |A and B| >= percent * |A or B|`` for their sets of
     distinct shingles of ``words`` words. ``recall`` is the probability with which a pair of
-    just that similarity meets four levels down. component_id is the smallest id that links
+    just that similarity meets at the deepest level that its nodes reach. component_id is the smallest id that links
     reach; kept marks that id's rows. Null, empty and blank texts have no shingles and are
     linked with nothing. A row without an id is linked with nothing and kept. Rows that repeat
     an id are taken as copies of one document. Ids are integers. An empty table gives none.
     """
     bounded_batches(docs.sparkSession)
     similarity = percent / 100
+    least = fewest_equal(recall, similarity)
     sets = written(document_sets(docs, id_col, text_col, words), "near-sets")
     classes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "uid")).alias("m"))
     classes = written(classes.select("key", F.col("m.id").alias("rep"), F.col("m.uid").alias("uid")), "near-classes")
@@ -281,7 +299,7 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def compare(rows: DataFrame, known: DataFrame, best: bool) -> None:
         """Confirm the likely pairs not seen before, and bring the labels up to date."""
         nonlocal labels
-        pairs = met(labelled(rows), known, similarity, best)
+        pairs = met(labelled(rows), known, similarity, least, best)
         for old in compared:
             pairs = pairs.join(if_small(old, 32), ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
@@ -298,19 +316,29 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return own.join(main, "node").select("node", "rep", "size", (F.col("c") != F.col("main")).alias("probe"), "outsiders")
 
     few: list[DataFrame] = []
-    rows = branch(reps.withColumn("node", F.lit(0).cast("long")), similarity, trees_for(recall, similarity, 4))
-    for level in itertools.count():
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        held = written(rows.join(sizes, "node"), "near-nodes")
-        if level % LEVELS_BETWEEN == 0:
-            draw = F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-            compare(held.withColumn("probe", draw < PIVOTS / F.col("size")), shorts, best=True)
-        left = written(unfinished(held), "near-left")
-        few.append(left.filter(F.col("outsiders") <= FEW))
-        many = left.filter(F.col("outsiders") > FEW)
-        if many.isEmpty():
-            break
-        rows = written(branch(many.select("node", "rep").join(reps, "rep"), similarity), "near-rows")
+    members, trees, reached = reps, 0, LEVELS
+    while (wanted := trees_for(recall, similarity, reached)) > trees:
+        rows = branch(members.withColumn("node", F.lit(0).cast("long")), similarity, range(trees, wanted))
+        trees, enough, deeper = wanted, reached, []
+        for level in itertools.count():
+            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+            held = written(rows.join(sizes, "node"), "near-nodes")
+            if level % LEVELS_BETWEEN == 0:
+                draw = F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+                compare(held.withColumn("probe", draw < PIVOTS / F.col("size")), shorts, best=True)
+            left = written(unfinished(held), "near-left")
+            few.append(left.filter(F.col("outsiders") <= FEW))
+            many = left.filter(F.col("outsiders") > FEW)
+            if many.isEmpty():
+                break
+            # the nodes of this level are level + 1 branchings from the root, their children one more
+            reached = max(reached, level + 2)
+            if level + 2 > enough:
+                deeper.append(many.select("rep"))
+            rows = written(branch(many.select("node", "rep").join(reps, "rep"), similarity), "near-rows")
+        if deeper:
+            named = written(reduce(DataFrame.union, deeper).distinct(), "near-deeper")
+            members = reps.join(if_small(named, 16), "rep", "left_semi")
     last = reduce(DataFrame.union, few)
     compare(last, shorts, best=True)
     # a document without a best partner has none; the others meet all of their node once more

@@ -277,3 +277,18 @@ def test_fleet_filter_same_route(spark):
     rows = spark.createDataFrame([("a", "R1", 5.0), ("b", "R1", 0.0), ("c", "R2", 9.0)], "bus_id string, route string, speed double")
     assert {r.bus_id for r in routes.fleet_filter(rows, same_as="a").collect()} == {"a", "b"}
     assert {r.bus_id for r in routes.fleet_filter(rows, hide_stationary=True).collect()} == {"a", "c"}
+
+
+def test_replayed_ranges_are_bounded_and_in_order(spark, tmp_path, monkeypatch):
+    from transitloom.plans import archive
+
+    made = spark.range(2400).selectExpr("id AS event_id", "id div 4 + 1 AS tick_id")
+    monkeypatch.setattr(archive.fx, "pos_dense", lambda spark, sf_dir: made)
+    seen = []
+
+    def run(ticks):
+        each = lambda batch, number: seen.append(batch.selectExpr("min(tick_id)", "max(tick_id)", "count(*)").first())
+        return ticks.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+
+    archive._replay(spark, SF, str(tmp_path), run)
+    assert [tuple(r) for r in seen] == [(1, 150, 600), (151, 300, 600), (301, 450, 600), (451, 600, 600)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -13,18 +12,17 @@ from pyspark.sql import functions as F
 #: Bytes that a broadcast table may hold; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows of a key beyond which a join deals them over several tasks.
+HOT = 512
+
 #: Bytes of texts in one batch for a Python worker.
 BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder: that of spark.checkpoint.dir, else the context's checkpoint folder, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +49,36 @@ def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> Data
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def hot_keys(counted: DataFrame, key: str, size: str) -> DataFrame:
+    """(key, pieces) of the keys of more than HOT rows: at most one for HOT rows."""
+    return counted.filter(F.col(size) > HOT).select(key, F.ceil(F.col(size) / HOT).cast("int").alias("pieces"))
+
+
+def join_pieces(rows: DataFrame, info: DataFrame, key: str, hot: DataFrame, salt_by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table of one row for each key, with the rows of hot keys dealt over their pieces.
+
+    The piece is a hash of the columns salt_by, so a task that runs again deals alike; ``info``
+    has a copy of a hot key's row for each piece. ``hot`` has to be a written table.
+    """
+    if hot.isEmpty():
+        return rows.join(info, key, how)
+    few = if_small(hot, 32)
+    piece = F.pmod(F.xxhash64(*salt_by), F.coalesce("pieces", F.lit(1))).cast("int")
+    dealt = rows.join(few, key, "left").withColumn("piece", piece).drop("pieces")
+    copies = info.join(few, key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    return dealt.join(copies, [key, "piece"], how).drop("piece")
+
+
+def join_dealt(rows: DataFrame, info: DataFrame, key: str, size: str, row_bytes: int, salt_by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to a written table of one row for each key: broadcast if its counted rows fit the bound, else by pieces.
+
+    ``size`` is the column of ``info`` that tells how many rows a key has.
+    """
+    if info.count() * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(info), key, how)
+    return join_pieces(rows, info, key, hot_keys(info, key, size), salt_by, how)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps the batches of texts that go to Python workers small, whatever the texts' lengths."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

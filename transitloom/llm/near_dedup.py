@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, if_small, partitions, text_or_empty, written
+from .common import bounded_batches, give_back, hot_keys, if_small, join_dealt, join_pieces, partitions, text_or_empty, written
 from .components import components
 from .shingles import MULTIPLIER, mix, multipliers, set_key, shingle_set, signature, similar
 
@@ -83,34 +83,47 @@ def _binary_rows(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, key, sig, uid): the size of each text's shingle set, its digest and its signature of 32-bit tokens; uid names the row."""
+    """(id, print, n, key, sig, uid): a text's hash, the size, digest and signature of 32-bit tokens of its shingle set; uid names the row."""
     by = multipliers(TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, tokens = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 prints = shingle_set(text, words)
                 sizes.append(len(prints))
                 keys.append(set_key(prints))
                 tokens.append(signature(prints, by).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["id", "print", "n", "key", "sig"])
         give_back()
 
-    read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return read.mapInArrow(run, "id long, n long, key binary, sig binary").withColumn("uid", F.monotonically_increasing_id())
+    read = documents(docs, id_col, text_col).select("id", F.xxhash64("text").alias("print"), "text")
+    return read.mapInArrow(run, "id long, print long, n long, key binary, sig binary").withColumn("uid", F.monotonically_increasing_id())
 
 
-def sketches(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
+
+
+def repeated_ids(sets: DataFrame) -> DataFrame:
+    """(id, uid, print, key) of ids with several rows: the row that counts as the document, which is the one of the smallest key among those with words."""
+    own = F.struct((F.col("n") == 0).alias("blank"), "key", "uid", "print")
+    found = sets.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id")
+    found = if_small(written(found, "near-repeats"), 16)
+    return sets.join(found, "id").groupBy("id").agg(F.min(own).alias("m")).select("id", F.col("m.uid").alias("best"), F.col("m.print").alias("print"), F.col("m.key").alias("best_key"))
+
+
+def sketches(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, sketch): the high halves of the SKETCH smallest hashes of each wanted text's set, in order; of a smaller set all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = [(shingle_set(t, words)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.binary())], ["rep", "sketch"])
+        give_back()
 
-    read = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).cast("binary").alias("text"))
-    return read.join(if_small(wanted, 16), "rep", "left_semi").mapInArrow(run, "rep long, sketch binary").dropDuplicates(["rep"])
+    named = texts.withColumnRenamed("id", "rep").join(if_small(wanted, 16), "rep", "left_semi")
+    return named.mapInArrow(run, "rep long, sketch binary").dropDuplicates(["rep"])  # rows of an id have one text here
 
 
 def shortened(reps: DataFrame) -> DataFrame:
@@ -242,8 +255,12 @@ def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets; ``pairs`` has to be a written table."""
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on their full sets; ``pairs`` has to be a written table.
+
+    A text with many partners is copied once for each HOT of them, and its pairs are dealt
+    over as many tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -261,11 +278,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
         give_back()
 
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     texts = texts.join(if_small(written(named, "near-ids"), 16), "id", "left_semi")
-    of = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    # first the members' own texts, then the hub's: a hub's text is never copied into a shuffle
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    found = pairs
+    # first the members' own texts, then the hub's, which is never copied for each of its pairs
+    for x, other in (("b", "a"), ("a", "b")):
+        hubs = written(hot_keys(pairs.groupBy(x).agg(F.count("*").alias("size")), x, "size"), "near-hubs")
+        found = join_pieces(found, texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")), x, hubs, [other])
+    return found.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, recall: float = 0.9999) -> DataFrame:
@@ -273,17 +292,25 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Two texts are linked if ``100 * |A and B| >= percent * |A or B|`` for their sets of
     distinct shingles of ``words`` words. ``recall`` is the probability with which a pair of
-    just that similarity meets at the deepest level that its nodes reach. component_id is the smallest id that links
-    reach; kept marks that id's rows. Null, empty and blank texts have no shingles and are
-    linked with nothing. A row without an id is linked with nothing and kept. Rows that repeat
-    an id are taken as copies of one document. Ids are integers. An empty table gives none.
+    just that similarity meets at the deepest level that its nodes reach. component_id is the
+    smallest id that links reach; kept marks that id's rows. Null, empty and blank texts have
+    no shingles and are linked with nothing. A row without an id is linked with nothing and
+    kept. Rows that repeat an id are one document: the text of the smallest set digest among
+    those with words stands for it, and the others share its component. Ids are integers. An
+    empty table gives none.
     """
     bounded_batches(docs.sparkSession)
     similarity = percent / 100
     least = fewest_equal(recall, similarity)
     sets = written(document_sets(docs, id_col, text_col, words), "near-sets")
-    classes = sets.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "uid")).alias("m"))
-    classes = written(classes.select("key", F.col("m.id").alias("rep"), F.col("m.uid").alias("uid")), "near-classes")
+    repeats = written(repeated_ids(sets), "near-repeated")
+    texts, own = documents(docs, id_col, text_col), sets.filter("n > 0 and id is not null")
+    if not repeats.isEmpty():
+        few = if_small(repeats, 64)
+        own = own.join(few.select("id", "best"), "id", "left").filter("best is null or best = uid")
+        texts = texts.join(few.select("id", "print"), "id", "left").filter("print is null or print = xxhash64(text)").select("id", "text")
+    classes = own.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("uid", "id").alias("uid"), F.count("*").alias("size"))
+    classes = written(classes, "near-classes")
     reps = sets.join(if_small(classes.select("rep", "uid"), 32), "uid").select("rep", "n", "sig")
     reps = written(shortened(reps), "near-reps")
     shorts = if_small(reps.select("rep", "n", "short"), 2 * TOKENS, FEW_BYTES)
@@ -304,25 +331,25 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(if_small(old, 32), ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         compared.append(pairs)
-        links.append(written(confirmed(pairs, docs, id_col, text_col, words, percent).distinct(), "near-links"))
+        links.append(written(confirmed(pairs, texts, words, percent).distinct(), "near-links"))
         if labels is None or not links[-1].isEmpty():
             labels = if_small(components(reduce(DataFrame.union, links)).withColumnRenamed("v", "rep"), 32)
 
     def unfinished(rows: DataFrame) -> DataFrame:
         """(node, rep, size, probe, outsiders) of the nodes with several components; probes are outside the main one."""
         own = labelled(rows.select("node", "rep", "size"))
-        main = own.groupBy("node", "c").count().groupBy("node").agg(F.max(F.struct("count", "c")).alias("main"), F.sum("count").alias("all"))
-        main = main.select("node", F.col("main.c").alias("main"), (F.col("all") - F.col("main.count")).alias("outsiders")).filter("outsiders > 0")
-        return own.join(main, "node").select("node", "rep", "size", (F.col("c") != F.col("main")).alias("probe"), "outsiders")
+        main = own.groupBy("node", "c").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("c", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("held"))
+        main = written(main.filter("held > most").select("node", "main", "held", (F.col("held") - F.col("most")).alias("outsiders")), "near-main")
+        return join_dealt(own, main, "node", "held", 40, ["rep"]).select("node", "rep", "size", (F.col("c") != F.col("main")).alias("probe"), "outsiders")
 
     few: list[DataFrame] = []
     members, trees, reached = reps, 0, LEVELS
     while (wanted := trees_for(recall, similarity, reached)) > trees:
-        rows = branch(members.withColumn("node", F.lit(0).cast("long")), similarity, range(trees, wanted))
+        rows = written(branch(members.withColumn("node", F.lit(0).cast("long")), similarity, range(trees, wanted)), "near-rows")
         trees, enough, deeper = wanted, reached, []
         for level in itertools.count():
-            sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-            held = written(rows.join(sizes, "node"), "near-nodes")
+            sizes = written(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "near-sizes")
+            held = written(join_dealt(rows, sizes, "node", "size", 24, ["rep"]), "near-nodes")
             if level % LEVELS_BETWEEN == 0:
                 draw = F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
                 compare(held.withColumn("probe", draw < PIVOTS / F.col("size")), shorts, best=True)
@@ -345,9 +372,12 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends = reduce(DataFrame.union, compared)
     partnered = written(ends.select(F.col("a").alias("rep")).union(ends.select(F.col("b").alias("rep"))).distinct(), "near-partnered")
     last = unfinished(last.join(if_small(partnered, 16), "rep", "left_semi"))
-    known = reps.select("rep", "n", "short").join(written(sketches(docs, partnered, id_col, text_col, words), "near-sketches"), "rep")
+    known = reps.select("rep", "n", "short").join(written(sketches(texts, partnered, words), "near-sketches"), "rep")
     compare(last, known, best=False)
-    named = classes.join(labels, "rep", "left").select("key", F.coalesce("c", "rep").alias("component_id"))
-    out = sets.select("id", "n", "key").join(if_small(written(named, "near-named"), 48), "key", "left")
-    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    named = written(classes.join(labels, "rep", "left").select("key", F.coalesce("c", "rep").alias("component_id"), "size"), "near-named")
+    rows = sets.select("id", "n", "key", "uid")
+    if not repeats.isEmpty():
+        rows = rows.join(if_small(repeats, 64).select("id", "best_key"), "id", "left").withColumn("key", F.coalesce("best_key", "key"))
+    out = join_dealt(rows, named, "key", "size", 56, ["uid"], "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))

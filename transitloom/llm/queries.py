@@ -11,7 +11,7 @@ from .exact_dedup import FIND_COPIES_SQL, find_copies
 from .fingerprints import fingerprint_edits
 from .mixing import DIMENSIONS, MIX_SQL, mix_corpus
 from .near_dedup import find_near_copies
-from .pii import KINDS, find_private, joined
+from .pii import KINDS, MORE_KINDS, find_private, joined
 from .quality import classify_quality
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
@@ -33,7 +33,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False)
+    return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False, keep_decoded=False)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds are of base spans; those of the kinds that the field alone finds, n_added and n_spans follow."""
     found = find_private(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
-    counts = [of_kind(kind).alias(f"n_{kind}") for kind in KINDS]
-    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+    count = lambda spans, name: F.size(spans).cast("long").alias(name)
+    of_kind = lambda spans, kind: count(F.filter(spans, lambda s: s["kind"] == kind), f"n_{kind}")
+    counts = [of_kind(base, kind) for kind in KINDS]
+    more = [*(of_kind("spans", kind) for kind in MORE_KINDS), count(F.filter("spans", lambda s: ~s["base"]), "n_added"), count(F.col("spans"), "n_spans")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more)
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ word window which won, so training is sparse. Buckets that too few training docu
 use keep a zero vector: a word never seen can neither raise nor lower a score.
 
 A threshold is calibrated for each language, which is read off the text's own function
-words (never a language column), and the score is shifted so that 0.5 is that threshold.
+words (never a language column). Labelled documents are dealt into parts, and those of each
+part are scored for this by a network that only the others trained. The score is shifted so
+that 0.5 is the threshold.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 10
 PADS = max(WIDTHS) - 1
 #: Training documents that must use a bucket, for each thousand of them; three at least.
 LEAST_DOCS = 1
+#: Words of a document that teach; documents are scored whole.
+TAUGHT_WORDS = 1 << 16
+#: Parts of the labelled documents, each calibrated on by a network that the others trained.
+PARTS = 3
 #: Words that go through the network at once.
 STEP_WORDS = 200_000
 #: Function words by which a language is told.
@@ -161,9 +167,12 @@ class ConvolutionalClassifier:
         self.known[0] = False
         self.embeddings[~self.known] = 0
 
-    def calibrate(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
-        """For each language the logit that best parts its labels (balanced accuracy; the middle of the best gap)."""
-        logits, langs = self.logits(texts), np.array([told_language(t) for t in texts])
+    def calibrate(self, logits: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> None:
+        """For each language the logit that best parts its labels (balanced accuracy; the middle of the best gap).
+
+        The logits come from networks that did not see the texts.
+        """
+        langs = np.array([told_language(t) for t in texts])
         overall = best_cut(logits, labels)
         for k in range(len(LANGUAGES)):
             own = langs == k
@@ -198,19 +207,32 @@ def train_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str, text_co
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [word_buckets(t).tobytes() for t in batch.column(2).to_pylist()]
+            texts = [word_buckets(t)[:TAUGHT_WORDS].tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(texts, pa.binary())], ["id", "label", "words"])
 
-    # at most ``sample`` rows of an id and a label: a bounded broadcast
-    joined = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(id_col, "label", "text")
-    rows = sorted(joined.mapInArrow(hashed, "id string, label int, words binary").collect(), key=lambda r: (r.id, r.words))
+    # at most ``sample`` rows of an id and a label: a bounded broadcast; of a repeated id the text of the smallest hash teaches
+    joined = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    one = joined.groupBy(id_col, "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = sorted(one.select(id_col, "label", "text").mapInArrow(hashed, "id string, label int, words binary").collect(), key=lambda r: r.id)
     texts = [np.frombuffer(r.words, np.int32) for r in rows]
     y = np.array([r.label for r in rows], np.float32)
+    model = trained(texts, y)
+    if 0 < y.sum() < len(y):
+        part = np.array([zlib.crc32(b"apart" + r.id.encode()) % PARTS for r in rows])
+        logits = np.zeros(len(y))
+        for k in range(PARTS):
+            apart = part == k
+            others = trained([t for t, own in zip(texts, apart, strict=True) if not own], y[~apart])
+            logits[apart] = others.logits([t for t, own in zip(texts, apart, strict=True) if own])
+        model.calibrate(logits, texts, y)
+    return model
+
+
+def trained(texts: list[np.ndarray], labels: np.ndarray) -> ConvolutionalClassifier:
     model = ConvolutionalClassifier.fresh()
     model.keep_known(texts)
-    if 0 < y.sum() < len(y):
-        model.train(texts, y)
-        model.calibrate(texts, y)
+    if 0 < labels.sum() < len(labels):
+        model.train(texts, labels)
     return model
 
 
@@ -218,8 +240,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """(id, held_out, score, predicted, told_lang), a row for each document.
 
     ``labels`` (id, label 0 or 1) teaches on the ids whose crc32 modulo 5 is not 0; of
-    repeated labels the larger counts, null ones and labels of unknown ids do not. Scores
-    read the text alone. Null and empty texts get the score of no words. Without labels of
+    repeated labels the larger counts, null ones and labels of unknown ids do not; of repeated
+    ids one text teaches. Scores read the text alone. Null and empty texts get the score of no words. Without labels of
     both kinds the untrained network scores. An empty table gives none.
     """
     bounded_batches(docs.sparkSession)

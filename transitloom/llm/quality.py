@@ -98,11 +98,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
-
-    # at most ``sample`` rows of an id and a label: a bounded broadcast
-    rows = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("label", "text").mapInArrow(measure, "label double, x array<double>").collect()
+            rows = [statistics(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["id", "label", "x"])
+
+    # at most ``sample`` rows of an id and a label: a bounded broadcast; rows that repeat an id count as their mean
+    joined = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(id_col, "label", "text")
+    measured = joined.mapInArrow(measure, f"id {docs.schema[id_col].dataType.simpleString()}, label double, x array<double>")
+    means = F.array(*[F.avg(F.col("x")[k]) for k in range(len(FEATURES))])
+    rows = measured.groupBy("id", "label").agg(means.alias("x")).collect()
     rows.sort(key=lambda r: (r.label, r.x))
     return fit_logistic(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.label for r in rows]))
 

@@ -1,13 +1,14 @@
 """Map matching of points and pairs to shapes, and path geometry.
 
-Segments are exploded to the grid cells that they come near to, so that a point meets its
-candidates in an equi-join on its cell. Cells are dilated by the threshold: no segment in
-range is missed.
+Segments are exploded to the grid cells that they come near to and gathered by cell, so that
+a point meets all its candidates in one row of an equi-join on its cell, and what is nearest
+is told in that row: no candidate is shuffled or sorted. Cells are dilated by the threshold:
+no segment in range is missed. The ends of a pair meet by a look at the bus's next row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, local_x, local_y, round_half_up
 from ..functions.speed import segment_class
+from ..runtime import BROADCAST_BYTES, written
 
 #: Fixed values, in metres.
 POINT_M, OWN_ROUTE_M, STICKY_M, CHORD_M, BOX_PAD_DEG = 200.0, 400.0, 30.0, 3000.0, 200 / 111000
@@ -47,32 +49,64 @@ def gridded(segs: DataFrame, reach: float) -> DataFrame:
     return segs.withColumn("cell_x", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cell_y", F.explode(span(F.col("ay"), F.col("by"))))
 
 
-def matches(points: DataFrame, shapes: DataFrame, reach: float, own_route: bool = True) -> DataFrame:
-    """(event_id, shape_id, perp, cum): each point's nearest place on each shape in reach, the first segment among equals.
+_BOX = [f"{end}_{c}" for end in ("lo", "hi") for c in ("lat", "lon")]
+_NEAR = "array<struct<perp:double,shape_id:string,cum:double>>"
+#: Bytes of a segment in a cell's row.
+SEGMENT_BYTES = 96
 
-    With own_route, only shapes of the point's route.
+
+def shape_cells(shapes: DataFrame, reach: float, own_route: bool = True) -> DataFrame:
+    """(of_route, of_cell_x, of_cell_y, of_shapes): the segments near each cell, by shape, each shape with its box; without own_route of all routes.
+
+    Broadcast where its counted segments fit the bound.
     """
-    px, py = F.col("px"), F.col("py")
-    placed = points.filter("lat is not null and lon is not null").select("event_id", "route", local_x(F.col("lon")).alias("px"), local_y(F.col("lat")).alias("py"))
-    placed = placed.withColumn("cell_x", _cell(px)).withColumn("cell_y", _cell(py))
-    near = gridded(segments(shapes), reach)
-    keys = ["cell_x", "cell_y", *["route"] * own_route]
-    met = placed.join(near if own_route else near.drop("route"), keys)
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    size = dx * dx + dy * dy
-    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("ax")) * dx + (py - F.col("ay")) * dy) / F.when(size > 0, size)))).otherwise(0.0)
-    met = met.withColumn("t", t).withColumn("size", F.sqrt(size))
-    ox, oy = px - (F.col("ax") + F.col("t") * dx), py - (F.col("ay") + F.col("t") * dy)
-    met = met.withColumn("d2", ox * ox + oy * oy).filter(F.col("d2") <= reach * reach)
-    best = met.groupBy("event_id", "shape_id").agg(F.min(F.struct("d2", "seg", (F.col("cum") + F.col("t") * F.col("size")).alias("at"))).alias("m"))
-    return best.select("event_id", "shape_id", F.sqrt("m.d2").alias("perp"), F.col("m.at").alias("cum"))
+    keys = [*["route"] * own_route, "cell_x", "cell_y"]
+    boxes = shapes.groupBy("shape_id").agg(F.min("lat").alias("lo_lat"), F.max("lat").alias("hi_lat"), F.min("lon").alias("lo_lon"), F.max("lon").alias("hi_lon"))
+    lines = segments(shapes).withColumn("dx", F.col("bx") - F.col("ax")).withColumn("dy", F.col("by") - F.col("ay")).withColumn("size", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    near = gridded(lines, reach).groupBy(*keys, "shape_id").agg(F.collect_list(F.struct("seg", "ax", "ay", "dx", "dy", "size", "cum")).alias("segs"))
+    cells = near.join(boxes, "shape_id").groupBy(*keys).agg(F.collect_list(F.struct("shape_id", "segs", *_BOX)).alias("of_shapes"), F.sum(F.size("segs")).alias("held"))
+    cells = written(cells, "shape-cells")
+    held = cells.agg(F.sum("held")).first()[0] or 0
+    cells = cells.select(*[F.col(k).alias(f"of_{k}") for k in keys], "of_shapes")
+    return F.broadcast(cells) if held * SEGMENT_BYTES <= BROADCAST_BYTES else cells
+
+
+def nearest(shapes: Column, px: Column, py: Column, reach: float, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Of a cell's shapes those within reach: array<struct<perp, shape_id, cum>>, each at its nearest segment, the first among equals."""
+
+    def placed(g: Column) -> Column:
+        t = F.when(g["size"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - g["ax"]) * g["dx"] + (py - g["ay"]) * g["dy"]) / g["size"]))).otherwise(0.0)
+        return F.struct(g.alias("g"), t.alias("t"))
+
+    def distance(p: Column) -> Column:
+        g, t = p["g"], p["t"]
+        gap = lambda at, own, d: F.pow(at - (g[own] + t * g[d]), F.lit(2.0))
+        return F.struct((gap(px, "ax", "dx") + gap(py, "ay", "dy")).alias("d2"), g["seg"].alias("seg"), (g["cum"] + t * F.sqrt(g["size"])).alias("at"))
+
+    best = lambda s: F.array_min(F.transform(F.transform(s["segs"], placed), distance))
+    held = F.filter(shapes, keep) if keep else shapes
+    found = F.filter(F.transform(held, lambda s: F.struct(s["shape_id"].alias("shape_id"), best(s).alias("m"))), lambda s: s["m"]["d2"] <= reach * reach)
+    told = F.transform(found, lambda s: F.struct(F.sqrt(s["m"]["d2"]).alias("perp"), s["shape_id"].alias("shape_id"), s["m"]["at"].alias("cum")))
+    return F.coalesce(told, F.expr(f"CAST(array() AS {_NEAR})"))
+
+
+def with_nearest(points: DataFrame, cells: DataFrame, reach: float, name: str = "near", own_route: bool = True, lat: str = "lat", lon: str = "lon", among: Column | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows with the shapes near their point, empty without one; ``among`` tells the rows that are looked up."""
+    x, y = local_x(F.col(lon)), local_y(F.col(lat))
+    at = lambda c: F.when(among, _cell(c)) if among is not None else _cell(c)
+    rows = points.withColumn("_x", x).withColumn("_y", y).withColumn("_cx", at(x)).withColumn("_cy", at(y))
+    match = (F.col("_cx") == F.col("of_cell_x")) & (F.col("_cy") == F.col("of_cell_y"))
+    if own_route:
+        match &= F.col("route") == F.col("of_route")
+    met = rows.join(cells, match, "left")
+    return met.select(*points.columns, nearest(F.col("of_shapes"), F.col("_x"), F.col("_y"), reach, keep).alias(name))
 
 
 def snap_points(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(event_id, shape_id, perp, cum): the nearest own-route shape within 200 m, unmatched points left out."""
-    found = matches(points, shapes, POINT_M)
-    best = found.groupBy("event_id").agg(F.min(F.struct("perp", "shape_id", "cum")).alias("m"))
-    return best.select("event_id", "m.shape_id", "m.perp", "m.cum")
+    found = with_nearest(points.select("event_id", "route", "lat", "lon"), shape_cells(shapes, POINT_M), POINT_M)
+    # a filter on what inline makes stays above it, so the candidates are looked at once
+    return found.select("event_id", F.inline(F.array(F.array_min("near")))).filter("shape_id is not null").select("event_id", "shape_id", "perp", "cum")
 
 
 def sticky_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -80,8 +114,8 @@ def sticky_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
 
     A row without a match has none, and the previous shape outlives it.
     """
-    options = matches(points, shapes, POINT_M).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("perp", "shape_id", "cum"))).alias("options"))
-    tracks = points.select("bus_id", "tick_id", "event_id").join(options, "event_id", "left").select("bus_id", "tick_id", "event_id", "options")
+    rows = points.select("bus_id", "tick_id", "event_id", "route", "lat", "lon")
+    tracks = with_nearest(rows, shape_cells(shapes, POINT_M), POINT_M).select("bus_id", "tick_id", "event_id", F.array_sort("near").alias("options"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bus, last = None, None
@@ -102,64 +136,94 @@ def sticky_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return tracks.repartition("bus_id").sortWithinPartitions("bus_id", "tick_id", "event_id").mapInArrow(scan, "event_id long, snap_shape_id string, snap_cumdist double")
 
 
-def pairs(points: DataFrame) -> DataFrame:
-    """Consecutive points of a bus: (bus_id, route, event_id, tick_id, next_id, lat, lon, lat2, lon2, speed, speed2)."""
+def pairs(points: DataFrame, *more: str) -> DataFrame:
+    """Consecutive points of a bus: (bus_id, route, event_id, tick_id, next_id, lat, lon, lat2, lon2, speed, speed2), and any column more with its next as c2."""
     order = Window.partitionBy("bus_id").orderBy("tick_id", "event_id")
-    following = {"next_id": "event_id", "lat2": "lat", "lon2": "lon", "speed2": "speed"}
-    rows = points.select("bus_id", "route", "event_id", "tick_id", "lat", "lon", "speed", *[F.lead(c).over(order).alias(a) for a, c in following.items()])
+    following = {"next_id": "event_id", "lat2": "lat", "lon2": "lon", "speed2": "speed"} | {f"{c}2": c for c in more}
+    rows = points.select("bus_id", "route", "event_id", "tick_id", "lat", "lon", "speed", *more, *[F.lead(c).over(order).alias(a) for a, c in following.items()])
     return rows.filter("next_id is not null")
 
 
-def _both_ends(links: DataFrame, found: DataFrame) -> DataFrame:
-    """(event_id, shape_id, mean, from_cum, to_cum) of pairs whose ends both are in reach of a shape.
+def _both_ends(near: Column, near2: Column) -> Column:
+    """array<struct<mean, shape_id, from_cum, to_cum>> of the shapes near both ends, sorted.
 
     Means are compared to the micrometre, so that mirrored shapes tie and their ids decide.
     """
-    first = found.select("event_id", "shape_id", F.col("perp").alias("p1"), F.col("cum").alias("from_cum"))
-    second = found.select(F.col("event_id").alias("next_id"), "shape_id", F.col("perp").alias("p2"), F.col("cum").alias("to_cum"))
-    return links.select("event_id", "next_id").join(first, "event_id").join(second, ["next_id", "shape_id"]).select("event_id", "shape_id", round_half_up((F.col("p1") + F.col("p2")) / 2, 6).alias("mean"), "from_cum", "to_cum")
+    other = lambda a: F.filter(near2, lambda b: b["shape_id"] == a["shape_id"])
+    met = F.filter(F.transform(near, lambda a: F.struct(a.alias("a"), F.try_element_at(other(a), F.lit(1)).alias("b"))), lambda m: m["b"].isNotNull())
+    mean = lambda m: round_half_up((m["a"]["perp"] + m["b"]["perp"]) / 2, 6)
+    return F.array_sort(F.transform(met, lambda m: F.struct(mean(m).alias("mean"), m["a"]["shape_id"].alias("shape_id"), m["a"]["cum"].alias("from_cum"), m["b"]["cum"].alias("to_cum"))))
+
+
+def pairs_on_route(points: DataFrame, shapes: DataFrame, *more: str) -> DataFrame:
+    """pairs with ``own``: the own-route shapes within 400 m of both ends, by mean distance."""
+    kept = points.select("bus_id", "route", "event_id", "tick_id", "lat", "lon", "speed", *more)
+    links = pairs(with_nearest(kept, shape_cells(shapes, OWN_ROUTE_M), OWN_ROUTE_M), "near", *more)
+    return links.withColumn("own", _both_ends(F.col("near"), F.col("near2"))).drop("near", "near2")
 
 
 def snap_pairs(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Own-route shapes within 400 m of both ends of each pair, with their mean distance."""
-    return _both_ends(pairs(points), matches(points, shapes, OWN_ROUTE_M))
+    """(event_id, mean, shape_id, from_cum, to_cum): own-route shapes within 400 m of both ends of each pair."""
+    return pairs_on_route(points, shapes).select("event_id", F.inline("own"))
 
 
-def snap_pairs_any_route(links: DataFrame, points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """For pairs: shapes of any route within 200 m of both ends, whose padded boxes hold both."""
-    ends = links.select("event_id").union(links.select(F.col("next_id").alias("event_id"))).distinct()
-    found = matches(points.join(ends, "event_id", "left_semi"), shapes, POINT_M, own_route=False)
-    met = _both_ends(links, found)
-    boxes = shapes.groupBy("shape_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))])
-    inside = lambda c, v: F.col(v).between(F.col(f"lo_{c}") - BOX_PAD_DEG, F.col(f"hi_{c}") + BOX_PAD_DEG)
-    placed = met.join(links.select("event_id", "lat", "lon", "lat2", "lon2"), "event_id").join(boxes, "shape_id")
-    return placed.filter(inside("lat", "lat") & inside("lat", "lat2") & inside("lon", "lon") & inside("lon", "lon2")).select(*met.columns)
+def with_any_route(links: DataFrame, shapes: DataFrame, among: Column) -> DataFrame:
+    """Pairs with ``cross``: of those that ``among`` tells, the shapes of any route within 200 m of both ends, whose padded boxes hold both."""
+    cells = shape_cells(shapes, POINT_M, own_route=False)
+    inside = lambda s, c, v: (F.col(v) >= s[f"lo_{c}"] - BOX_PAD_DEG) & (F.col(v) <= s[f"hi_{c}"] + BOX_PAD_DEG)
+    holds = lambda s: inside(s, "lat", "lat") & inside(s, "lat", "lat2") & inside(s, "lon", "lon") & inside(s, "lon", "lon2")
+    rows = with_nearest(links, cells, POINT_M, "_a", own_route=False, among=among, keep=holds)
+    rows = with_nearest(rows, cells, POINT_M, "_b", own_route=False, lat="lat2", lon="lon2", among=among & (F.size("_a") > 0))
+    return rows.withColumn("cross", _both_ends(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def snap_pairs_any_route(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(event_id, mean, shape_id, from_cum, to_cum): for pairs that no shape of their own route fits, those of any route."""
+    missed = F.size("own") == 0
+    return with_any_route(pairs_on_route(points, shapes), shapes, missed).select("event_id", F.inline("cross"))
 
 
 def snap_trail(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """(event_id, source, shape_id, from_cum, to_cum) for each consecutive pair (K4).
 
-    on_route: an own-route shape, the previous one if near the best; cross_route: the nearest
-    shape of any route; fallback: a straight chord up to 3 km; else gap. A matched shape is
-    the next pair's previous one.
+    on_route: the shape that both points carry in snap_shape_id, where they have such columns
+    and the shape is known, without any projection; else an own-route shape, the previous one
+    if near the best; cross_route: the nearest shape of any route; fallback: a straight chord
+    up to 3 km; else gap. A matched shape is the next pair's previous one.
     """
-    links = pairs(points)
-    own = snap_pairs(points, shapes)
-    options = own.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("mean", "shape_id", "from_cum", "to_cum"))).alias("own"))
-    missed = links.join(own.select("event_id").distinct(), "event_id", "left_anti")
-    cross = snap_pairs_any_route(missed, points, shapes).groupBy("event_id").agg(F.min(F.struct("mean", "shape_id", "from_cum", "to_cum")).alias("cross"))
+    carried = ("snap_shape_id", "snap_cumdist")
+    kinds = {"snap_shape_id": "string", "snap_cumdist": "double"}
+    for name in carried:
+        if name not in points.columns:
+            points = points.withColumn(name, F.lit(None).cast(kinds[name]))
+    known = written(shapes.groupBy("shape_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("shape_id").alias("snap_shape_id"), F.lit(True).alias("known")), "shape-ids")
+    known = F.broadcast(known) if known.count() * 48 <= BROADCAST_BYTES else known
+    ends = points.select("bus_id", "route", "event_id", "tick_id", "lat", "lon", "speed", *carried)
+    # a point of a pair that is matched already is looked up only where its other pair is not
+    order = Window.partitionBy("bus_id").orderBy("tick_id", "event_id")
+    same = lambda shift: F.coalesce((shift("snap_shape_id") == F.col("snap_shape_id")) & shift("snap_cumdist").isNotNull() & F.col("snap_cumdist").isNotNull(), F.lit(False))
+    ends = ends.withColumn("_on", same(lambda c: F.lead(c).over(order))).withColumn("_off", same(lambda c: F.lag(c).over(order))).join(known, "snap_shape_id", "left")
+    settled = F.coalesce(F.col("known"), F.lit(False)) & F.col("_on") & F.col("_off")
+    near = with_nearest(ends, shape_cells(shapes, OWN_ROUTE_M), OWN_ROUTE_M, among=~settled)
+    links = pairs(near, "near", "known", "_on", *carried).withColumn("own", _both_ends(F.col("near"), F.col("near2")))
+    given = F.coalesce(F.col("known"), F.lit(False)) & F.col("_on")
+    links = links.withColumn("given", F.when(given, F.struct(F.col("snap_shape_id").alias("shape_id"), F.col("snap_cumdist").alias("from_cum"), F.col("snap_cumdist2").alias("to_cum"))))
     chord = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) * 1000
-    rows = links.withColumn("chord", chord).join(options, "event_id", "left").join(cross, "event_id", "left").select("bus_id", "tick_id", "event_id", "chord", "own", "cross")
+    links = links.select("bus_id", "tick_id", "event_id", "lat", "lon", "lat2", "lon2", chord.alias("chord"), "given", "own")
+    rows = with_any_route(links, shapes, F.col("given").isNull() & (F.size("own") == 0))
+    rows = rows.select("bus_id", "tick_id", "event_id", "chord", "given", "own", F.try_element_at("cross", F.lit(1)).alias("cross"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bus, last = None, None
         for batch in batches:
             out = []
-            for owner, chord, own, cross in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
+            for owner, chord, given, own, cross in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5, 6)), strict=True):
                 if owner != bus:
                     bus, last = owner, None
                 pick, source = cross, "cross_route"
-                if own:
+                if given:
+                    pick, source = given, "on_route"
+                elif own:
                     kept = next((o for o in own if o["shape_id"] == last), None)
                     pick, source = (kept if kept and kept["mean"] <= own[0]["mean"] + STICKY_M else own[0]), "on_route"
                 if pick:
@@ -168,8 +232,8 @@ def snap_trail(points: DataFrame, shapes: DataFrame) -> DataFrame:
                 else:
                     out.append(("fallback" if chord is not None and chord <= CHORD_M else "gap", None, None, None))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], ["event_id", "source", "shape_id", "from_cum", "to_cum"])
+            types = [pa.string(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(2), *[pa.array(list(c), k) for c, k in zip(columns, types, strict=True)]], ["event_id", "source", "shape_id", "from_cum", "to_cum"])
 
     return rows.repartition("bus_id").sortWithinPartitions("bus_id", "tick_id", "event_id").mapInArrow(scan, "event_id long, source string, shape_id string, from_cum double, to_cum double")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -21,6 +23,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> Spar
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -45,3 +48,33 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes that a broadcast table may hold; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder: that of spark.checkpoint.dir, else the context's checkpoint folder, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again.
+
+    This cuts the lineage: a lost executor costs the tasks of the stage that runs, not
+    everything before it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for a broadcast where its counted rows fit the bound; else left to a shuffle join.
+
+    ``df`` should be a written table or cheap to compute, since this counts it.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= most else df

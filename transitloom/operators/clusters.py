@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.speed import MODES
+from ..runtime import written
 
 HOURS = 24
 LEAST_ROUTES = 3
@@ -44,15 +45,22 @@ def features(cells: DataFrame, item: str = "route") -> DataFrame:
 def pairwise_distance(rows: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(day, a, b, d) for a < b: Euclidean, or one minus Pearson's correlation (0 where one is constant).
 
-    Items of a day are its routes or hours, so a day's pairs are few.
+    An item is one row with its features in order, written once, so that both sides of the join
+    read it. Items of a day are its routes or hours, so a day's pairs are few.
     """
-    left, right = (rows.select("day", "feature", F.col("item").alias(x), F.col("v").alias(f"v_{x}")) for x in ("a", "b"))
-    both = left.join(right, ["day", "feature"]).filter("a < b").groupBy("day", "a", "b")
+    vectors = rows.groupBy("day", "item").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "v"))), lambda x: x["v"]).alias("v"))
+    vectors = written(vectors, "profiles")
+    left, right = (vectors.select("day", F.col("item").alias(x), F.col("v").alias(f"v_{x}")) for x in ("a", "b"))
+    both = left.join(right, "day").filter("a < b")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, v: t + v)
     if metric == "euclidean":
-        return both.agg(F.sqrt(F.sum(F.pow(F.col("v_a") - F.col("v_b"), 2))).alias("d"))
-    sums = both.agg(F.covar_pop("v_a", "v_b").alias("c"), F.var_pop("v_a").alias("x"), F.var_pop("v_b").alias("y"))
-    spread = F.sqrt(F.col("x") * F.col("y"))
-    return sums.select("day", "a", "b", (1 - F.when(spread > 0, F.col("c") / F.when(spread > 0, spread)).otherwise(0.0)).alias("d"))
+        return both.select("day", "a", "b", F.sqrt(total(F.zip_with("v_a", "v_b", lambda x, y: (x - y) * (x - y)))).alias("d"))
+    for x in ("a", "b"):
+        both = both.withColumn(f"m_{x}", total(F.col(f"v_{x}")) / F.size(f"v_{x}"))
+    both = both.withColumn("c", total(F.zip_with("v_a", "v_b", lambda x, y: (x - F.col("m_a")) * (y - F.col("m_b")))))
+    spread = F.sqrt(total(F.transform("v_a", lambda x: F.pow(x - F.col("m_a"), 2))) * total(F.transform("v_b", lambda x: F.pow(x - F.col("m_b"), 2))))
+    both = both.withColumn("s", spread)
+    return both.select("day", "a", "b", (1 - F.when(F.col("s") > 0, F.col("c") / F.when(F.col("s") > 0, F.col("s"))).otherwise(0.0)).alias("d"))
 
 
 def link(distances: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:

@@ -45,22 +45,25 @@ def adjust_positions(positions: DataFrame, model: DataFrame) -> DataFrame:
     at = fractional_bucket(F.col("time_ms"))
     rows = positions.withColumn("_route", F.when(is_unknown_route(F.col("route")), "Unknown").otherwise(F.col("route")))
     rows = rows.withColumn("_lo", F.floor(at - 0.5).cast("int")).withColumn("_frac", at - (F.floor(at - 0.5) + 0.5))
+    for tier, keys in ((1, ("bus_id", "route")), (2, ("route",)), (3, ("bus_id",))):
+        # one row for each key, with all its slots: at most SLOTS of them
+        slots = F.map_from_entries(F.collect_list(F.struct("slot", F.struct("lat", "lon")))).alias(f"_slots{tier}")
+        side = model.filter(F.col("tier") == tier).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(slots)
+        match = F.lit(True)
+        for k in keys:
+            match &= F.col("_route" if k == "route" else k) == F.col(f"_k_{k}")
+        rows = rows.join(side, match, "left").drop(*[f"_k_{k}" for k in keys])
+    known = F.col("_route") != "Unknown"
     for end, shift in (("lo", 0), ("hi", 1)):
-        rows = rows.withColumn(f"_slot_{end}", F.col("_lo") + shift)
-        for tier, keys in ((1, ("bus_id", "route")), (2, ("route",)), (3, ("bus_id",))):
-            side = model.filter(F.col("tier") == tier).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slot").alias("_s"), F.struct("lat", "lon").alias(f"_{end}{tier}"))
-            match = F.col(f"_slot_{end}") == F.col("_s")
-            for k in keys:
-                match &= F.col("_route" if k == "route" else k) == F.col(f"_k_{k}")
-            rows = rows.join(side, match, "left").drop("_s", *[f"_k_{k}" for k in keys])
-        known = F.col("_route") != "Unknown"
-        rows = rows.withColumn(f"_at_{end}", F.when(known, F.coalesce(f"_{end}1", f"_{end}2")).otherwise(F.col(f"_{end}3"))).drop(f"_{end}1", f"_{end}2", f"_{end}3")
+        of = lambda tier: F.try_element_at(f"_slots{tier}", F.col("_lo") + shift)  # noqa: B023, E731
+        rows = rows.withColumn(f"_at_{end}", F.when(known, F.coalesce(of(1), of(2))).otherwise(of(3)))
+    rows = rows.drop("_slots1", "_slots2", "_slots3")
     typical = lambda c: F.coalesce(F.col(f"_at_lo.{c}") * (1 - F.col("_frac")) + F.col(f"_at_hi.{c}") * F.col("_frac"), F.col(f"_at_lo.{c}"), F.col(f"_at_hi.{c}"))
     rows = rows.withColumn("_lat", typical("lat")).withColumn("_lon", typical("lon"))
     far = F.col("lat").isNull() | F.col("lon").isNull() | (haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) > JUMP_KM)
     source = F.when(F.col("_lat").isNull(), "none").when(far, "model").otherwise("raw")
     pick = lambda c: F.when(F.col("adj_source") == "model", F.col(f"_{c}")).when(F.col("adj_source") == "raw", F.col(c))
-    return rows.withColumn("adj_source", source).withColumn("adj_lat", pick("lat")).withColumn("adj_lon", pick("lon")).drop("_route", "_lo", "_at_lo", "_at_hi", "_frac", "_slot_lo", "_slot_hi", "_lat", "_lon")
+    return rows.withColumn("adj_source", source).withColumn("adj_lat", pick("lat")).withColumn("adj_lon", pick("lon")).drop("_route", "_lo", "_at_lo", "_at_hi", "_frac", "_lat", "_lon")
 
 
 def new_unknown_observations(positions: DataFrame, seen: DataFrame, learned: DataFrame) -> DataFrame:

@@ -31,12 +31,12 @@ def _two_stage(samples: DataFrame, keys: list[str]) -> DataFrame:
     return medians.groupBy(*keys).agg(F.median("m").alias("raw_value"), F.count("*").alias("n"))
 
 
-def speed_heatmap(positions: DataFrame, mode: str = "raw", anchor: float | None = None) -> DataFrame:
-    """(route, hour, value, bin, n buses): the value at two decimals, its bin from the unrounded one."""
-    samples = positions.select("route", local_hour(F.col("time_ms")).alias("hour"), "bus_id", "time_ms", "event_id", F.col(MODES[mode]).alias("v")).filter(plausible(F.col("v")))
-    cells = _two_stage(samples, ["route", "hour"])
+def speed_heatmap(positions: DataFrame, mode: str = "raw", anchor: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, route, hour, value, bin, n buses): the value at two decimals, its bin from the unrounded one; keys keep days apart."""
+    samples = positions.select(*keys, "route", local_hour(F.col("time_ms")).alias("hour"), "bus_id", "time_ms", "event_id", F.col(MODES[mode]).alias("v")).filter(plausible(F.col("v")))
+    cells = _two_stage(samples, [*keys, "route", "hour"])
     named = speed_bin(F.col("raw_value"), fixed_edges(mode, anchor), SPIKE[mode])
-    return cells.select("route", "hour", round_half_up(F.col("raw_value"), 2).alias("value"), named.alias("bin"), "n")
+    return cells.select(*keys, "route", "hour", round_half_up(F.col("raw_value"), 2).alias("value"), named.alias("bin"), "n")
 
 
 def speed_heatmap_all(positions: DataFrame) -> DataFrame:
@@ -141,10 +141,17 @@ def data_hour_range(positions: DataFrame) -> DataFrame:
 
 def principal_bearing(points: DataFrame, key: str = "route") -> DataFrame:
     """(key, bearing) in (-90, 90] that lays each group's main axis level; null for under three points."""
-    own = Window.partitionBy(key)
-    scaled = points.withColumn("_mid", (F.min("lat").over(own) + F.max("lat").over(own)) / 2).withColumn("_x", F.col("lon") * F.cos(F.radians("_mid")))
+    # within a group the cosine of its middle latitude is constant, so it scales the sums afterwards
+    sums = points.groupBy(key).agg(F.count("*").alias("n"), F.covar_pop("lon", "lat").alias("cxy"), F.var_pop("lon").alias("cxx"), F.var_pop("lat").alias("syy"), F.cos(F.radians((F.min("lat") + F.max("lat")) / 2)).alias("c"))
+    sums = sums.withColumn("sxy", F.col("c") * F.col("cxy")).withColumn("sxx", F.col("c") * F.col("c") * F.col("cxx"))
     theta = 0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy"))
     # level = -theta in degrees, folded by half turns
     turned = F.pmod(-F.degrees(theta) + 89.9999999999, F.lit(180.0)) - 89.9999999999
-    sums = scaled.groupBy(key).agg(F.count("*").alias("n"), F.covar_pop("_x", "lat").alias("sxy"), F.var_pop("_x").alias("sxx"), F.var_pop("lat").alias("syy"))
     return sums.select(key, F.when(F.col("n") >= 3, F.floor(turned + 0.5).cast("int")).alias("bearing"))
+
+
+def heatmap_stats(positions: DataFrame, mode: str = "raw") -> DataFrame:
+    """One row of what a heatmap rests on (A21): buses, samples that its cells hold, cells of a bus and hour, the oldest sample's time."""
+    samples = positions.select(local_hour(F.col("time_ms")).alias("hour"), "bus_id", "time_ms", F.col(MODES[mode]).alias("v")).filter(plausible(F.col("v")))
+    cells = samples.groupBy("bus_id", "hour").agg(F.least(F.count("*"), F.lit(SAMPLES)).alias("held"), F.min("time_ms").alias("oldest"))
+    return cells.agg(F.count_distinct("bus_id").alias("buses"), F.coalesce(F.sum("held"), F.lit(0)).alias("samples"), F.count("*").alias("cells"), F.min("oldest").alias("oldest_ms"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine, round_half_up
+from ..runtime import shared_dir, written
 
 #: Free-flow speeds by road class, km/h.
 FREE_FLOW = {
@@ -77,15 +79,18 @@ def edge_congestion(edges: DataFrame, nodes: DataFrame, speeds: DataFrame) -> Da
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node_id): nodes that directed edges reach from the seeds, these included (G1).
 
-    The frontier is joined to the edges each round and cut from its past by a checkpoint;
-    rounds are as many as the farthest node has hops.
+    Each round joins the frontier to the edges, takes out what is known and writes what is left
+    as one more part of the result; nothing is written twice. Rounds are as many as the
+    farthest node has hops.
     """
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-reach-"))
-    steps = edges.select(F.col("from_node").alias("node_id"), "to_node").distinct()
-    seen = frontier = seeds.select("node_id").distinct().checkpoint()
-    while not frontier.isEmpty():
-        frontier = frontier.join(steps, "node_id").select(F.col("to_node").alias("node_id")).distinct().join(seen, "node_id", "left_anti").checkpoint()
-        seen = seen.union(frontier).checkpoint()
-    return seen
+    spark, folder = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/reached-{uuid.uuid4().hex}"
+    steps = written(edges.select(F.col("from_node").alias("node_id"), "to_node").distinct(), "road-steps")
+    shape = seeds.select("node_id").schema
+    found = seeds.select("node_id").distinct()
+    for hops in itertools.count():
+        found.write.parquet(f"{folder}/hops={hops}")
+        frontier = spark.read.schema(shape).parquet(f"{folder}/hops={hops}")
+        seen = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(folder)
+        if frontier.isEmpty():
+            return seen
+        found = frontier.join(steps, "node_id").select(F.col("to_node").alias("node_id")).distinct().join(seen, "node_id", "left_anti")

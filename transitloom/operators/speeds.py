@@ -21,16 +21,15 @@ def with_previous_tick(positions: DataFrame) -> DataFrame:
     speed; the row stays. A bus twice in a tick keeps both rows, the later is the next's previous.
     """
     track = Window.partitionBy("bus_id").orderBy("tick_id", "event_id")
-    # the last row of an earlier tick, over rows of the same tick
-    same = Window.partitionBy("bus_id", "tick_id").orderBy("event_id")
+    # the last row of an earlier tick, over rows of the same tick; both windows share the bus's shuffle
     prior = F.struct("tick_id", "time_ms", "lat", "lon")
-    first = positions.withColumn("_k", F.row_number().over(same)).withColumn("_lag", F.lag(prior).over(track))
-    before = F.first(F.when(F.col("_k") == 1, F.col("_lag")), ignorenulls=True).over(Window.partitionBy("bus_id", "tick_id").orderBy("event_id"))
+    first = positions.withColumn("_lag", F.lag(prior).over(track))
+    before = F.first("_lag").over(Window.partitionBy("bus_id", "tick_id").orderBy("event_id"))
     rows = first.withColumn("_prev", before)
     rows = rows.withColumn("_prev", F.when(F.col("tick_id") - F.col("_prev.tick_id") == 1, F.col("_prev")))
     rows = rows.withColumn("dt_s", (F.col("time_ms") - F.col("_prev.time_ms")) / 1000).withColumn("moved_m", haversine(F.col("_prev.lat"), F.col("_prev.lon"), F.col("lat"), F.col("lon"), EARTH_KM) * 1000)
     calc = F.when(F.col("dt_s") > 0, F.col("moved_m") / F.when(F.col("dt_s") > 0, F.col("dt_s")) * 3.6)
-    return rows.withColumn("has_previous", F.col("_prev").isNotNull()).withColumn("calc_kmh", calc).drop("_k", "_lag", "_prev")
+    return rows.withColumn("has_previous", F.col("_prev").isNotNull()).withColumn("calc_kmh", calc).drop("_lag", "_prev")
 
 
 def with_motion(rows: DataFrame) -> DataFrame:
@@ -77,10 +76,13 @@ def correct_outliers(rows: DataFrame, method: str = "iqr", value: str = "speed")
 
 
 def speed_timeline(positions: DataFrame) -> DataFrame:
-    """(bus_id, day, bin, mode columns): means in 13-minute bins from local midnight, by sample the raw speed where a mode has none."""
+    """(bus_id, day, bin, mode columns): means in 13-minute bins from local midnight, by sample the raw speed where a mode has none.
+
+    A mean is taken to nine decimals and then to two, so that the order of summing never shows.
+    """
     bin_no = F.floor(ms_of_day(F.col("time_ms")) / F.lit(BIN_MS)).cast("int")
     keyed = positions.select("bus_id", day_number(F.col("time_ms")).alias("day"), bin_no.alias("bin"), *[effective_speed(m).alias(m) for m in MODES])
-    return keyed.groupBy("bus_id", "day", "bin").agg(*[round_half_up(F.avg(m), 2).alias(m) for m in MODES], F.count("*").alias("n"))
+    return keyed.groupBy("bus_id", "day", "bin").agg(*[round_half_up(round_half_up(F.avg(m), 9), 2).alias(m) for m in MODES], F.count("*").alias("n"))
 
 
 def bin_start_ms(day: Column, bin_no: Column) -> Column:

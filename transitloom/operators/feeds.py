@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import if_small
+
 LEAST_VEHICLES = 10
 UNREACHABLE = -1
 
@@ -20,7 +22,7 @@ def feed_counts(sweeps: DataFrame) -> DataFrame:
 
 def feed_outage(sweeps: DataFrame, sources: DataFrame) -> DataFrame:
     """(sweep_id, source_idx, outage): a collectable feed is empty while more than half of the others are live."""
-    told = sweeps.join(F.broadcast(sources.select("source_idx", "collectable")), "source_idx")  # a row for each source
+    told = sweeps.join(if_small(sources.select("source_idx", "collectable"), 16), "source_idx")
     others = told.filter("not collectable").groupBy("sweep_id").agg(F.count_if(F.col("vehicles") > 0).alias("live"), F.count("*").alias("n"))
     own = told.filter("collectable").join(others, "sweep_id", "left")
     return own.select("sweep_id", "source_idx", ((F.col("vehicles") == 0) & (F.coalesce("live", F.lit(0)) > F.coalesce("n", F.lit(0)) / 2)).alias("outage"))

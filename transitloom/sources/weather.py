@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import is_rainy, weather_label
 from ..functions.timeparts import day_number, local_hour
+from ..runtime import if_small
 
 FIELDS = ["temp", "precip", "wind", "code", "humidity", "uv", "chance_of_rain", "aqi_index", "aqi_pm25"]
 MOST_DAYS = 90
@@ -42,7 +43,7 @@ def weather_range(spark: SparkSession, weather: DataFrame, first: int, last: int
 def with_weather(positions: DataFrame, weather: DataFrame, primary: str | None = None) -> DataFrame:
     """Positions with the weather of their local day and hour; null where unknown, or not from the primary feed.
 
-    Weather has 24 rows a day at most, so its years are a bounded broadcast.
+    Weather has 24 rows a day; it is broadcast where its counted rows fit the bound.
     """
     t = F.col("time_ms")
     hours = weather.select(F.col("day_no").alias("_d"), F.col("hr").alias("_h"), *[F.col(c).alias(f"weather_{c}") for c in ("temp", "precip", "wind", "code")])
@@ -50,4 +51,4 @@ def with_weather(positions: DataFrame, weather: DataFrame, primary: str | None =
     if primary is not None:
         match &= F.col("feed_source") == primary
     keyed = positions.withColumn("_day", day_number(t)).withColumn("_hour", local_hour(t))
-    return keyed.join(F.broadcast(hours), match, "left").drop("_day", "_hour", "_d", "_h")
+    return keyed.join(if_small(hours, 64), match, "left").drop("_day", "_hour", "_d", "_h")

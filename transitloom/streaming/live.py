@@ -56,15 +56,21 @@ def append_ticks(ticks: DataFrame, path: str, checkpoint: str, arrival_ms: str =
     return with_ingest_date(ticks, arrival_ms).writeStream.format("parquet").partitionBy("ingest_date").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def day_heatmap(rows: DataFrame) -> DataFrame:
+    """The heatmap of each day apart."""
+    return speed_heatmap(rows, keys=("day",))
+
+
 def day_views(ticks: DataFrame, store: str, checkpoint: str, publish: Callable[[str, DataFrame], None], views: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Keeps the heatmap and timeline of the days that a stream touches (K6).
 
     Exact medians are not incremental: each micro-batch is appended to its days' partitions
-    and only those days are computed anew, from their partitions. A batch that is tried again
-    replaces its own rows, so nothing counts twice; a new session finds its days where the
-    last one left them (K11), and a local day starts empty (K5).
+    and only those days are computed anew, from their partitions. Views get the rows with
+    their ``day`` and keep days apart, so a batch that crosses midnight mixes none of them and
+    a local day starts empty (K5). A batch that is tried again replaces its own rows, so
+    nothing counts twice; a new session finds its days where the last one left them (K11).
     """
-    made = views or {"heatmap": speed_heatmap, "timeline": speed_timeline}
+    made = views if views is not None else {"heatmap": day_heatmap, "timeline": speed_timeline}
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -74,11 +80,20 @@ def day_views(ticks: DataFrame, store: str, checkpoint: str, publish: Callable[[
         if days:
             stored = spark.read.parquet(store).filter(F.col("day").isin(days))
             for name, view in made.items():
-                publish(name, view(stored.drop("batch", "day")))
+                publish(name, view(stored.drop("batch")))
 
     return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish_days(folder: str) -> Callable[[str, DataFrame], None]:
+    """A publisher that replaces, in folder/name, the days that a view has and leaves the others."""
+
+    def publish(name: str, view: DataFrame) -> None:
+        view.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{folder}/{name}")
+
+    return publish
+
+
 def without_repeats(ticks: DataFrame, event_time: str, delay: str = "10 minutes", keys: tuple[str, ...] = ("bus_id", "tick_id")) -> DataFrame:
     """Optional: one row for each key within a watermark. The faithful path drops nothing."""
     return ticks.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))

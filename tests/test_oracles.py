@@ -40,6 +40,6 @@ def test_same_rows(name, spark, duck):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"k2_kalman_stream"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_oracle(name, spark):
     assert QUERIES[name](spark, SF).count() >= 0

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import history, weather
 from ..streaming import live
+from ..operators import crossday, heatmap, speeds
+from ..runtime import shared_dir
 from . import fixtures as fx
-from .base import DAY, HOUR, query
+from .base import DAY, HOUR, MS_OF_DAY, half_up, query
+from .matching import _KALMAN
 
 _LOOSE = [
     "CASE WHEN k % 13 = 0 THEN NULL ELSE bus_id END AS bus_id", "CASE WHEN k % 9 = 0 THEN NULL ELSE route END AS route", "time_ms AS time",
@@ -33,14 +37,17 @@ def s2(spark, sf_dir):
     return history.normalize(legacy).select("event_id", "time", "speed", "feed_source")
 
 
-_LIST = "SELECT {day} AS day, source, count(*) AS size_bytes, max(time_ms) AS mtime_ms, max(k) % 3 <> 0 AS readable FROM (SELECT *, CASE u % 3 WHEN 0 THEN 'local_parquet' WHEN 1 THEN 'jsonl' ELSE 'history_parquet' END AS source FROM {pos}) GROUP BY {day}, source"
-_CATALOG = f"{fx.POS_SPARSE}, ls AS ({_LIST.format(day=DAY, pos='(SELECT * FROM pos WHERE u % 40 = ' + DAY + ' % 40)')}), ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY CASE source WHEN 'local_parquet' THEN 0 WHEN 'jsonl' THEN 1 ELSE 2 END) AS i FROM ls WHERE readable) WHERE i = 1)"
+# every position is listed; a source of a day is unreadable by a rule on both, so some days have none of the first choice and some have none at all
+_SOURCE = "CASE u % 3 WHEN 0 THEN 'local_parquet' WHEN 1 THEN 'jsonl' ELSE 'history_parquet' END"
+_READABLE = "(day * 3 + length(source)) % 4 <> 0 AND day % 7 <> 3"
+_LIST = f"SELECT *, {_READABLE} AS readable FROM (SELECT {DAY} AS day, {_SOURCE} AS source, count(*) AS size_bytes, max(time_ms) AS mtime_ms FROM pos GROUP BY ALL)"
+_CATALOG = f"{fx.POS_SPARSE}, ls AS ({_LIST}), ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY CASE source WHEN 'local_parquet' THEN 0 WHEN 'jsonl' THEN 1 ELSE 2 END) AS i FROM ls WHERE readable) WHERE i = 1)"
 
 
 def _catalog(spark, sf_dir):
-    pos = fx.pos_sparse(spark, sf_dir).withColumn("day", F.expr("(time_ms + 28800000) div 86400000")).filter("u % 40 = day % 40")
-    listed = pos.selectExpr("day", "time_ms", "k", "CASE u % 3 WHEN 0 THEN 'local_parquet' WHEN 1 THEN 'jsonl' ELSE 'history_parquet' END AS source")
-    return history.day_catalog(listed.groupBy("day", "source").agg(F.count("*").alias("size_bytes"), F.max("time_ms").alias("mtime_ms"), (F.max("k") % 3 != 0).alias("readable")))
+    listed = fx.pos_sparse(spark, sf_dir).selectExpr("(time_ms + 28800000) div 86400000 AS day", "time_ms", f"{_SOURCE} AS source")
+    listed = listed.groupBy("day", "source").agg(F.count("*").alias("size_bytes"), F.max("time_ms").alias("mtime_ms"))
+    return history.day_catalog(listed.withColumn("readable", F.expr(_READABLE)))
 
 
 @query("s4_day_catalog", f"WITH {_CATALOG} SELECT day, source, size_bytes, mtime_ms FROM ct")
@@ -75,10 +82,14 @@ def j8(spark, sf_dir):
     return found.select("event_id", "weather_temp", geo.round_half_up(F.col("weather_precip"), 6).alias("weather_precip"), "weather_code")
 
 
-@query("s11_weather_range", f"WITH {fx.POS_SPARSE}, {fx.WEATHER}, sp AS (SELECT CAST(d AS INT) AS day_no, CAST(h AS INT) AS hr FROM range((SELECT min({DAY}) FROM pos), (SELECT min({DAY}) + 10 FROM pos)) AS g(d), range(24) AS i(h)) SELECT day_no, hr, temp, CASE WHEN code IS NULL THEN 'Unknown' WHEN code = 1183 THEN 'Light rain' WHEN code = 1000 THEN 'Clear' WHEN code = 1003 THEN 'Partly cloudy' WHEN code = 1063 THEN 'Patchy rain' ELSE 'Code ' || code END AS label, coalesce(precip > 0, false) OR coalesce(code IN (1183, 1063), false) AS rainy FROM sp LEFT JOIN weather USING (day_no, hr)")
+@query("s11_weather_range", f"WITH {fx.POS_SPARSE}, {fx.WEATHER}, sp AS (SELECT CAST(d AS INT) AS day_no, CAST(h AS INT) AS hr FROM range((SELECT min({DAY}) FROM pos), (SELECT max({DAY}) + 1 FROM pos)) AS g(d), range(24) AS i(h)) SELECT day_no, hr, temp, CASE WHEN code IS NULL THEN 'Unknown' WHEN code = 1183 THEN 'Light rain' WHEN code = 1000 THEN 'Clear' WHEN code = 1003 THEN 'Partly cloudy' WHEN code = 1063 THEN 'Patchy rain' ELSE 'Code ' || code END AS label, coalesce(precip > 0, false) OR coalesce(code IN (1183, 1063), false) AS rainy FROM sp LEFT JOIN weather USING (day_no, hr)")
 def s11(spark, sf_dir):
-    first = fx.pos_sparse(spark, sf_dir).agg(F.min(F.expr("(time_ms + 28800000) div 86400000"))).first()[0] or 0
-    return weather.weather_range(spark, fx.weather(spark), first, first + 9).select("day_no", "hr", "temp", "label", "rainy")
+    day = F.expr("(time_ms + 28800000) div 86400000")
+    first, last = fx.pos_sparse(spark, sf_dir).agg(F.min(day), F.max(day)).first()
+    if first is None:
+        first, last = 0, -1
+    windows = [weather.weather_range(spark, fx.weather(spark), k, min(last, k + weather.MOST_DAYS - 1)) for k in range(first, last + 1, weather.MOST_DAYS)]
+    return reduce(DataFrame.union, windows).select("day_no", "hr", "temp", "label", "rainy")
 
 
 @query("s10_flatten_weather", f"WITH {fx.POS_SPARSE} SELECT strftime(DATE '1970-01-01' + CAST({DAY} AS INT), '%Y-%m-%d') AS date, CAST({HOUR} AS INT) AS \"hour\", CASE WHEN {HOUR} = 5 THEN 99::DOUBLE ELSE CAST(count(*) AS DOUBLE) END AS temp, CAST(max(k) AS DOUBLE) AS chance_of_rain FROM pos GROUP BY {DAY}, {HOUR}")
@@ -96,18 +107,20 @@ LEAST_TICKS, MOST_TICKS, RANGES = 30, 2000, 4
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _replay(spark, sf_dir, folder: str, run) -> None:
-    """Runs a stream over the dense positions once for each range of ticks, in their order.
+def _replay(spark, sf_dir, folder: str, run, shift_ms: int = 0) -> None:
+    """Runs a stream over the dense positions once for each range of ticks, in their order, all times moved by shift_ms.
 
     Positions are numbered and written once, dealt by tick and event. Each range is as many
     files as it has tasks and is taken as one micro-batch; ranges widen with the history up to
     MOST_TICKS, beyond which there are more of them.
     """
-    fx.pos_dense(spark, sf_dir).repartitionByRange("tick_id", "event_id").write.parquet(f"{folder}/dense")
+    moved = fx.pos_dense(spark, sf_dir)
+    if shift_ms:
+        moved = moved.withColumn("time_ms", F.col("time_ms") + F.lit(shift_ms))
+    moved.repartitionByRange("tick_id", "event_id").write.parquet(f"{folder}/dense")
     pos = spark.read.parquet(f"{folder}/dense")
     last = pos.agg(F.max("tick_id")).first()[0] or 1
     width = min(max(LEAST_TICKS, -(-last // RANGES)), MOST_TICKS)
@@ -116,28 +129,82 @@ def _replay(spark, sf_dir, folder: str, run) -> None:
         run(spark.readStream.schema(pos.schema).parquet(f"{folder}/in")).awaitTermination()
 
 
-@query("k2_kalman_stream")
+@query("k2_kalman_stream", _KALMAN)
 def k2(spark, sf_dir):
-    """The streamed filter over replayed positions; the tests hold it equal to k1_kalman_speed."""
+    """The streamed filter over replayed positions."""
     folder = _folder(spark)
     sink = lambda out: out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
     _replay(spark, sf_dir, folder, lambda ticks: sink(live.kalman_stream(ticks)))
     return spark.read.parquet(f"{folder}/out").select("event_id", geo.round_half_up(F.col("speed_kalman"), 4).alias("speed_kalman"))
 
 
-@query("k6_live_heatmap", f"WITH {fx.POS_DENSE}, s AS (SELECT *, CAST({HOUR} AS INT) AS hour_no FROM pos WHERE speed BETWEEN 0 AND 200), r AS (SELECT *, row_number() OVER (PARTITION BY route, hour_no, bus_id ORDER BY time_ms DESC, event_id DESC) AS i FROM s), b AS (SELECT route, hour_no, bus_id, median(speed) AS m FROM r WHERE i <= 60 GROUP BY ALL) SELECT route, hour_no AS \"hour\", floor(median(m) * 100::DOUBLE + 0.5) / 100::DOUBLE AS \"value\", count(*) AS n FROM b GROUP BY route, hour_no")
+#: From the positions' first tick, 06:00, to two minutes before local midnight, so that streams cross it.
+_TO_MIDNIGHT = 17 * 3_600_000 + 58 * 60_000
+_MOVED = f"{fx.POS_DENSE.replace('pos AS (', 'pos0 AS (')}, pos AS (SELECT * REPLACE (time_ms + {_TO_MIDNIGHT} AS time_ms) FROM pos0)"
+_LIVE = "s AS (SELECT *, {day} AS day_no, CAST({hour} AS INT) AS hour_no FROM pos WHERE speed BETWEEN 0 AND 200), r AS (SELECT *, row_number() OVER (PARTITION BY day_no, route, hour_no, bus_id ORDER BY time_ms DESC, event_id DESC) AS i FROM s), b AS (SELECT day_no, route, hour_no, bus_id, median(speed) AS m FROM r WHERE i <= 60 GROUP BY ALL)".format(day=DAY, hour=HOUR)
+_LIVE_CELLS = 'route, hour_no AS "hour", floor(median(m) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS "value", count(*) AS n FROM b'
+
+
+def _views(spark, sf_dir, views: dict, shift_ms: int) -> str:
+    """The folder of published views and of the store, after the whole stream."""
+    folder = _folder(spark)
+    _replay(spark, sf_dir, folder, lambda ticks: live.day_views(ticks, f"{folder}/store", f"{folder}/log", live.publish_days(folder), views), shift_ms)
+    return folder
+
+
+@query("k6_live_heatmap", f"WITH {fx.POS_DENSE}, {_LIVE} SELECT {_LIVE_CELLS} GROUP BY day_no, route, hour_no")
 def k6(spark, sf_dir):
+    return spark.read.parquet(f"{_views(spark, sf_dir, {'heatmap': live.day_heatmap}, 0)}/heatmap").select("route", "hour", "value", "n")
+
+
+@query("k6_live_over_midnight", f"WITH {_MOVED}, {_LIVE} SELECT CAST(day_no AS BIGINT) AS day_no, {_LIVE_CELLS} GROUP BY day_no, route, hour_no")
+def k6m(spark, sf_dir):
+    found = spark.read.parquet(f"{_views(spark, sf_dir, {'heatmap': live.day_heatmap}, _TO_MIDNIGHT)}/heatmap")
+    return found.select(F.col("day").cast("long").alias("day_no"), "route", "hour", "value", "n")
+
+
+@query("k6_live_timeline", f"WITH {_MOVED} SELECT bus_id, CAST({DAY} AS BIGINT) AS day_no, CAST({MS_OF_DAY} // 780000 AS INT) AS bin, {half_up(half_up('avg(speed)', 9), 2)} AS raw, count(*) AS n FROM pos GROUP BY ALL")
+def k6t(spark, sf_dir):
+    def timeline(rows):
+        modes = [F.lit(None).cast("double").alias(c) for c in heatmap.MODES.values() if c not in rows.columns]
+        return speeds.speed_timeline(rows.select("*", *modes))
+
+    found = spark.read.parquet(f"{_views(spark, sf_dir, {'timeline': timeline}, _TO_MIDNIGHT)}/timeline")
+    return found.select("bus_id", F.col("day").cast("long").alias("day_no"), "bin", "raw", "n")
+
+
+@query("k11_warm_restart", f"WITH {_MOVED}, {_LIVE} SELECT {_LIVE_CELLS} WHERE day_no = (SELECT max({DAY}) FROM pos) GROUP BY route, hour_no")
+def k11(spark, sf_dir):
+    """A session that starts anew reads the newest day's rows, and has the heatmap that the stream had."""
+    store = f"{_views(spark, sf_dir, {}, _TO_MIDNIGHT)}/store"
+    newest = spark.read.parquet(store).agg(F.max("day")).first()[0] or 0
+    return live.speed_heatmap(live.warm_rows(spark, store, newest)).select("route", "hour", "value", "n")
+
+
+@query("k10_without_repeats", f"WITH {fx.POS_DENSE} SELECT bus_id, tick_id, count(*) OVER () AS whole FROM pos GROUP BY bus_id, tick_id")
+def k10(spark, sf_dir):
+    """Every position comes twice and one of each stays, within a day's delay."""
     folder = _folder(spark)
 
-    def publish(name, view):
-        if name == "heatmap":
-            view.write.mode("overwrite").parquet(f"{folder}/heatmap")
+    def run(ticks):
+        twice = ticks.withColumn("at", F.timestamp_millis(F.col("time_ms"))).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        once = live.without_repeats(twice, "at", "1 day")
+        return once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+
+    _replay(spark, sf_dir, folder, run)
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select("bus_id", "tick_id", F.lit(found.count()).cast("long").alias("whole"))
+
+
+@query("a21_heatmap_stats", f"WITH {fx.POS_SPARSE}, c AS (SELECT bus_id, {HOUR} AS h, least(count(*), 60) AS held, min(time_ms) AS oldest FROM pos WHERE speed BETWEEN 0 AND 200 GROUP BY ALL) SELECT count(DISTINCT bus_id) AS buses, CAST(coalesce(sum(held), 0) AS BIGINT) AS samples, count(*) AS cells, min(oldest) AS oldest_ms FROM c")
+def a21(spark, sf_dir):
+    return heatmap.heatmap_stats(fx.pos_sparse(spark, sf_dir))
+
 
-    _replay(spark, sf_dir, folder, lambda ticks: live.day_views(ticks, f"{folder}/store", f"{folder}/log", publish, {"heatmap": live.speed_heatmap}))
-    store = spark.read.parquet(f"{folder}/store")
-    # the last view has the days of its micro-batch; with more days in the store it is not the whole
-    whole = spark.read.parquet(f"{folder}/heatmap") if store.select("day").distinct().count() == 1 else live.speed_heatmap(store.drop("batch", "day"))
-    return whole.select("route", "hour", "value", "n")
+@query("u4_days_missing", f"WITH {fx.POS_SPARSE} SELECT DISTINCT {DAY} AS day FROM pos WHERE {DAY} NOT IN (SELECT {DAY} FROM pos WHERE {DAY} % 3 = 1)")
+def u4d(spark, sf_dir):
+    days = fx.pos_sparse(spark, sf_dir).selectExpr("(time_ms + 28800000) div 86400000 AS day")
+    return crossday.days_missing(days, days.filter("day % 3 = 1"))
 
 
 @query("s6_k10_append_ticks", f"WITH {fx.POS_DENSE} SELECT CAST(DATE '1970-01-01' + CAST((time_ms + 600000 * k + 28800000) // 86400000 AS INT) AS DATE) AS ingest_date, count(*) AS n FROM pos GROUP BY ALL")

@@ -242,7 +242,7 @@ def a5z(spark, sf_dir):
     return speeds.correct_outliers(fx.pos_dense(spark, sf_dir), "zscore").select("event_id", r6("speed_corrected"))
 
 
-_LINE = f"{MODES_SQL}, tl AS (SELECT bus_id, {DAY} AS day, CAST({MS_OF_DAY} // 780000 AS INT) AS bin, {', '.join(f'{half_up(f"avg(coalesce({c}, speed))", 2)} AS {m}' for m, c in speed.MODES.items())}, count(*) AS n FROM m GROUP BY ALL)"
+_LINE = f"{MODES_SQL}, tl AS (SELECT bus_id, {DAY} AS day, CAST({MS_OF_DAY} // 780000 AS INT) AS bin, {', '.join(f'{half_up(half_up(f"avg(coalesce({c}, speed))", 9), 2)} AS {m}' for m, c in speed.MODES.items())}, count(*) AS n FROM m GROUP BY ALL)"
 
 
 @query("a6_speed_timeline", f"WITH {_LINE} SELECT * FROM tl")

@@ -47,7 +47,7 @@ def test_a_row_for_each_row_and_none_of_none(name, docs, labels):
     assert empty.columns == made.columns and empty.count() == 0
 
 
-@pytest.mark.parametrize("name", ["count_tokens", "encode_texts", "find_copies", "fingerprint_edits", "find_near_copies", "mix_corpus"])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_rows_do_not_hang_on_partitions(name, docs, labels):
     assert runs(OPERATORS[name](docs, labels)) == runs(OPERATORS[name](docs.coalesce(1), labels))
 
@@ -96,3 +96,57 @@ def test_url_filters(spark):
     odd = url_filters.rule_table(spark, [("block", "", "/"), ("block", "c.org", "/"), ("allow", "c.org", "/"), ("allow", "b.c.org", "/x"), ("block", "c-x.org", "/")])
     more = spark.createDataFrame([(1, "http://c.org/"), (2, "http://a.b.c.org/x"), (3, "http://a.b.c.org/y"), (4, "http://d.org/"), (5, "http://c-x.org/"), (6, "http://cc.org/")], "page_id long, url string")
     assert {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(more, odd).collect()} == {1: ("c.org/", "block"), 2: ("b.c.org/x", "allow"), 3: ("c.org/", "block"), 4: (None, "allow"), 5: ("c-x.org/", "block"), 6: (None, "allow")}
+
+
+@pytest.fixture(scope="module")
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pipeline_row long, doc string, id string, row int, kept boolean, place int, component_id long"
+
+
+def stage_table(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", None, 7, "x", "y", 1, True, 2, 3) for k, t in rows], STAGE_SCHEMA).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["quality", "exact_dedup", "near_dedup", "mixing", "encoding"])
+def test_stages_take_odd_rows_and_empty_tables(name, spark, stages, tmp_path):
+    rows = stage_table(spark, [*ROWS, (None, None), (None, "no id"), (6, "another text of the same id")])
+    spark.createDataFrame([(1, 1), (2, 0), (6, 1), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = stages[name](spark, rows, str(tmp_path))
+    assert made.count() <= rows.count() and (name == "encoding" or made.columns == rows.columns)
+    none = stages[name](spark, rows.filter("false"), str(tmp_path))
+    assert none.count() == 0 and none.columns == made.columns
+
+
+@pytest.mark.parametrize("name", ["exact_dedup", "near_dedup"])
+def test_one_row_of_each_group_stays_whatever_its_id(name, spark, stages):
+    """Repeated ids with other texts, repeated rows, and rows without an id."""
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "red orange yellow green blue indigo violet")
+    rows = [(6, one), (6, two), (5, two), (7, three), (7, three), (None, one), (None, "lone words without any id at all"), (None, "lone words without any id at all"), (8, None), (9, "")]
+    got = sorted(((r.doc_id, r.text) for r in stages[name](spark, stage_table(spark, rows), "").collect()), key=repr)
+    want = [(6, one), (5, two), (7, three), (None, "lone words without any id at all"), (8, None)] + [(9, "")] * (name == "near_dedup")
+    assert got == sorted(want, key=repr)
+
+
+def test_near_copies_of_repeated_ids_share_a_component(spark):
+    """Two texts of one id are one document, for which the one of the smaller set digest stands."""
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    docs = stage_table(spark, [(6, one), (6, two), (6, two), (5, one), (4, two)])
+    got = {(r.doc_id, r.component_id) for r in near_dedup.find_near_copies(docs).collect()}
+    assert len({c for k, c in got if k == 6}) == 1 and got - {(6, 4), (6, 5)} == {(5, 5), (4, 4)}
+    assert runs(near_dedup.find_near_copies(docs)) == runs(near_dedup.find_near_copies(docs.coalesce(1)))
+
+
+def test_joins_deal_a_hot_key_over_tasks(spark, monkeypatch):
+    from transitloom.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = spark.range(400).select("id", F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("k"))
+    info = common.written(rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 350"), "test-info")
+    dealt = common.join_dealt(rows, info, "k", "n", 16, ["id"], "left")
+    assert runs(dealt.select("id", "k", "n")) == runs(rows.join(info, "k", "left").select("id", "k", "n"))

@@ -12,14 +12,16 @@ to keep, the raking is bounded instead: no cell's weight exceeds its tokens, a s
 kept whole, and the others meet what is left of the marginals of that stated total.
 
 Everything is built-in functions. Documents are summed before they move; a cell is one row
-however many documents it has, and the raking runs over cells alone.
+however many documents it has, and the raking runs over cells alone: in one row of nested
+arrays while source, language and topic make few cells, else by grouped sums whose ratios
+are joined back. Targets that no cells can meet together leave a miss, which is returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import if_small, text_or_empty, written
@@ -27,10 +29,12 @@ from .common import if_small, text_or_empty, written
 DIMENSIONS = ("source", "lang", "topic")
 #: The share of a marginal is tempered by this power, then normalised.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
-#: Raking sweeps between two looks at the marginals, and the relative miss that ends them.
-SWEEPS, TOLERANCE, MOST_ROUNDS = 12, 1e-6, 25
-#: Cells up to this number are raked in one task, without a shuffle.
-ONE_TASK_CELLS = 200_000
+#: Raking sweeps between two looks at the marginals, in bounded raking, and the relative miss that ends them.
+SWEEPS, BOUNDED_SWEEPS, TOLERANCE = 12, 60, 1e-6
+#: Looks after which raking ends, whatever it misses.
+MOST_ROUNDS = 25
+#: Sources times languages times topics that are raked as one row.
+ONE_ROW_CELLS = 200_000
 #: The share of its tokens that the pipeline's mixture keeps.
 KEEP = 0.75
 #: Bounded raking ends where a round leaves more than this share of the last one's miss.
@@ -61,79 +65,156 @@ def draw(id_col: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(DRAW_RANGE)
 
 
-def tempered_targets(cells: DataFrame, powers: Mapping[str, float]) -> DataFrame:
-    """Cells with the target tokens of each of their marginals: shares to a power, normalised to the total."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    for name in DIMENSIONS:
-        sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("t"))
-        power = F.when(F.col("t") > 0, F.pow("t", F.lit(float(powers[name])))).otherwise(0.0)
-        norm = sums.agg(F.sum(power).alias("norm"))
-        # both are single rows
-        goals = sums.crossJoin(F.broadcast(norm)).crossJoin(F.broadcast(total)).select(F.col(name).alias("g"), F.when(F.col("norm") > 0, power / F.col("norm") * F.col("total")).otherwise(0.0).alias(f"goal_{name}"))
-        cells = cells.join(goals, F.col(name).eqNullSafe(F.col("g")), "left").drop("g")
-    return cells
-
-
-def given_targets(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
-    """Cells with the target tokens of each of their marginals, from tables (value, share); values without a share get none."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
+def marginals(cells: DataFrame, powers: Mapping[str, float], targets: Mapping[str, DataFrame] | None) -> dict[str, DataFrame]:
+    """For each dimension its values, their tokens and their target tokens: written tables (value, have, goal).
+
+    Targets are shares to a power, normalised to all tokens, or given tables (value, share), in
+    which values without a share get none.
+    """
+    total, found = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0, {}
     for name in DIMENSIONS:
-        shares = targets[name].select(F.col("value").alias("g"), F.col("share").cast("double").alias("share"))
-        cells = cells.join(shares, F.col(name).eqNullSafe(F.col("g")), "left").crossJoin(F.broadcast(total)).withColumn(f"goal_{name}", F.coalesce("share", F.lit(0.0)) * F.col("total")).drop("g", "share", "total")
-    return cells
+        sums = written(cells.groupBy(F.col(name).alias("value")).agg(F.sum("tokens").cast("double").alias("have")), "mix-sums")
+        if targets:
+            shares = targets[name].select(F.col("value").alias("of"), F.col("share").cast("double").alias("share"))
+            goals = sums.join(shares, F.col("value").eqNullSafe(F.col("of")), "left").select("value", "have", (F.coalesce("share", F.lit(0.0)) * total).alias("goal"))
+        else:
+            power = F.when(F.col("have") > 0, F.pow("have", F.lit(float(powers[name])))).otherwise(0.0)
+            norm = sums.agg(F.sum(power)).first()[0] or 1.0
+            goals = sums.select("value", "have", (power / norm * total).alias("goal"))
+        found[name] = written(goals, "mix-goals")
+    return found
+
+
+def within_reach(values: DataFrame, keep: float) -> DataFrame:
+    """The values of a marginal with goals for ``keep`` of all tokens, none above what a value has.
+
+    A value that has less than its goal is wanted whole; the others share what it lacks in
+    proportion to their goals, so that every marginal sums to the same total.
+    """
+    total, scale = values.agg(F.sum("have")).first()[0] or 0.0, 0.0
+    while True:
+        whole = F.col("goal") * scale >= F.col("have")
+        full, rest = values.agg(F.sum(F.when(whole, F.col("have"))), F.sum(F.when(~whole, F.col("goal")))).first()
+        wider = (keep * total - (full or 0.0)) / rest if rest else scale
+        if wider <= scale * (1 + 1e-12):
+            return values.withColumn("goal", F.least(F.col("goal") * scale, F.col("have")))
+        scale = wider
+
+
+def rake(cells: DataFrame, goals: Mapping[str, DataFrame], *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, bounded: bool = False) -> tuple[DataFrame, float]:
+    """(source, lang, topic, tokens, raked) of cells, and the largest relative miss of a marginal that is left.
+
+    Rounds of sweeps go on until that miss is under the tolerance. Marginals that no cells can
+    meet together stop after MOST_ROUNDS rounds, at the best compromise; with ``bounded`` no
+    cell's weight exceeds its tokens, and rounds also end once they gain little.
+    """
+    counts = [goals[name].count() for name in DIMENSIONS]
+    made = _rake_grid if counts[0] * counts[1] * counts[2] <= ONE_ROW_CELLS else _rake_table
+    return made(cells, goals, sweeps, tolerance, bounded)
 
 
-def within_reach(cells: DataFrame, keep: float) -> DataFrame:
-    """Cells with goals for ``keep`` of all tokens, none above what its value has.
+def _enough(missed: float, before: float, tolerance: float, bounded: bool) -> bool:
+    return missed < tolerance or (bounded and missed > SLOW * before)
 
-    A value that has less than its goal is wanted whole; the others of its marginal share what
-    it lacks in proportion to their goals, so that every marginal sums to the same total.
-    """
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda t, x: t + x)
+
+
+def _added(rows: Column, zeros: Column) -> Column:
+    """The sum of rows of numbers, place by place."""
+    return F.aggregate(rows, zeros, lambda t, row: F.zip_with(t, row, lambda a, b: a + b))
+
+
+def _sums(grid: Column, zeros: Mapping[str, Column]) -> dict[str, Column]:
+    lines = lambda plane: F.transform(plane, _total)
+    return {
+        "source": F.transform(grid, lambda plane: _total(lines(plane))),
+        "lang": _added(F.transform(grid, lines), zeros["lang"]),
+        "topic": _added(F.flatten(grid), zeros["topic"]),
+    }
+
+
+def _rescaled(grid: Column, name: str, ratios: Column) -> Column:
+    if name == "source":
+        return F.zip_with(grid, ratios, lambda plane, k: F.transform(plane, lambda line: F.transform(line, lambda x: x * k)))
+    if name == "lang":
+        return F.transform(grid, lambda plane: F.zip_with(plane, ratios, lambda line, k: F.transform(line, lambda x: x * k)))
+    return F.transform(grid, lambda plane: F.transform(plane, lambda line: F.zip_with(line, ratios, lambda x, k: x * k)))
+
+
+def _rake_grid(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, tolerance: float, bounded: bool) -> tuple[DataFrame, float]:
+    """Raking over one row that holds a number for every source, language and topic, absent cells as zeros."""
+    placed, lists = cells, {}
     for name in DIMENSIONS:
-        goal = F.col(f"goal_{name}")
-        values = written(cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("have"), F.max(goal).alias(f"goal_{name}")), "mix-values")
-        scale = 0.0
-        total = values.agg(F.sum("have")).first()[0] or 0.0
-        while True:
-            whole = goal * scale >= F.col("have")
-            full, rest = values.agg(F.sum(F.when(whole, F.col("have"))), F.sum(F.when(~whole, goal))).first()
-            wider = (keep * total - (full or 0.0)) / rest if rest else scale
-            if wider <= scale * (1 + 1e-12):
-                break
-            scale = wider
-        own = F.sum("tokens").over(Window.partitionBy(name)).cast("double")
-        cells = cells.withColumn(f"goal_{name}", F.least(goal * scale, own))
-    return cells
-
-
-def rake(cells: DataFrame, *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, bounded: bool = False) -> DataFrame:
-    """(source, lang, topic, tokens, ..., raked) from cells with their goals.
-
-    Sweeps go on until every marginal's relative miss is under the tolerance. Marginals that
-    no cells can meet together stop after MOST_ROUNDS rounds, at the best compromise. With
-    ``bounded`` no cell's weight exceeds its tokens, and rounds also end once they gain little.
-    """
+        # one row: the values in order and their goals
+        lists[name] = written(goals[name].agg(F.array_sort(F.collect_list(F.struct("value", "goal"))).alias(name)), "mix-values")
+        place = lists[name].select(F.posexplode(name).alias(f"at_{name}", "v")).select(f"at_{name}", F.col("v.value").alias("value"))
+        placed = placed.join(F.broadcast(place), F.col(name).eqNullSafe(F.col("value"))).drop("value")  # at most ONE_ROW_CELLS values
+    size = {name: goals[name].count() for name in DIMENSIONS}
+    filled = lambda keyed, n, none: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at(keyed, k), none))
+    by_key = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    lines = placed.groupBy("at_source", "at_lang").agg(by_key("at_topic", F.col("tokens").cast("double").alias("x")).alias("m"))
+    lines = lines.select("at_source", "at_lang", filled(F.col("m"), size["topic"], F.lit(0.0)).alias("line")) if size["topic"] else lines
+    if not all(size.values()):
+        return cells.withColumn("raked", F.col("tokens").cast("double")), 0.0  # no cells
+    planes = lines.groupBy("at_source").agg(by_key("at_lang", "line").alias("m"))
+    planes = planes.select("at_source", filled(F.col("m"), size["lang"], F.array_repeat(F.lit(0.0), size["topic"])).alias("plane"))
+    grid = planes.agg(F.transform(F.array_sort(F.collect_list(F.struct("at_source", "plane"))), lambda p: p["plane"]).alias("tokens")).withColumn("one", F.lit(1))
+    for name in DIMENSIONS:  # single rows
+        grid = grid.join(F.broadcast(lists[name].select(F.lit(1).alias("one"), F.transform(name, lambda v: v["goal"]).alias(name))), "one")
+    grid = written(grid.withColumn("raked", F.col("tokens")), "mix-grid")
+
+    zeros = {name: F.array_repeat(F.lit(0.0), size[name]) for name in DIMENSIONS}
+
+    def step(grid: Column, name: str) -> Column:
+        ratios = F.zip_with(F.col(name), _sums(grid, zeros)[name], lambda goal, have: F.when(have > 0, goal / have).otherwise(0.0))
+        # the aggregate over one element names the ratios, so that they are computed once
+        scaled = F.aggregate(F.array(ratios), grid, lambda own, r: _rescaled(own, name, r))
+        if not bounded:
+            return scaled
+        least = lambda a, b: F.zip_with(a, b, lambda x, y: F.least(x, y))
+        return F.zip_with(scaled, F.col("tokens"), lambda a, b: F.zip_with(a, b, least))
+
+    def sweep(grid: Column, _: Column) -> Column:
+        turn = lambda own, k: F.when(k == 0, step(own, "source")).when(k == 1, step(own, "lang")).otherwise(step(own, "topic"))
+        return F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), grid, turn)
+
+    sums = _sums(F.col("raked"), zeros)
+    misses = [F.array_max(F.zip_with(F.col(name), sums[name], lambda goal, have: F.when(goal > 0, F.abs(have / goal - 1)).otherwise(0.0))) for name in DIMENSIONS]
     missed = float("inf")
-    cells = written(cells.withColumn("raked", F.col("tokens").cast("double")), "mix-cells")
-    few = cells.count() <= ONE_TASK_CELLS
     for _ in range(MOST_ROUNDS):
-        now = cells.coalesce(1) if few else cells
-        for _ in range(sweeps):
-            for name in DIMENSIONS:
-                have = F.sum("raked").over(Window.partitionBy(name))
-                now = now.withColumn("raked", F.when(have > 0, F.col("raked") * F.col(f"goal_{name}") / have).otherwise(0.0))
-                if bounded:
-                    now = now.withColumn("raked", F.least("raked", F.col("tokens").cast("double")))
-        cells = written(now, "mix-raked")
-        misses = [cells.groupBy(name).agg(F.sum("raked").alias("have"), F.max(f"goal_{name}").alias("goal")).filter("goal > 0").agg(F.max(F.abs(F.col("have") / F.col("goal") - 1)).alias("miss")) for name in DIMENSIONS]
-        before, missed = missed, max((m.first().miss or 0.0) for m in misses)
-        if missed < tolerance or (bounded and missed > SLOW * before):
+        grid = written(grid.withColumn("raked", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.col("raked"), sweep)), "mix-grid")
+        before, missed = missed, grid.select(F.greatest(*misses)).first()[0]
+        if _enough(missed, before, tolerance, bounded):
+            break
+    out = grid.select(F.posexplode("raked").alias("at_source", "plane")).select("at_source", F.posexplode("plane").alias("at_lang", "line")).select("at_source", "at_lang", F.posexplode("line").alias("at_topic", "raked"))
+    return placed.join(F.broadcast(out), [f"at_{name}" for name in DIMENSIONS]).select(*DIMENSIONS, "tokens", "raked"), missed  # at most ONE_ROW_CELLS rows
+
+
+def _rake_table(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, tolerance: float, bounded: bool) -> tuple[DataFrame, float]:
+    """Raking of any number of cells: each step sums a marginal in a grouped aggregate and joins its few ratios back."""
+    missed = float("inf")
+    own = F.col("tokens").cast("double")
+    cells = written(cells.withColumn("raked", own), "mix-cells")
+    for _ in range(MOST_ROUNDS * sweeps):
+        before, missed = missed, 0.0
+        for name in DIMENSIONS:
+            have = cells.groupBy(F.col(name).alias("of")).agg(F.sum("raked").alias("now"))
+            both = have.join(if_small(goals[name], 64), F.col("of").eqNullSafe(F.col("value")))
+            ratio = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+            ratios = written(both.select("of", ratio.alias("ratio"), F.when(F.col("goal") > 0, F.abs(F.col("now") / F.col("goal") - 1)).alias("miss")), "mix-ratios")
+            missed = max(missed, ratios.agg(F.max("miss")).first()[0] or 0.0)
+            raked = F.col("raked") * F.col("ratio")
+            cells = cells.join(if_small(ratios.drop("miss"), 64), F.col(name).eqNullSafe(F.col("of"))).withColumn("raked", F.least(raked, own) if bounded else raked).drop("of", "ratio")
+        cells = written(cells, "mix-cells")
+        if _enough(missed, before, tolerance, bounded):
             break
-    return cells
+    return cells, missed
 
 
-def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, lang: Column, topic: Column, tokens: Column, targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] = POWERS, seed: str = "mix", keep: float | None = None) -> DataFrame:
-    """(row, id, source, lang, topic, tokens, probability, kept): ``row`` holds the input row as it was.
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, lang: Column, topic: Column, tokens: Column, targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] = POWERS, seed: str = "mix", keep: float | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(row, id, source, lang, topic, tokens, probability, kept, miss): ``row`` holds the input row as it was.
 
     Targets are tempered shares of the input's own tokens, or tables (value, share) for each
     of source, lang and topic. Null sources, languages and topics are values of their own.
@@ -141,18 +222,23 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, la
     zero are not. Rows of equal id share their draw. An empty table gives none. With ``keep`` the
     mixture holds that share of the tokens whatever the rarest cell's rate, and probabilities are
     those of bounded raking; without, the cell of the largest rate is kept whole and sets the scale.
+    Raking ends under ``tolerance``; ``miss`` is the largest relative miss of a marginal that it
+    left, the same in all rows, and above the tolerance where the targets contradict each other.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col(id_col).alias("id"), source.alias("source"), lang.alias("lang"), topic.alias("topic"), F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("tokens"))
-    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-sums")
-    aimed = given_targets(cells, targets) if targets else tempered_targets(cells, powers)
-    raked = rake(aimed) if keep is None else rake(within_reach(aimed, keep), bounded=True)
-    rates = raked.withColumn("rate", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")))
-    top = rates.agg((F.max("rate") if keep is None else F.lit(1.0)).alias("top"))
-    rates = rates.crossJoin(F.broadcast(top)).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], F.when(F.col("tokens") > 0, F.round(F.col("rate") / F.col("top"), 9)).otherwise(1.0).alias("probability"))
+    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    goals = marginals(cells, powers, targets)
+    if keep is None:
+        raked, missed = rake(cells, goals, tolerance=tolerance)
+    else:
+        raked, missed = rake(cells, {name: written(within_reach(x, keep), "mix-goals") for name, x in goals.items()}, sweeps=BOUNDED_SWEEPS, tolerance=tolerance, bounded=True)
+    rates = written(raked.withColumn("rate", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens"))), "mix-rates")
+    top = rates.agg(F.max("rate")).first()[0] if keep is None else 1.0
+    rates = rates.select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], F.when(F.col("tokens") > 0, F.round(F.col("rate") / F.lit(top), 9)).otherwise(1.0).alias("probability"))
     match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMENSIONS]
-    found = rows.join(if_small(written(rates, "mix-rates"), 256), match[0] & match[1] & match[2], "left")
-    return found.select("row", "id", *DIMENSIONS, "tokens", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("kept"))
+    found = rows.join(if_small(rates, 256), match[0] & match[1] & match[2], "left")
+    return found.select("row", "id", *DIMENSIONS, "tokens", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("kept"), F.lit(missed).alias("miss"))
 
 
 def mix_corpus(docs: DataFrame, keep: float | None = KEEP) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitloom.functions import geo, labels, speed
-from transitloom.operators import clusters, feeds, heatmap, kalman, routes, shapes, speeds
+from transitloom.operators import clusters, feeds, heatmap, kalman, maintenance, routes, shapes, speeds
 from transitloom.plans import fixtures as fx
 from transitloom.plans.registry import QUERIES
 from transitloom.sources import history, network, weather
@@ -292,3 +292,40 @@ def test_replayed_ranges_are_bounded_and_in_order(spark, tmp_path, monkeypatch):
 
     archive._replay(spark, SF, str(tmp_path), run)
     assert [tuple(r) for r in seen] == [(1, 150, 600), (151, 300, 600), (301, 450, 600), (451, 600, 600)]
+
+
+def test_a_torn_snapshot_gives_none():
+    from transitloom.plans.files import message
+
+    whole = message([{"entity": "e1", "bus": "b1", "trip": "t1", "route": "r1", "lat": 3.0, "lon": 101.0, "speed": 4.0, "stamp": None}])
+    assert list(network.vehicles(whole, 7)) == [("e1", "b1", "t1", "r1", 3.0, 101.0, None, 4.0, 7)]
+    for cut in range(3, len(whole)):
+        with pytest.raises((IndexError, struct.error)):
+            list(network.vehicles(whole[:cut], 7))
+
+
+# ---- maintenance ------------------------------------------------------------------------------
+def test_maintenance_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    day, store = 86_400_000, str(tmp_path / "archive")
+    at = lambda d, slot, n: 1704038400000 + d * day + slot * 1_800_000 + n * 1000
+    known = [(f"b{b}", "R1", at(d, s, b), 3.06 + s * 0.0016, 101.61 + s * 0.0012) for b in range(3) for d in range(4) for s in range(4)]
+    learners = [("u", None, at(d, s, n), 3.2 + s * 0.001, 101.9) for d in range(4) for s in range(4) for n in range(10)]
+    rows = spark.createDataFrame(known + learners, "bus_id string, route string, time_ms long, lat double, lon double").withColumn("shape_id", F.lit("clashes")).withColumn("adj_lat", F.lit(9.0))
+    today = 1704038400000 // day + 1 + 3  # the local day of the newest rows
+    run = lambda rows, today: one(maintenance.run_maintenance(rows, fx.shapes(spark), store, today)).asDict()
+
+    none = run(rows.filter("false"), today)
+    assert set(none.values()) == {0}
+    back = maintenance._read_back
+    monkeypatch.setattr(maintenance, "_read_back", lambda s, staged: back(s, staged).withColumn("wrote", F.when(F.col("day") == today - 1, 0).otherwise(F.col("wrote"))))
+    first = run(rows, today)
+    assert (first["scanned_days"], first["promoted"], first["days_augmented"], first["days_held_back"]) == (3, 1, 2, 1)
+    monkeypatch.setattr(maintenance, "_read_back", back)
+    second = run(rows, today)
+    assert (second["observations_written"], second["promoted"], second["days_augmented"], second["days_held_back"]) == (0, 0, 1, 0)
+    last = run(rows, today + 1)
+    assert (last["observations_written"], last["days_augmented"], last["rows_converted"]) == (0, 1, 52)
+    held = spark.read.parquet(f"{store}/days")
+    assert held.count() == rows.count() and held.filter("adj_lat = 9 or shape_id <> 'clashes'").count() == 0
+    assert {r.snap_shape_id for r in held.filter("bus_id = 'u'").select("snap_shape_id").distinct().collect()} == {"LRN_u"}
+    assert spark.read.parquet(f"{store}/learned").count() == 4 and not list((tmp_path / "archive").glob("staged-*"))

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.geo import haversine, local_x, local_y, round_half_up
 from ..functions.speed import segment_class
@@ -109,31 +110,41 @@ def snap_points(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return found.select("event_id", F.inline(F.array(F.array_min("near")))).filter("shape_id is not null").select("event_id", "shape_id", "perp", "cum")
 
 
-def sticky_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(event_id, snap_shape_id, snap_cumdist): the previous shape of a bus is kept within 30 m of the best (K3).
+def with_sticky(rows: DataFrame, keys: list[str], order: list[str], near: str = "near", dealt_by: list[Column] | None = None) -> DataFrame:
+    """Rows with snap_shape_id and snap_cumdist in place of their candidates: a key's previous shape is kept within 30 m of the best.
 
-    A row without a match has none, and the previous shape outlives it.
+    A row without a match has none, and the previous shape outlives it. Rows are dealt to tasks
+    by their keys, or by ``dealt_by``, which must hang on the keys alone.
     """
-    rows = points.select("bus_id", "tick_id", "event_id", "route", "lat", "lon")
-    tracks = with_nearest(rows, shape_cells(shapes, POINT_M), POINT_M).select("bus_id", "tick_id", "event_id", F.array_sort("near").alias("options"))
+    kept = [c for c in rows.columns if c != near]
+    places = [kept.index(k) for k in keys]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bus, last = None, None
+        own, last = None, None
         for batch in batches:
             ids, where = [], []
-            for own, options in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if own != bus:
-                    bus, last = own, None
+            for *key, options in zip(*[batch.column(p).to_pylist() for p in places], batch.column(len(kept)).to_pylist(), strict=True):
+                if key != own:
+                    own, last = key, None
                 pick = None
                 if options:
-                    kept = next((o for o in options if o["shape_id"] == last), None)
-                    pick = kept if kept and kept["perp"] <= options[0]["perp"] + STICKY_M else options[0]
+                    held = next((o for o in options if o["shape_id"] == last), None)
+                    pick = held if held and held["perp"] <= options[0]["perp"] + STICKY_M else options[0]
                     last = pick["shape_id"]
                 ids.append(pick and pick["shape_id"])
                 where.append(pick and pick["cum"])
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ids, pa.string()), pa.array(where, pa.float64())], ["event_id", "snap_shape_id", "snap_cumdist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ids, pa.string()), pa.array(where, pa.float64())], [*kept, "snap_shape_id", "snap_cumdist"])
+
+    tracks = rows.select(*kept, F.array_sort(near).alias(near))
+    schema = StructType([*rows.select(*kept).schema.fields, StructField("snap_shape_id", StringType()), StructField("snap_cumdist", DoubleType())])
+    return tracks.repartition(*(dealt_by or keys)).sortWithinPartitions(*keys, *order).mapInArrow(scan, schema)
 
-    return tracks.repartition("bus_id").sortWithinPartitions("bus_id", "tick_id", "event_id").mapInArrow(scan, "event_id long, snap_shape_id string, snap_cumdist double")
+
+def sticky_shape(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(event_id, snap_shape_id, snap_cumdist): the previous shape of a bus is kept within 30 m of the best (K3)."""
+    rows = points.select("bus_id", "tick_id", "event_id", "route", "lat", "lon")
+    near = with_nearest(rows, shape_cells(shapes, POINT_M), POINT_M).select("bus_id", "tick_id", "event_id", "near")
+    return with_sticky(near, ["bus_id"], ["tick_id", "event_id"]).select("event_id", "snap_shape_id", "snap_cumdist")
 
 
 def pairs(points: DataFrame, *more: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """All telemetry queries and their SQL twins."""
 
-from . import archive, matching, scalars  # noqa: F401
+from . import archive, files, matching, scalars, upkeep  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,14 +75,14 @@ def wire_fields(data: bytes) -> dict[int, list]:
             value, at = _varint(data, at)
         else:
             size, at = (8, at) if kind == 1 else (4, at) if kind == 5 else _varint(data, at)
+            if at + size > len(data):
+                raise IndexError("torn message")
             value, at = data[at : at + size], at + size
         found.setdefault(key >> 3, []).append(value)
     return found
 
 
 def _float(fields: dict[int, list], number: int) -> float | None:
-    import struct
-
     return struct.unpack("<f", fields[number][0])[0] if number in fields else None
 
 
@@ -117,7 +118,7 @@ def decode_feed(files: DataFrame) -> DataFrame:
             for path, stamp, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     rows += [(path, *v) for v in vehicles(content, stamp)]
-                except (IndexError, TypeError):
+                except (IndexError, TypeError, AttributeError, struct.error):
                     continue
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)

@@ -106,6 +106,10 @@ def s10(spark, sf_dir):
 LEAST_TICKS, MOST_TICKS, RANGES = 30, 2000, 4
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _folder(spark) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -138,6 +142,25 @@ def k2(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("event_id", geo.round_half_up(F.col("speed_kalman"), 4).alias("speed_kalman"))
 
 
+@query("k11_warm_filter", f"WITH {fx.POS_DENSE} SELECT q.* FROM ({_KALMAN}) AS q JOIN pos USING (event_id) WHERE tick_id > (SELECT max(tick_id) // 2 FROM pos)")
+def k11f(spark, sf_dir):
+    """The filter of the later half of ticks, by a session that starts from the state of the stored earlier half."""
+    folder = _folder(spark)
+    fx.pos_dense(spark, sf_dir).write.parquet(f"{folder}/dense")
+    pos = spark.read.parquet(f"{folder}/dense")
+    half = (pos.agg(F.max("tick_id")).first()[0] or 0) // 2
+    pos.filter(F.col("tick_id") > half).write.parquet(f"{folder}/in")
+    states = live.kalman_state(pos.filter(F.col("tick_id") <= half))
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        out = live.kalman_stream(spark.readStream.schema(pos.schema).parquet(f"{folder}/in"), states)
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    return spark.read.schema("event_id long, speed_kalman double").parquet(f"{folder}/out").select("event_id", geo.round_half_up(F.col("speed_kalman"), 4).alias("speed_kalman"))
+
+
 #: From the positions' first tick, 06:00, to two minutes before local midnight, so that streams cross it.
 _TO_MIDNIGHT = 17 * 3_600_000 + 58 * 60_000
 _MOVED = f"{fx.POS_DENSE.replace('pos AS (', 'pos0 AS (')}, pos AS (SELECT * REPLACE (time_ms + {_TO_MIDNIGHT} AS time_ms) FROM pos0)"

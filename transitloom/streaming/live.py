@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import local_x, local_y
@@ -17,38 +17,87 @@ from ..operators.kalman import kalman_step
 from ..operators.speeds import speed_timeline
 from ..sources.history import with_ingest_date
 
+_FLOATS = ["x", "y", "vx", "vy", "p11", "p12", "p22"]
 _STATE = "x double, y double, vx double, vy double, p11 double, p12 double, p22 double, starts int, live boolean, tick long, time_ms long"
 
 
-def kalman_stream(ticks: DataFrame) -> DataFrame:
+def _advance(saved: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list]:
+    """A bus's state after its rows, which are in tick order, and the speed of each."""
+    *kept, starts, live, tick, time_ms = saved or (*[0.0] * 7, 0, False, None, None)
+    own = (*kept, starts) if live else None
+    before = (tick, time_ms)  # the last row of an earlier tick
+    out, current = [], None
+    for row in rows.itertuples(index=False):
+        if current is not None and row.tick_id != current[0]:
+            before = current
+        near = before[0] is not None and row.tick_id - before[0] == 1
+        if pd.isna(row.x) or pd.isna(row.y) or pd.isna(row.speed):
+            out.append(None)
+        else:
+            own, speed = kalman_step(own, row.x, row.y, row.speed, (row.time_ms - before[1]) / 1000 if near else 1.0)
+            out.append(speed)
+        current = (row.tick_id, row.time_ms)
+    return (*(own or (*[0.0] * 7, 0)), own is not None, int(current[0]), int(current[1])), out
+
+
+def _tracks(ticks: DataFrame) -> DataFrame:
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return ticks.select("bus_id", whole("tick_id"), whole("event_id"), whole("time_ms"), local_x(F.col("lon")).alias("x"), local_y(F.col("lat")).alias("y"), "speed")
+
+
+_ORDER = ["tick_id", "event_id"]
+
+
+class _Filter(StatefulProcessor):
+    """K1's filter with the state of each bus in the store."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.saved = handle.getValueState("track", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(rows).sort_values(_ORDER)
+        saved, out = _advance(self.saved.get() if self.saved.exists() else None, frame)
+        self.saved.update(saved)
+        yield pd.DataFrame({"bus_id": key[0], "tick_id": frame.tick_id, "event_id": frame.event_id, "speed_kalman": pd.Series(out, index=frame.index, dtype="float64")})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        row = initialState.iloc[0]
+        self.saved.update((*[float(row[c]) for c in _FLOATS], int(row.starts), bool(row.live), int(row.tick), int(row.time_ms)))
+
+    def close(self) -> None:
+        pass
+
+
+def kalman_state(rows: DataFrame) -> DataFrame:
+    """(bus_id and the filter's state) after rows that are already stored, one row a bus: what a new session starts from."""
+
+    def last(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        state, _ = _advance(None, frame.sort_values(_ORDER))
+        return pd.DataFrame([(key[0], *state)], columns=["bus_id", *_FLOATS, "starts", "live", "tick", "time_ms"])
+
+    return _tracks(rows).groupBy("bus_id").applyInPandas(last, f"bus_id string, {_STATE}")
+
+
+def kalman_stream(ticks: DataFrame, warm: DataFrame | None = None) -> DataFrame:
     """(bus_id, tick_id, event_id, speed_kalman) of a stream of positions: K1's filter with its state kept per bus.
 
     Rows of a micro-batch are taken in tick order. A step's length is the time since the bus's
     row in the tick just before, and 1 without one. The state never expires, as in the batch
-    form it outlives absences and midnight.
+    form it outlives absences and midnight. With ``warm``, a state as ``kalman_state`` gives
+    it, a stream without a checkpoint goes on from there; its session keeps states in RocksDB.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values(["tick_id", "event_id"])
-        *kept, starts, live, tick, time_ms = state.get if state.exists else (*[0.0] * 7, 0, False, None, None)
-        own = (*kept, starts) if live else None
-        before = (tick, time_ms)  # the last row of an earlier tick
-        out, current = [], None
-        for row in rows.itertuples(index=False):
-            if current is not None and row.tick_id != current[0]:
-                before = current
-            near = before[0] is not None and row.tick_id - before[0] == 1
-            if pd.isna(row.x) or pd.isna(row.y) or pd.isna(row.speed):
-                out.append(None)
-            else:
-                own, speed = kalman_step(own, row.x, row.y, row.speed, (row.time_ms - before[1]) / 1000 if near else 1.0)
-                out.append(speed)
-            current = (row.tick_id, row.time_ms)
-        state.update((*(own or (*[0.0] * 7, 0)), own is not None, int(current[0]), int(current[1])))
+        rows = pd.concat(frames).sort_values(_ORDER)
+        saved, out = _advance(state.get if state.exists else None, rows)
+        state.update(saved)
         yield pd.DataFrame({"bus_id": key[0], "tick_id": rows.tick_id, "event_id": rows.event_id, "speed_kalman": out})
 
-    tracks = ticks.select("bus_id", F.col("tick_id").cast("long").alias("tick_id"), F.col("event_id").cast("long").alias("event_id"), F.col("time_ms").cast("long").alias("time_ms"), local_x(F.col("lon")).alias("x"), local_y(F.col("lat")).alias("y"), "speed")
-    return tracks.groupBy("bus_id").applyInPandasWithState(step, "bus_id string, tick_id long, event_id long, speed_kalman double", _STATE, "append", GroupStateTimeout.NoTimeout)
+    made = "bus_id string, tick_id long, event_id long, speed_kalman double"
+    buses = _tracks(ticks).groupBy("bus_id")
+    if warm is None:
+        return buses.applyInPandasWithState(step, made, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return buses.transformWithStateInPandas(_Filter(), made, "append", "none", warm.groupBy("bus_id"))
 
 
 def append_ticks(ticks: DataFrame, path: str, checkpoint: str, arrival_ms: str = "arrival_ms") -> StreamingQuery:

@@ -78,6 +78,19 @@ def test_fingerprints(spark, texts):
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.97
 
 
+def test_rows_without_an_id_are_dealt_over_buckets(spark):
+    rng = np.random.default_rng(11)
+    made = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(rng.choice(["sun", "moon", "sea", "wind", "stone"], 12)) + f" {k // 2}") for k in range(600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    sizes = collections.Counter(r.bucket for r in fingerprints.with_next_text(docs, "doc_id", "text").filter("not copy").collect())
+    assert len(sizes) >= 12 and max(sizes.values()) < 120
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    want = [(r.doc_id, fingerprints.edited(r.text, n.text)) for r, n in zip(order, [*order[1:], order[0]], strict=True)]
+    got = fingerprints.fingerprint_edits(docs).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.edited_text)) for r in got)
+
+
 def plain_digest(text):
     """The digest by loops: every triplet of every window into its bucket, then the quartiles."""
     data = text.encode()

@@ -93,33 +93,45 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, copy, place, id, text) in which a bucket's rows, then a copy of the next bucket's first row, follow each other.
+    """(bucket, copy, id, text) in which a bucket's rows, then a copy of the next bucket's first row, follow each other.
 
-    Buckets are ranges of ids of about equal size, in descending order; only their bounds and
-    first ids, a few for each partition, come to the driver. The text moves once.
+    Buckets are ranges of ids of about equal size, in descending order. Where one id repeats
+    so often that it would fill several, or as many rows have none, a hash of the text parts
+    its rows too. Only bounds and first rows' ids and hashes, a few for each partition, come
+    to the driver. The text moves once.
     """
-    count = 4 * partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("place"), text_or_empty(text_col).alias("text"))
-    cuts = rows.agg(F.percentile_approx("place", [k / count for k in range(1, count)], 10 * count)).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
+    spark = docs.sparkSession
+    count = 4 * partitions(spark)
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    cuts = docs.agg(F.percentile_approx(place, [k / count for k in range(1, count)], 10 * count)).first()[0] or []
+    bounds = np.sort(-np.array(cuts, np.int64))
+    repeats = len(np.unique(bounds)) < len(bounds)
+    text = text_or_empty(text_col)
+    far = F.xxhash64(text) if repeats else F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), place.alias("place"), far.alias("far"), text.alias("text"))
+
+    def bucket_of(place: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The bounds before a row, and of those at its very id the share that its hash has passed."""
+        start, end = np.searchsorted(bounds, -place, "left"), np.searchsorted(bounds, -place, "right")
+        passed = (far >> 32) + (1 << 31)  # from 0 to 2**32
+        return (start + (passed * np.maximum(end - start, 1) >> 32)).astype(np.int32)
 
     @F.pandas_udf("int")
-    def bucket(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(-bounds[::-1], -place.to_numpy(), "left").astype(np.int32))
+    def bucket(place: pd.Series, far: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(place.to_numpy(), far.to_numpy()))
 
-    dealt = rows.withColumn("bucket", bucket("place"))
-    heads = [r.place for r in dealt.groupBy("bucket").agg(F.max("place").alias("place")).orderBy("bucket").collect()]
-    where = [r for r in np.searchsorted(-bounds[::-1], -np.array(heads, np.int64), "left").tolist()]
+    dealt = rows.withColumn("bucket", bucket("place", "far"))
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct((-F.col("place")).alias("down"), "far")).alias("first")).orderBy("bucket").collect()
+    heads = np.array([(-r.first.down, r.first.far) for r in firsts], np.int64).reshape(-1, 2)
+    where = bucket_of(heads[:, 0], heads[:, 1]).tolist()
     # the first row of each bucket also ends the one before it, and the very first one the last
-    before = {head: where[k - 1] for k, head in enumerate(heads)}
-
-    @F.pandas_udf("int")
-    def bucket_before(place: pd.Series) -> pd.Series:
-        return place.map(before).astype("int32")
-
-    copies = rows.filter(F.col("place").isin(heads)).withColumn("bucket", bucket_before("place"))
-    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
-    return both.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "copy", F.desc("place"), F.xxhash64("text"), "text")
+    ends = spark.createDataFrame([(*head, where[k - 1]) for k, head in enumerate(heads.tolist())], "place long, far long, bucket int")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    copies = rows.join(F.broadcast(ends), ["place", "far"]).groupBy("bucket", "place").agg(least)  # one row a bucket
+    copies = copies.select("bucket", F.lit(True).alias("copy"), F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "place", F.col("least.text").alias("text"))
+    both = dealt.select("bucket", F.lit(False).alias("copy"), "id", "place", "text").union(copies)
+    ordered = both.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "copy", F.desc("place"), F.xxhash64("text"), "text")
+    return ordered.select("bucket", "copy", "id", "text")
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_texts: bool = True) -> DataFrame:
@@ -153,5 +165,4 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + ", edited_text string" * keep_texts
-    ordered = with_next_text(docs, id_col, text_col).select("bucket", "copy", "id", "text")
-    return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return with_next_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)

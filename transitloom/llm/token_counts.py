@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def _tokenizer(key: str, blob: bytes):
 
 
 def _lengths(tokenizer, texts: list[str]) -> list[int]:
-    return [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def special_strings(tokenizer) -> list[str]:
@@ -106,24 +107,27 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         own = _tokenizer(key, model.value)
         first = table.value.unpack()
         second = _CACHES.setdefault(key, {})
+        known = first | second  # one look finds a chunk in either tier
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            cut = [_parts(text, specials) for text in texts]
-            lists = [[c for part in parts for c in chunks(part)] for parts, _ in cut]
-            wanted = dict.fromkeys(c for found in lists for c in found if c not in first and c not in second)
-            if len(second) + len(wanted) > CACHE_ENTRIES:
+            cut = [_parts(text, specials) for text in batch.column(1).to_pylist()]
+            lists = [[c for part in parts for c in chunks(part)] if len(parts) > 1 else chunks(parts[0]) for parts, _ in cut]
+            misses = list(set().union(*lists).difference(known))
+            if len(second) + len(misses) > CACHE_ENTRIES:
                 second.clear()
-                wanted = dict.fromkeys(c for found in lists for c in found if c not in first)
-            misses = list(wanted)
+                known = dict(first)
+                misses = list(set().union(*lists).difference(known))
             for at in range(0, len(misses), 4096):
                 some = misses[at : at + 4096]
-                second.update(zip(some, _lengths(own, some), strict=True))
-            tokens = [n + sum(first[c] if c in first else second[c] for c in found) for found, (_, n) in zip(lists, cut, strict=True)]
+                known.update(zip(some, _lengths(own, some), strict=True))
+            length = known.__getitem__
+            tokens = [n + sum(map(length, found)) for found, (_, n) in zip(lists, cut, strict=True)]
             for c in misses:
                 if len(c) > CACHED_CHARS:
-                    del second[c]
-            sizes = [len(t.encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
+                    del known[c]
+                else:
+                    second[c] = known[c]
+            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

@@ -98,6 +98,20 @@ def test_url_filters(spark):
     assert {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(more, odd).collect()} == {1: ("c.org/", "block"), 2: ("b.c.org/x", "allow"), 3: ("c.org/", "block"), 4: (None, "allow"), 5: ("c-x.org/", "block"), 6: (None, "allow")}
 
 
+@pytest.mark.parametrize("n_rules", [3, 200])
+def test_url_filters_by_a_plain_loop(spark, n_rules):
+    """Few rules take many salts, more rules than pages take one; the verdicts are those of a loop."""
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "ab.com", "org", "a.org"]
+    paths = ["/", "/x", "/x/y", "/x/y/z", "/q", ""]
+    rules = sorted({("block" if k % 3 else "allow", hosts[k % 7], paths[k * 5 % 6]) for k in range(n_rules)})
+    pages = [(k, f"http://{hosts[k * 3 % 7]}{paths[k % 6]}{k % 4}") for k in range(120)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), url_filters.rule_table(spark, rules)).collect()}
+    for number, url in pages:
+        host, slash, path = url[7:].partition("/")
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+        assert got[number] == (max(fits)[1:] if fits else (None, "allow"))
+
+
 @pytest.fixture(scope="module")
 def stages():
     import corpus_pipeline

@@ -8,7 +8,8 @@ longest. The stack changes only at an interval's end, so each such event carries
 that holds from there on and the sweep is a running last value.
 
 The sweep is dealt by top-level label and salt; events are repeated for each salt. So no
-label or host, however hot, is one task's work, and only ids, hosts and paths move.
+label or host, however hot, is one task's work, and only ids, hosts and paths move. There
+are fewer salts where rules are many, so that repeated events never outnumber the pages.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     does every page where there are no rules. Ids may be null or repeat. Columns of other
     names are not read.
     """
-    count = salts or 4 * max(64, partitions(pages.sparkSession))
+    # a rule makes two events; counts come from the tables' sizes, not from urls
+    count = salts or max(1, min(4 * max(64, partitions(pages.sparkSession)), pages.count() // max(1, 2 * rules.count())))
     top = F.substring_index("key", ".", 1)
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), url_host(url).alias("host"), url_path(url).alias("path"), F.pmod(F.xxhash64(F.col(id_col), url), F.lit(count)).cast("int").alias("salt"))

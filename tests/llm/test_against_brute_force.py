@@ -30,7 +30,7 @@ def texts():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{MORE}/{t}.parquet'")
     got = QUERIES[name](spark, MORE)
     made = con.execute(ORACLES[name])

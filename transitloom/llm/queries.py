@@ -9,13 +9,16 @@ from ..runtime import table
 from .bpe import encode_texts
 from .exact_dedup import FIND_COPIES_SQL, find_copies
 from .fingerprints import fingerprint_edits
+from .html_text import extract_pages
 from .mixing import DIMENSIONS, MIX_SQL, mix_corpus
 from .near_dedup import find_near_copies
 from .pii import KINDS, MORE_KINDS, find_private, joined
+from .prefix_trie import TRIE_SQL, conversation_trie
 from .quality import classify_quality
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .url_filters import FILTER_URLS_SQL, RULES, filter_urls, rule_table
+from .whitening import whiten
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_near_copies(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -78,10 +93,14 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_html_text": op11_html_text,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": MIX_SQL,
     "op8_url_filters": FILTER_URLS_SQL,
     "op9_exact_dedup": FIND_COPIES_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }

@@ -329,3 +329,58 @@ def test_maintenance_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert held.count() == rows.count() and held.filter("adj_lat = 9 or shape_id <> 'clashes'").count() == 0
     assert {r.snap_shape_id for r in held.filter("bus_id = 'u'").select("snap_shape_id").distinct().collect()} == {"LRN_u"}
     assert spark.read.parquet(f"{store}/learned").count() == 4 and not list((tmp_path / "archive").glob("staged-*"))
+
+
+# archives and their files
+
+
+def test_renames_are_checked(spark, tmp_path, monkeypatch):
+    from transitloom.sources.folders import Files
+
+    files = Files(spark, str(tmp_path))
+    files.write_new(f"{tmp_path}/a", [{"day": 1}])
+    with pytest.raises(Exception):
+        files.write_new(f"{tmp_path}/a", [{"day": 2}])
+    files.write(f"{tmp_path}/b", b"new")
+    with pytest.raises(FileExistsError):
+        files.rename(f"{tmp_path}/b", f"{tmp_path}/a")
+    with pytest.raises(Exception):
+        files.rename(f"{tmp_path}/none", f"{tmp_path}/c")
+    rename = Files.rename
+
+    def fails(self, source, target):
+        if source.endswith("b"):
+            raise OSError("no")
+        rename(self, source, target)
+
+    monkeypatch.setattr(Files, "rename", fails)
+    with pytest.raises(OSError):
+        files.replace(f"{tmp_path}/b", f"{tmp_path}/a")
+    assert files.read(f"{tmp_path}/a") == b'{"day": 1}\n' and files.read(f"{tmp_path}/b") == b"new"
+    monkeypatch.undo()
+    files.replace(f"{tmp_path}/b", f"{tmp_path}/a")
+    assert files.read(f"{tmp_path}/a") == b"new" and files.names(str(tmp_path)) == ["a"]
+
+
+def test_a_scan_reads_the_days_asked_for_and_misses_nothing_silently(spark, tmp_path):
+    from transitloom.sources import scan
+
+    data = tmp_path / "data"
+    rows = lambda n: spark.createDataFrame([(f"B{k}", "R1", k, 3.0, 101.0) for k in range(n)], "bus_id string, route string, time long, lat double, lon double")
+    rows(3).coalesce(1).write.parquet(f"{data}/2024-01-01.parquet")
+    rows(0).coalesce(1).write.parquet(f"{data}/2024-01-02.parquet")  # a day without rows is readable
+    rows(5).write.json(f"{data}/2024-01-03.jsonl")
+    (data / "2024-01-04.parquet").write_bytes(b"PAR1 torn")
+    rows(2).write.json(f"{data}/old/2024-01-05.jsonl")  # not in the folder itself
+    (data / "notes.parquet").write_bytes(b"no day")
+    archive = scan.Archive(spark, {"data": str(data), "history": str(tmp_path / "none")})
+    told = [(str(r.day), r.source, r.rows, r.passed_over) for r in archive.catalog.collect()]
+    assert told == [("19726", None, None, 1), ("19725", "jsonl", None, 0), ("19724", "local_parquet", 0, 0), ("19723", "local_parquet", 3, 0)]
+    assert archive.scan().count() == 8 and archive.scan(19725).count() == 5 and archive.scan(last=19723).count() == 3
+    plan = archive.scan(last=19723).select("bus_id")._jdf.queryExecution().executedPlan().toString()
+    assert "2024-01-03" not in plan and "lat" in plan and "speed_kalman" not in plan.split("ReadSchema")[1]
+    assert scan.Archive(spark, {"data": str(tmp_path / "none")}).scan().count() == 0
+    part = next((data / "2024-01-01.parquet").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:200])  # torn after the probe
+    with pytest.raises(Exception):
+        archive.scan(last=19723).count()

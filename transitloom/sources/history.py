@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.timeparts import local_date
+from .folders import Files
 
 DEFAULT_SOURCE = "rapid-bus-kl"
 _DOUBLES = ["lat", "lon", "speed", "speed_corrected", "calculated_speed", "speed_kalman", "weighted_speed", "trust_score", "adj_lat", "adj_lon"]
@@ -24,12 +25,17 @@ LEGACY = {"t": "time", "speed_raw": "speed", "speed_calc": "calculated_speed", "
 PRIORITY = {"local_parquet": 0, "jsonl": 1, "history_parquet": 2}
 
 
-def read_ticks_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines archive in either vintage; blank, torn and invalid lines are left out, rows without a position are not."""
+def read_ticks_json(spark: SparkSession, path: str | list[str], keep_path: bool = False) -> DataFrame:
+    """A JSON-lines archive in either vintage; blank, torn and invalid lines are left out, rows without a position are not.
+
+    With ``keep_path`` each row has the ``path`` of its file.
+    """
     old = [StructField(k, LongType() if k == "t" else DoubleType()) for k in LEGACY]
     schema = StructType([*POSITION.fields, *old, StructField("_corrupt", StringType())])
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
     # a record needs to be parsed as a whole before its corruption is known, hence the look at a data column
+    if keep_path:
+        rows = rows.withColumn("path", F.col("_metadata.file_path"))
     return rows.withColumn("_ok", F.col("_corrupt").isNull() & F.col("bus_id").isNotNull()).filter("_ok").drop("_ok", "_corrupt")
 
 
@@ -58,14 +64,31 @@ def clean_history(rows: DataFrame) -> DataFrame:
     return rows.withColumn("route", F.coalesce("route", F.lit("Unknown"))).withColumn("speed_corrected", F.coalesce("speed_corrected", "speed"))
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet history by its named columns; unreadable files are passed over and missing columns are null."""
-    rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
+def empty_positions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], POSITION)
+
+
+def read_history(spark: SparkSession, path: str | list[str], keep_path: bool = False) -> DataFrame:
+    """Parquet history by its named columns; missing columns are null, and a file that cannot be read raises an error.
+
+    ``scan.Archive`` finds such files first and reads their days from elsewhere. With
+    ``keep_path`` each row has the ``path`` of its file.
+    """
+    rows = spark.read.option("mergeSchema", "true").parquet(*([path] if isinstance(path, str) else path))
     have = set(rows.columns)
+    also = [F.col("_metadata.file_path").alias("path")] if keep_path else []
     picked = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in POSITION.fields if f.name != "time"]
     stamp = dict(rows.dtypes).get("time", "")
     time = F.expr("unix_micros(CAST(time AS TIMESTAMP)) div 1000") if stamp.startswith("timestamp") else F.col("time").cast("long")
-    return clean_history(rows.select(*picked, time.alias("time")))
+    return clean_history(rows.select(*picked, time.alias("time"), *also))
+
+
+def source_rank(source: Column) -> Column:
+    """A source's place in the order of preference; unknown ones come last."""
+    rank = F.lit(len(PRIORITY))
+    for name, place in PRIORITY.items():
+        rank = F.when(source == name, place).otherwise(rank)
+    return rank
 
 
 def day_catalog(listings: DataFrame) -> DataFrame:
@@ -73,11 +96,8 @@ def day_catalog(listings: DataFrame) -> DataFrame:
 
     A listing that is marked unreadable falls through to the day's next source.
     """
-    rank = F.lit(len(PRIORITY))
-    for name, place in PRIORITY.items():
-        rank = F.when(F.col("source") == name, place).otherwise(rank)
     readable = listings.filter(F.coalesce("readable", F.lit(True))) if "readable" in listings.columns else listings
-    best = Window.partitionBy("day").orderBy(rank, F.desc("mtime_ms"))
+    best = Window.partitionBy("day").orderBy(source_rank(F.col("source")), F.desc("mtime_ms"))
     return readable.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k").select("day", "source", "size_bytes", "mtime_ms").orderBy(F.desc("day"))
 
 
@@ -101,23 +121,23 @@ def typed(rows: DataFrame) -> DataFrame:
 def compact_day(spark: SparkSession, source: str, target: str) -> int:
     """Rewrites a JSON-lines day as Parquet and returns its rows, after reading them back; an empty day writes nothing.
 
-    The day goes to a staging folder first and is swapped in by one rename, so readers never
-    see half of it; the source is left to the caller to remove.
+    The day goes to a staging folder first and is swapped in by one checked rename, so readers
+    never see half of it and a day that stood there before is only removed after that. The
+    read-back decodes a column, not footers alone. What fails raises an error and leaves the
+    target as it was; the source is left to the caller to remove.
     """
     rows = typed(normalize(read_ticks_json(spark, source)))
-    staged = f"{target.rstrip('/')}.staged"
+    target = target.rstrip("/")
+    staged, files = f"{target}.staged", Files(spark, target)
     rows.write.mode("overwrite").parquet(staged)
-    wrote, back = rows.count(), spark.read.parquet(staged).count()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wrote, back = rows.count(), spark.read.schema(POSITION).parquet(staged).agg(F.count("bus_id")).first()[0]
     if wrote != back:
-        files.delete(hadoop(staged), True)
+        files.remove(staged)
         raise OSError(f"{target}: wrote {wrote} rows, read back {back}")
     if not wrote:
-        files.delete(hadoop(staged), True)
+        files.remove(staged)
         return 0
-    files.delete(hadoop(target), True)
-    files.rename(hadoop(staged), hadoop(target))
+    files.replace(staged, target)
     return wrote
 
 

@@ -384,3 +384,18 @@ def test_a_scan_reads_the_days_asked_for_and_misses_nothing_silently(spark, tmp_
     part.write_bytes(part.read_bytes()[:200])  # torn after the probe
     with pytest.raises(Exception):
         archive.scan(last=19723).count()
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace as Made
+
+    from transitloom.runtime import shared_dir
+
+    def session(master, **conf):
+        return Made(conf=Made(get=lambda key, other=None: conf.get(key.split(".")[1], other)), sparkContext=Made(master=master, getCheckpointDir=lambda: None))
+
+    assert shared_dir(session("yarn", checkpoint="hdfs://store/shared/")) == "hdfs://store/shared"
+    assert shared_dir(session("local[4]", sql="/tmp/warehouse")) == "/tmp/warehouse/shared"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, sql="/tmp/warehouse"))

@@ -55,9 +55,16 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: that of spark.checkpoint.dir, else the context's checkpoint folder, else one in the warehouse."""
+    """The shared folder: that of spark.checkpoint.dir, else the context's checkpoint folder, else in local mode one in the warehouse.
+
+    A cluster without either raises an error: its executors share no folder of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    return folder.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

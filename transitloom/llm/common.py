@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that a broadcast table may hold; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+from ..runtime import BROADCAST_BYTES, if_small, shared_dir, written  # noqa: F401
 
 #: Rows of a key beyond which a join deals them over several tasks.
 HOT = 512
@@ -19,36 +17,10 @@ HOT = 512
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: that of spark.checkpoint.dir, else the context's checkpoint folder, else one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs the tasks of the stage that runs, not
-    everything before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Marked for a broadcast where its counted rows fit the bound; else left to a shuffle join.
-
-    ``df`` has to be a written table, since this counts it.
-    """
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
-
-
 def hot_keys(counted: DataFrame, key: str, size: str) -> DataFrame:
     """(key, pieces) of the keys of more than HOT rows: at most one for HOT rows."""
     return counted.filter(F.col(size) > HOT).select(key, F.ceil(F.col(size) / HOT).cast("int").alias("pieces"))

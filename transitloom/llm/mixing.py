@@ -197,17 +197,17 @@ def _rake_table(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, t
     missed = float("inf")
     own = F.col("tokens").cast("double")
     cells = written(cells.withColumn("raked", own), "mix-cells")
-    for _ in range(MOST_ROUNDS * sweeps):
-        before, missed = missed, 0.0
-        for name in DIMENSIONS:
-            have = cells.groupBy(F.col(name).alias("of")).agg(F.sum("raked").alias("now"))
-            both = have.join(if_small(goals[name], 64), F.col("of").eqNullSafe(F.col("value")))
-            ratio = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
-            ratios = written(both.select("of", ratio.alias("ratio"), F.when(F.col("goal") > 0, F.abs(F.col("now") / F.col("goal") - 1)).alias("miss")), "mix-ratios")
-            missed = max(missed, ratios.agg(F.max("miss")).first()[0] or 0.0)
-            raked = F.col("raked") * F.col("ratio")
-            cells = cells.join(if_small(ratios.drop("miss"), 64), F.col(name).eqNullSafe(F.col("of"))).withColumn("raked", F.least(raked, own) if bounded else raked).drop("of", "ratio")
-        cells = written(cells, "mix-cells")
+    sums = lambda name: cells.groupBy(F.col(name).alias("of")).agg(F.sum("raked").alias("now")).join(if_small(goals[name], 64), F.col("of").eqNullSafe(F.col("value")))
+    for _ in range(MOST_ROUNDS):
+        for _ in range(sweeps):
+            for name in DIMENSIONS:
+                ratio = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+                ratios = written(sums(name).select("of", ratio.alias("ratio")), "mix-ratios")
+                raked = F.col("raked") * F.col("ratio")
+                cells = cells.join(if_small(ratios, 64), F.col(name).eqNullSafe(F.col("of"))).withColumn("raked", F.least(raked, own) if bounded else raked).drop("of", "ratio")
+            cells = written(cells, "mix-cells")
+        miss = F.when(F.col("goal") > 0, F.abs(F.col("now") / F.col("goal") - 1))
+        before, missed = missed, max(sums(name).agg(F.max(miss)).first()[0] or 0.0 for name in DIMENSIONS)
         if _enough(missed, before, tolerance, bounded):
             break
     return cells, missed

@@ -110,15 +110,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fit_logistic(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.label for r in rows]))
 
 
-def _strength(groups: DataFrame, mean: float, n: str, total: str) -> float:
-    """Prior strength in documents: what the groups' means vary beyond the sampling of their documents."""
-    share = F.col(total) / F.col(n)
-    row = groups.filter(F.col(n) > 0).agg(F.sum(n).alias("n"), F.sum(F.col(n) * (share - mean) ** 2).alias("spread"), F.count("*").alias("groups"), F.sum(F.col(n) * F.col(n)).alias("squares")).first()
-    if not row.n or row.groups < 2:
+def _strength(groups: DataFrame, mean: float, n: str, total: str, center: Column, center_n: Column, centers: int) -> float:
+    """Prior strength in documents: what groups' means vary around those that they shrink to, beyond the sampling of their documents.
+
+    ``center`` and ``center_n`` are the mean and the documents of a group's larger one, of
+    which there are ``centers``: the corpus for sites, its site for a section.
+    """
+    size, share = F.col(n), F.col(total) / F.col(n)
+    row = groups.filter(size > 0).agg(F.sum(size * (share - center) ** 2).alias("spread"), F.count("*").alias("groups"), F.sum(size - size * size / center_n).alias("even")).first()
+    free, within = row.groups - centers, mean * (1 - mean)
+    if free < 1 or row.even <= 0:
         return MOST_PRIOR
-    within = mean * (1 - mean)
-    even = row.n - row.squares / row.n
-    between = (row.spread - (row.groups - 1) * within) / even if even > 0 else 0.0
+    between = (row.spread - free * within) / row.even
     return float(np.clip(within / between - 1, LEAST_PRIOR, MOST_PRIOR)) if between > 0 else MOST_PRIOR
 
 
@@ -130,11 +133,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, host: Column, path: Colum
     good = 1 / (1 + F.exp(-F.col("odds")))
     paths = written(odds.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("total")), "quality-paths")
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total")), "quality-hosts")
-    whole = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_total").alias("total")).first()
+    whole = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_total").alias("total"), F.count("*").alias("sites")).first()
     mean = float(np.clip(whole.total / whole.n, 1e-6, 1 - 1e-6)) if whole.n else 0.5
     same = F.col("host").eqNullSafe(F.col("of_host"))
     sections = written(paths.join(hosts.withColumnRenamed("host", "of_host"), same).drop("of_host"), "quality-sections")
-    return QualityModel(weights, mean, _strength(hosts, mean, "host_n", "host_total"), _strength(paths, mean, "n", "total"), sections)
+    host_prior = _strength(hosts, mean, "host_n", "host_total", F.lit(mean), F.lit(whole.n), 1)
+    path_prior = _strength(sections, mean, "n", "total", F.col("host_total") / F.col("host_n"), F.col("host_n"), whole.sites)
+    return QualityModel(weights, mean, host_prior, path_prior, sections)
 
 
 def judge(rows: DataFrame, model: QualityModel, *, host: Column, path: Column, text: Column, least: float = 0.5) -> DataFrame:

@@ -101,16 +101,16 @@ def within_reach(values: DataFrame, keep: float) -> DataFrame:
         scale = wider
 
 
-def rake(cells: DataFrame, goals: Mapping[str, DataFrame], *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, bounded: bool = False) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, goals: Mapping[str, DataFrame], *, sweeps: int = SWEEPS, tolerance: float = TOLERANCE, bounded: bool = False, rounds: int | None = None) -> tuple[DataFrame, float]:
     """(source, lang, topic, tokens, raked) of cells, and the largest relative miss of a marginal that is left.
 
     Rounds of sweeps go on until that miss is under the tolerance. Marginals that no cells can
-    meet together stop after MOST_ROUNDS rounds, at the best compromise; with ``bounded`` no
+    meet together stop after ``rounds`` (MOST_ROUNDS) rounds, at the best compromise; with ``bounded`` no
     cell's weight exceeds its tokens, and rounds also end once they gain little.
     """
     counts = [goals[name].count() for name in DIMENSIONS]
     made = _rake_grid if counts[0] * counts[1] * counts[2] <= ONE_ROW_CELLS else _rake_table
-    return made(cells, goals, sweeps, tolerance, bounded)
+    return made(cells, goals, sweeps, tolerance, bounded, MOST_ROUNDS if rounds is None else rounds)
 
 
 def _enough(missed: float, before: float, tolerance: float, bounded: bool) -> bool:
@@ -143,7 +143,7 @@ def _rescaled(grid: Column, name: str, ratios: Column) -> Column:
     return F.transform(grid, lambda plane: F.transform(plane, lambda line: F.zip_with(line, ratios, lambda x, k: x * k)))
 
 
-def _rake_grid(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, tolerance: float, bounded: bool) -> tuple[DataFrame, float]:
+def _rake_grid(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, tolerance: float, bounded: bool, rounds: int) -> tuple[DataFrame, float]:
     """Raking over one row that holds a number for every source, language and topic, absent cells as zeros."""
     placed, lists = cells, {}
     for name in DIMENSIONS:
@@ -183,7 +183,7 @@ def _rake_grid(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, to
     sums = _sums(F.col("raked"), zeros)
     misses = [F.array_max(F.zip_with(F.col(name), sums[name], lambda goal, have: F.when(goal > 0, F.abs(have / goal - 1)).otherwise(0.0))) for name in DIMENSIONS]
     missed = float("inf")
-    for _ in range(MOST_ROUNDS):
+    for _ in range(rounds):
         grid = written(grid.withColumn("raked", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.col("raked"), sweep)), "mix-grid")
         before, missed = missed, grid.select(F.greatest(*misses)).first()[0]
         if _enough(missed, before, tolerance, bounded):
@@ -192,13 +192,13 @@ def _rake_grid(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, to
     return placed.join(F.broadcast(out), [f"at_{name}" for name in DIMENSIONS]).select(*DIMENSIONS, "tokens", "raked"), missed  # at most ONE_ROW_CELLS rows
 
 
-def _rake_table(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, tolerance: float, bounded: bool) -> tuple[DataFrame, float]:
+def _rake_table(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, tolerance: float, bounded: bool, rounds: int) -> tuple[DataFrame, float]:
     """Raking of any number of cells: each step sums a marginal in a grouped aggregate and joins its few ratios back."""
     missed = float("inf")
     own = F.col("tokens").cast("double")
     cells = written(cells.withColumn("raked", own), "mix-cells")
     sums = lambda name: cells.groupBy(F.col(name).alias("of")).agg(F.sum("raked").alias("now")).join(if_small(goals[name], 64), F.col("of").eqNullSafe(F.col("value")))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(rounds):
         for _ in range(sweeps):
             for name in DIMENSIONS:
                 ratio = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
@@ -213,7 +213,7 @@ def _rake_table(cells: DataFrame, goals: Mapping[str, DataFrame], sweeps: int, t
     return cells, missed
 
 
-def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, lang: Column, topic: Column, tokens: Column, targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] = POWERS, seed: str = "mix", keep: float | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, lang: Column, topic: Column, tokens: Column, targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] = POWERS, seed: str = "mix", keep: float | None = None, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
     """(row, id, source, lang, topic, tokens, probability, kept, miss): ``row`` holds the input row as it was.
 
     Targets are tempered shares of the input's own tokens, or tables (value, share) for each
@@ -222,7 +222,7 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, la
     zero are not. Rows of equal id share their draw. An empty table gives none. With ``keep`` the
     mixture holds that share of the tokens whatever the rarest cell's rate, and probabilities are
     those of bounded raking; without, the cell of the largest rate is kept whole and sets the scale.
-    Raking ends under ``tolerance``; ``miss`` is the largest relative miss of a marginal that it
+    Raking ends under ``tolerance`` or after ``rounds``; ``miss`` is the largest relative miss of a marginal that it
     left, the same in all rows, and above the tolerance where the targets contradict each other.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -230,9 +230,9 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, la
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     goals = marginals(cells, powers, targets)
     if keep is None:
-        raked, missed = rake(cells, goals, tolerance=tolerance)
+        raked, missed = rake(cells, goals, tolerance=tolerance, rounds=rounds)
     else:
-        raked, missed = rake(cells, {name: written(within_reach(x, keep), "mix-goals") for name, x in goals.items()}, sweeps=BOUNDED_SWEEPS, tolerance=tolerance, bounded=True)
+        raked, missed = rake(cells, {name: written(within_reach(x, keep), "mix-goals") for name, x in goals.items()}, sweeps=BOUNDED_SWEEPS, tolerance=tolerance, bounded=True, rounds=rounds)
     rates = written(raked.withColumn("rate", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens"))), "mix-rates")
     top = rates.agg(F.max("rate")).first()[0] if keep is None else 1.0
     rates = rates.select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], F.when(F.col("tokens") > 0, F.round(F.col("rate") / F.lit(top), 9)).otherwise(1.0).alias("probability"))
@@ -241,22 +241,32 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", source: Column, la
     return found.select("row", "id", *DIMENSIONS, "tokens", "probability", (draw(F.col("id"), seed) < F.col("probability")).alias("kept"), F.lit(missed).alias("miss"))
 
 
-def mix_corpus(docs: DataFrame, keep: float | None = KEEP) -> DataFrame:
+def mix_corpus(docs: DataFrame, keep: float | None = KEEP, rounds: int | None = None) -> DataFrame:
     """mix_documents with production parameters for tables shaped like ``documents``."""
     text = text_or_empty("text")
-    return mix_documents(docs, source=F.col("source"), lang=F.col("lang"), topic=topic_of(text), tokens=token_count(text), keep=keep)
+    return mix_documents(docs, source=F.col("source"), lang=F.col("lang"), topic=topic_of(text), tokens=token_count(text), keep=keep, rounds=rounds)
 
 
 def _mix_sql() -> str:
-    steps, last = [], "w0"
-    for sweep in range(SWEEPS):
-        for k, name in enumerate(DIMENSIONS):
-            step = f"w{sweep * 3 + k + 1}"
-            steps.append(f"{step} AS MATERIALIZED (SELECT source, lang, topic, tokens, gs, gl, gt, CASE WHEN sum(r) OVER (PARTITION BY {name}) > 0 THEN r * g{name[0]} / sum(r) OVER (PARTITION BY {name}) ELSE 0.0 END AS r FROM {last})")
-            last = step
-    goal = lambda name: f"goal_{name} AS (SELECT {name}, pow(t, CAST({POWERS[name]} AS DOUBLE)) / sum(pow(t, CAST({POWERS[name]} AS DOUBLE))) OVER () * sum(t) OVER () AS g{name[0]} FROM (SELECT {name}, CAST(sum(tokens) AS DOUBLE) AS t FROM cells GROUP BY {name}))"
+    """One round of bounded raking over the cells, and what it misses."""
+    tables = []
+    for name in DIMENSIONS:
+        power, by = f"pow(have, CAST({POWERS[name]} AS DOUBLE))", f"ORDER BY have / g, {name} ROWS UNBOUNDED PRECEDING"
+        tables += [
+            f"sum_{name} AS (SELECT {name}, CAST(sum(tokens) AS DOUBLE) AS have FROM cells GROUP BY {name})",
+            f"wish_{name} AS (SELECT {name}, have, CASE WHEN have > 0 THEN {power} / sum(CASE WHEN have > 0 THEN {power} END) OVER () * sum(have) OVER () ELSE 0.0 END AS g FROM sum_{name})",
+            # values before a row in the order of have / g are wanted whole, the others share what is left
+            f"cut_{name} AS (SELECT have / g AS reach, ({KEEP} * sum(have) OVER () - (sum(have) OVER ({by}) - have)) / (sum(g) OVER () - (sum(g) OVER ({by}) - g)) AS scale FROM wish_{name} WHERE g > 0)",
+            f"goal_{name} AS (SELECT {name}, least(g * coalesce((SELECT min_by(scale, reach) FROM cut_{name} WHERE scale <= reach), 1e300), have) AS g{name[0]} FROM wish_{name})",
+        ]
+    step = "SELECT * REPLACE (CASE WHEN sum(r) OVER (PARTITION BY {0}) > 0 THEN least(r * g{1} / sum(r) OVER (PARTITION BY {0}), tokens) ELSE 0.0 END AS r) FROM ({2})"
+    sweep = "SELECT * FROM w WHERE k < {}".format(BOUNDED_SWEEPS)
+    for name in DIMENSIONS:
+        sweep = step.format(name, name[0], sweep)
+    same = " AND ".join(f"rows.{d} IS NOT DISTINCT FROM rates.{d}" for d in DIMENSIONS)
+    misses = ", ".join(f"coalesce((SELECT max(abs(now / g - 1)) FROM (SELECT sum(r) AS now, any_value(g{d[0]}) AS g FROM last GROUP BY {d}) WHERE g > 0), 0.0)" for d in DIMENSIONS)
     return rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS x FROM documents),
 rows AS (
   SELECT doc_id, source, lang, CAST(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens,
@@ -264,15 +274,17 @@ rows AS (
               WHEN length(x) < 800 THEN 'note' WHEN length(x) < 4000 THEN 'article' ELSE 'treatise' END AS topic
   FROM d),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM rows GROUP BY ALL),
-{goal("source")}, {goal("lang")}, {goal("topic")},
-w0 AS MATERIALIZED (
-  SELECT c.source, c.lang, c.topic, c.tokens, gs, gl, gt, CAST(c.tokens AS DOUBLE) AS r
-  FROM cells c JOIN goal_source s ON c.source = s.source JOIN goal_lang l ON c.lang = l.lang JOIN goal_topic t ON c.topic = t.topic),
-{", ".join(steps)},
-rates AS (SELECT source, lang, topic, round(r / tokens / max(r / tokens) OVER (), 9) AS probability FROM {last})
+{", ".join(tables)},
+w AS (
+  SELECT c.source, c.lang, c.topic, CAST(c.tokens AS DOUBLE) AS tokens, gs, gl, gt, CAST(c.tokens AS DOUBLE) AS r, 0 AS k
+  FROM cells c JOIN goal_source s ON c.source IS NOT DISTINCT FROM s.source JOIN goal_lang l ON c.lang IS NOT DISTINCT FROM l.lang JOIN goal_topic t ON c.topic = t.topic
+  UNION ALL SELECT * REPLACE (k + 1 AS k) FROM ({sweep})),
+last AS MATERIALIZED (SELECT * FROM w WHERE k = {BOUNDED_SWEEPS}),
+rates AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN round(r / tokens, 9) ELSE 1.0 END AS probability FROM last)
 SELECT rows.doc_id, rows.source, rows.lang, rows.topic, rows.tokens, probability,
-       CAST(CAST('0x' || substr(md5('mix' || CAST(rows.doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < probability AS kept
-FROM rows JOIN rates ON rows.source = rates.source AND rows.lang = rates.lang AND rows.topic = rates.topic
+       CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(rows.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < probability AS kept,
+       round(greatest({misses}), 9) AS miss
+FROM rows JOIN rates ON {same}
 """
 
 

@@ -22,9 +22,9 @@ from .whitening import whiten
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed on the scale of the largest rate, as MIX_SQL states it; the pipeline's mixture is bounded."""
-    mixed = mix_corpus(table(spark, sf_dir, "documents"), keep=None)
-    return mixed.select(F.col("id").alias("doc_id"), *DIMENSIONS, "tokens", "probability", "kept")
+    """The pipeline's mixture after one round of bounded raking, as MIX_SQL states it, and the largest relative miss that it leaves."""
+    mixed = mix_corpus(table(spark, sf_dir, "documents"), rounds=1)
+    return mixed.select(F.col("id").alias("doc_id"), *DIMENSIONS, "tokens", "probability", "kept", F.round("miss", 9).alias("miss"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

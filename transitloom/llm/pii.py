@@ -43,8 +43,8 @@ LONGEST, LONGEST_SECRET = 20, 5
 LEAST_DIGITS, MOST_DIGITS, LEAST_SECRET, MOST_SECRET = 7, 19, 16, 200
 #: Characters before a segment that its features look at.
 LEAD = 24
-#: Characters of a region that teach; longer regions are still searched whole.
-TAUGHT_CHARS = 400
+#: Characters of a sampled region, by default.
+SAMPLE_CHARS = 400
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only start where a run of digits does: one that starts later in the run would end alike
@@ -346,7 +346,7 @@ def _explained(field: SemiMarkovField, text: str, start: int, end: int, spans: l
     return not any(kind in ("account", "secret") for rows in ending.values() for _, kind, _ in rows)
 
 
-def sampled_regions(docs: DataFrame, text_col: str, sample: int) -> list[tuple[str, int, int]]:
+def sampled_regions(docs: DataFrame, text_col: str, sample: int, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, int, int]]:
     """The ``sample`` regions of smallest hash, with their surroundings: (text, start, end). A task sends on as many at most."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +354,7 @@ def sampled_regions(docs: DataFrame, text_col: str, sample: int) -> list[tuple[s
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for start, end in regions(text):
-                    end = min(end, start + TAUGHT_CHARS)
+                    end = min(end, start + sample_chars)
                     a = max(0, start - LEAD)
                     row = (text[a : end + 1], start - a, end - a)
                     kept[xxhash.xxh64_intdigest(row[0]) >> 1] = row
@@ -369,10 +369,10 @@ def sampled_regions(docs: DataFrame, text_col: str, sample: int) -> list[tuple[s
     return [(r.region, r.start, r.end) for r in chosen.collect()]
 
 
-def learn_field(docs: DataFrame, text_col: str, sample: int) -> SemiMarkovField:
+def learn_field(docs: DataFrame, text_col: str, sample: int, sample_chars: int = SAMPLE_CHARS) -> SemiMarkovField:
     """Learned from ``sample`` regions at most, chosen by a hash of their texts, and as many look-alikes and planted spans."""
     field, cases, rng = SemiMarkovField(), [], random.Random(11)
-    found = sampled_regions(docs, text_col, sample)
+    found = sampled_regions(docs, text_col, sample, sample_chars)
     found += [("", 0, 0)] * max(0, min(sample, 200) - len(found))  # a small corpus teaches by rule alone
     for text, start, end in found:
         spans = sorted((s for s in base_spans(text) if start <= s[1] and s[2] <= end), key=lambda s: (s[1], -s[2]))
@@ -384,17 +384,18 @@ def learn_field(docs: DataFrame, text_col: str, sample: int) -> SemiMarkovField:
     return field
 
 
-def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500) -> DataFrame:
+def find_private(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """(id, spans): spans array<struct<kind, start, end, base, value>>, by kind as in ALL_KINDS and then start.
 
     start and end are code points, end exclusive; base tells the fixed patterns' spans from
     those that the random field adds, which overlap none of them. Null and empty texts have
     none, and so has every text without digits and at-signs. Ids may be null or repeat. An
     empty table gives none. Whole texts are searched, in time linear in their length. What the
-    field adds hangs on the sample of regions, which the table's texts alone decide.
+    field adds hangs on the sample of regions, which the table's texts alone decide: ``sample``
+    of them at most, of which ``sample_chars`` characters teach; all regions are searched whole.
     """
     bounded_batches(docs.sparkSession)
-    field = docs.sparkSession.sparkContext.broadcast(learn_field(docs, text_col, sample).weights)
+    field = docs.sparkSession.sparkContext.broadcast(learn_field(docs, text_col, sample, sample_chars).weights)
     order = {kind: k for k, kind in enumerate(ALL_KINDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

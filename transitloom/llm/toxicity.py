@@ -24,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, text_or_empty, written
 
 BUCKETS = 1 << 18
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 10
 PADS = max(WIDTHS) - 1
 #: Training documents that must use a bucket, for each thousand of them; three at least.
 LEAST_DOCS = 1
-#: Words of a document that teach; documents are scored whole.
-TAUGHT_WORDS = 1 << 16
+#: Bytes of labelled documents that teach, at four a word.
+SAMPLE_BYTES = 96 << 20
 #: Parts of the labelled documents, each calibrated on by a network that the others trained.
 PARTS = 3
+#: Labels of the rarer kind below which balanced accuracy is too rough to go by alone.
+FEW_LABELS = 50
 #: Words that go through the network at once.
 STEP_WORDS = 200_000
 #: Function words by which a language is told.
@@ -170,29 +172,37 @@ class ConvolutionalClassifier:
     def calibrate(self, logits: np.ndarray, texts: list[np.ndarray], labels: np.ndarray) -> None:
         """For each language the logit that best parts its labels (balanced accuracy; the middle of the best gap).
 
-        The logits come from networks that did not see the texts.
+        The logits come from networks that did not see the texts. Where few labels are of the
+        rarer kind and that cut is worse than one answer for all would be, the cut of the
+        fewest wrong labels stands for every language.
         """
         langs = np.array([told_language(t) for t in texts])
-        overall = best_cut(logits, labels)
+        overall, sound = best_cut(logits, labels)
         for k in range(len(LANGUAGES)):
             own = langs == k
-            enough = min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= 8
-            self.thresholds[k] = best_cut(logits[own], labels[own]) if enough else overall
+            enough = sound and min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= 8
+            self.thresholds[k] = best_cut(logits[own], labels[own], few=0)[0] if enough else overall
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         shift = self.thresholds[[told_language(t) for t in texts]] if texts else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - shift, -30, 30)))
 
 
-def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
+def best_cut(logits: np.ndarray, labels: np.ndarray, few: int = FEW_LABELS) -> tuple[float, bool]:
+    """The cut of the best balanced accuracy, and true; on few labels that of the fewest wrong ones, and false, if the first is wrong on more than one answer for all."""
     positive, negative = np.sort(logits[labels == 1]), np.sort(logits[labels == 0])
     if not len(positive) or not len(negative):
-        return 0.0
+        return 0.0, True
     cuts = np.unique(logits)
     middle = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1]
-    hit = 1 - np.searchsorted(positive, middle) / len(positive) + np.searchsorted(negative, middle) / len(negative)
+    caught, left = len(positive) - np.searchsorted(positive, middle), np.searchsorted(negative, middle)
+    hit, right = caught / len(positive) + left / len(negative), caught + left
     best = np.flatnonzero(hit >= hit.max() - 1e-12)
-    return float(middle[best[len(best) // 2]])
+    sound = min(len(positive), len(negative)) >= few or right[best[len(best) // 2]] >= max(len(positive), len(negative))
+    if not sound:
+        most = np.flatnonzero(right == right.max())
+        best = most[hit[most] >= hit[most].max() - 1e-12]
+    return float(middle[best[len(best) // 2]]), bool(sound)
 
 
 def fold(id_col: str) -> Column:
@@ -200,20 +210,31 @@ def fold(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(1))
 
 
-def train_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> ConvolutionalClassifier:
-    """Trained on at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of their ids."""
+def train_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> ConvolutionalClassifier:
+    """Trained on at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of their ids.
+
+    Texts teach whole. They come to the driver as four bytes a word, ``sample_bytes`` in all
+    at most: in the order of the hash, documents that no longer fit are passed over.
+    """
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     chosen = labelled.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [word_buckets(t)[:TAUGHT_WORDS].tobytes() for t in batch.column(2).to_pylist()]
+            texts = [word_buckets(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(texts, pa.binary())], ["id", "label", "words"])
 
     # at most ``sample`` rows of an id and a label: a bounded broadcast; of a repeated id the text of the smallest hash teaches
     joined = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     one = joined.groupBy(id_col, "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    rows = sorted(one.select(id_col, "label", "text").mapInArrow(hashed, "id string, label int, words binary").collect(), key=lambda r: r.id)
+    taught = written(one.select(id_col, "label", "text").mapInArrow(hashed, "id string, label int, words binary"), "toxicity-taught")
+    fit, left = [], sample_bytes
+    for r in taught.select("id", F.length("words").alias("size")).orderBy(F.xxhash64("id"), "id").collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            fit.append((r.id,))
+    those = docs.sparkSession.createDataFrame(fit, "id string")
+    rows = sorted(taught.join(F.broadcast(those), "id", "left_semi").collect(), key=lambda r: r.id)
     texts = [np.frombuffer(r.words, np.int32) for r in rows]
     y = np.array([r.label for r in rows], np.float32)
     model = trained(texts, y)
@@ -236,16 +257,17 @@ def trained(texts: list[np.ndarray], labels: np.ndarray) -> ConvolutionalClassif
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8000, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(id, held_out, score, predicted, told_lang), a row for each document.
 
     ``labels`` (id, label 0 or 1) teaches on the ids whose crc32 modulo 5 is not 0; of
     repeated labels the larger counts, null ones and labels of unknown ids do not; of repeated
     ids one text teaches. Scores read the text alone. Null and empty texts get the score of no words. Without labels of
-    both kinds the untrained network scores. An empty table gives none.
+    both kinds the untrained network scores. At most ``sample`` labelled documents teach, of
+    ``sample_bytes`` together, chosen by a hash and each as a whole. An empty table gives none.
     """
     bounded_batches(docs.sparkSession)
-    model = train_classifier(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
+    model = train_classifier(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample, sample_bytes=sample_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,9 +24,19 @@ ROW = "pipeline_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(pipeline_row, doc): the documents with a number for each row, written, so that the numbers hold; ids may be null or repeat."""
+    """(pipeline_row, doc): the documents with a number for each row, which holds whatever task runs again; ids may be null or repeat.
+
+    Rows read straight from files are numbered by their file and their place in it, so nothing
+    is written for that; others are written first.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    return written(docs.select(F.monotonically_increasing_id().alias(ROW), whole), "pipeline-rows")
+    if not docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation"):
+        docs = written(docs, "pipeline-rows")
+    placed = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), whole)
+    # a row a file, from footers alone
+    files = sorted(r.file for r in placed.select("file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, number long")
+    return placed.join(F.broadcast(numbers), "file").select((F.shiftleft("number", 40) + F.col("at")).alias(ROW), "doc")
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

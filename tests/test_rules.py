@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitloom.functions import geo, labels, speed
+from transitloom.sources.folders import Files
+from transitloom.sources.manifest import Manifest
 from transitloom.operators import clusters, feeds, heatmap, kalman, maintenance, routes, shapes, speeds
 from transitloom.plans import fixtures as fx
 from transitloom.plans.registry import QUERIES
@@ -325,7 +327,25 @@ def test_maintenance_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert (second["observations_written"], second["promoted"], second["days_augmented"], second["days_held_back"]) == (0, 0, 1, 0)
     last = run(rows, today + 1)
     assert (last["observations_written"], last["days_augmented"], last["rows_converted"]) == (0, 1, 52)
-    held = spark.read.parquet(f"{store}/days")
+    # a commit whose rename fails names no day, and the next run does them
+    def no_rename(self, source, target):
+        raise OSError("answered false")
+
+    fresh = str(tmp_path / "fresh")
+    with monkeypatch.context() as m:
+        m.setattr(Files, "rename", no_rename)
+        failed = one(maintenance.run_maintenance(rows, fx.shapes(spark), fresh, today)).asDict()
+    assert (failed["days_augmented"], failed["days_held_back"], failed["rows_converted"]) == (0, 3, 0)
+    assert Manifest(spark, f"{fresh}/days").read("bus_id string").count() == 0
+    again = one(maintenance.run_maintenance(rows, fx.shapes(spark), fresh, today)).asDict()
+    assert (again["days_augmented"], again["days_held_back"]) == (3, 0) and Manifest(spark, f"{fresh}/days").read("bus_id string").count() == again["rows_converted"]
+    monkeypatch.setattr(maintenance, "FILE_ROWS", 20)  # several tasks a day
+    dealt = str(tmp_path / "dealt")
+    assert one(maintenance.run_maintenance(rows, fx.shapes(spark), dealt, today)).asDict() == {**again, "observations_written": first["observations_written"], "promoted": 1, "candidates": first["candidates"], "skipped": first["skipped"]}
+
+    days = Manifest(spark, f"{store}/days")
+    assert [(r.day, r.rows) for r in days.entries().orderBy("day").collect()] == [(today - 3 + k, 52) for k in range(4)] and len(days._commits()) == 3
+    held = days.read(rows.schema.add("snap_shape_id", "string"))
     assert held.count() == rows.count() and held.filter("adj_lat = 9 or shape_id <> 'clashes'").count() == 0
     assert {r.snap_shape_id for r in held.filter("bus_id = 'u'").select("snap_shape_id").distinct().collect()} == {"LRN_u"}
     assert spark.read.parquet(f"{store}/learned").count() == 4 and not list((tmp_path / "archive").glob("staged-*"))
@@ -335,8 +355,6 @@ def test_maintenance_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
 
 
 def test_renames_are_checked(spark, tmp_path, monkeypatch):
-    from transitloom.sources.folders import Files
-
     files = Files(spark, str(tmp_path))
     files.write_new(f"{tmp_path}/a", [{"day": 1}])
     with pytest.raises(Exception):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import logging
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,23 +12,24 @@ from pyspark.sql import functions as F
 from ..functions.labels import is_unknown_route
 from ..functions.timeparts import day_number
 from ..runtime import written
+from ..sources.manifest import Manifest
 from . import crossday
 from .shapes import POINT_M, shape_cells, with_nearest, with_sticky
 
-#: Files that a maintained day has at most.
-FILES = 32
+#: Rows of a task and a file of a maintained day, about; a bus's day is in one of them.
+FILE_ROWS = 500_000
 _SNAPPED = ["adj_source", "snap_shape_id", "snap_cumdist"]
 _LEARNED = "shape_id string, seq int, lat double, lon double, bus_id string"
 _OBSERVED = "bus_id string, time_ms long, lat double, lon double, day long"
 
 
-def augmented(positions: DataFrame, model: DataFrame, shapes: DataFrame, learned: DataFrame, order: tuple[str, ...] = ("time_ms",)) -> DataFrame:
+def augmented(positions: DataFrame, model: DataFrame, shapes: DataFrame, learned: DataFrame, order: tuple[str, ...] = ("time_ms",), pieces: str | None = None) -> DataFrame:
     """Positions with adj_lat, adj_lon, snap_shape_id and snap_cumdist, whatever they held there before.
 
     Where no typical position is known the raw one stands. The adjusted position is held to the
     shapes of its route, on an unknown route to the bus's learned shape, and has no shape where
     neither is near. Each bus starts each ``day`` without a shape to stick to; ``order`` is
-    that of its rows.
+    that of its rows. A day is one task, or as many as its column ``pieces`` says, which goes.
     """
     rows = crossday.adjust_positions(positions.drop(*_SNAPPED, "adj_lat", "adj_lon"), model).drop("adj_source")
     rows = rows.withColumn("adj_lat", F.coalesce("adj_lat", "lat")).withColumn("adj_lon", F.coalesce("adj_lon", "lon"))
@@ -37,8 +39,9 @@ def augmented(positions: DataFrame, model: DataFrame, shapes: DataFrame, learned
     routed = rows.withColumn("_route", F.col("route")).withColumn("route", own)
     near = with_nearest(routed, shape_cells(network, POINT_M), POINT_M, lat="adj_lat", lon="adj_lon")
     rows = near.drop("route").withColumnRenamed("_route", "route")
-    # a day is FILES tasks and files at most, and a bus's day is in one of them
-    return with_sticky(rows, ["day", "bus_id"], list(order), dealt_by=[F.col("day"), F.pmod(F.hash("bus_id"), F.lit(FILES))])
+    piece = F.pmod(F.hash("bus_id"), F.col(pieces)) if pieces else F.lit(0)
+    done = with_sticky(rows.withColumn("_piece", piece).drop(*[pieces] * bool(pieces)), ["day", "bus_id"], list(order), dealt_by=[F.col("day"), F.col("_piece")])
+    return done.drop("_piece")
 
 
 class Store:
@@ -46,36 +49,24 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def has(self, name: str) -> bool:
-        return self._files.exists(self._path(f"{self.folder}/{name}"))
+        self.days = Manifest(spark, f"{self.folder}/days")
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The table, empty where it has not been written yet."""
-        if not self.has(name):
+        if not self.days.files.exists(f"{self.folder}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
-    def swap_in(self, staged: str, days: list[int]) -> None:
-        """Moves the staged days to their places, each by one rename."""
-        self._files.mkdirs(self._path(f"{self.folder}/days"))
-        for day in days:
-            self._files.rename(self._path(f"{staged}/day={day}"), self._path(f"{self.folder}/days/day={day}"))
-
-    def remove(self, folder: str) -> None:
-        self._files.delete(self._path(folder), True)
-
 
 def run_maintenance(positions: DataFrame, shapes: DataFrame, folder: str, today: int, order: tuple[str, ...] = ("time_ms",)) -> DataFrame:
     """Maintains the finished days of an archive in ``folder`` and returns the run's report, one row.
 
     One projection of all days before ``today`` feeds the cross-day model and what is learned
     of unknown routes. Buses that pass are published as shapes, and then the days that the
-    folder does not hold yet are augmented, written as Parquet, read back, and moved in where
-    their rows are all there; a day that is short is held back for the next run. Days held
-    are never rewritten, so a run that is tried again goes on where the last one stopped.
+    folder does not hold yet are augmented, written as Parquet, read back, and named in one
+    commit of the folder's manifest where their rows are all there. A day that is short is
+    held back for the next run, and so are all of a run whose commit fails. Days held are
+    never rewritten, so a run that is tried again goes on where the last one stopped.
     An archive without finished days gives a report of zeros. Rows without a time belong to
     no day and are left out.
     """
@@ -112,18 +103,27 @@ def run_maintenance(positions: DataFrame, shapes: DataFrame, folder: str, today:
 
 def _augment_days(past: DataFrame, days: DataFrame, model: DataFrame, shapes: DataFrame, store: Store, order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(day, had, wrote, snapped) of the days that were moved in, and of those held back."""
-    wanted = written(days.join(crossday.days_missing(days, store.read("days", "day long")), "day"), "wanted")
+    missing = days.join(crossday.days_missing(days, store.days.entries()), "day")
+    wanted = written(missing.withColumn("pieces", F.ceil(F.col("had") / FILE_ROWS).cast("int")), "wanted")
     # a row a day: as many as the calendar has
-    rows = past.join(F.broadcast(wanted.select("day")), "day", "left_semi")
-    staged = f"{store.folder}/staged-{uuid.uuid4().hex}"
-    ready = augmented(rows, model, shapes, store.read("learned", _LEARNED), order)
+    rows = past.join(F.broadcast(wanted.select("day", F.col("pieces").alias("_pieces"))), "day")
+    staged = store.days.new_run()
+    ready = augmented(rows, model, shapes, store.read("learned", _LEARNED), order, "_pieces")
     ready.write.partitionBy("day").parquet(staged)
     back = _read_back(store, staged)
-    found = written(wanted.join(back, "day", "left"), "verified")
+    found = written(wanted.drop("pieces").join(back, "day", "left"), "verified")
     whole: Column = F.coalesce(F.col("wrote") == F.col("had"), F.lit(False))
-    store.swap_in(staged, [r.day for r in found.filter(whole).select("day").collect()])
-    store.remove(staged)
-    return found.filter(whole), found.filter(~whole)
+    run = staged.removeprefix(f"{store.folder}/days/")
+    ready_days = [{"day": r.day, "path": f"{run}/day={r.day}", "rows": r.wrote} for r in found.filter(whole).orderBy("day").collect()]
+    try:
+        store.days.publish(ready_days)
+    except (OSError, Py4JError) as error:
+        logging.getLogger(__name__).warning("no day of this run was committed: %s", error)
+        return found.filter("false"), found
+    short = found.filter(~whole)
+    for r in short.select("day").collect():
+        store.days.files.remove(f"{staged}/day={r.day}")
+    return found.filter(whole), short
 
 
 def _read_back(store: Store, staged: str) -> DataFrame:

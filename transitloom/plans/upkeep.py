@@ -10,6 +10,7 @@ from ..functions import geo
 from ..functions.timeparts import day_number
 from ..operators import maintenance
 from ..runtime import shared_dir
+from ..sources.manifest import Manifest
 from . import fixtures as fx
 from .base import DAY, MS_OF_DAY, hav_sql, half_up, query, r6, s6
 from .matching import _CUM, _LOOK, _MODEL, _pick, _proj, XY
@@ -37,7 +38,7 @@ def _maintained(spark, sf_dir):
 @query("e3_augmented_days", f"{_ALL} SELECT k.event_id, CAST(k.day AS BIGINT) AS day, {s6('ad.lat')} AS adj_lat, {s6('ad.lon')} AS adj_lon, k.pick AS snap_shape_id, {half_up('m.cum', 2)} AS snap_cumdist FROM k JOIN ad ON ad.event_id = k.event_id LEFT JOIN m ON m.event_id = k.event_id AND m.shape_id = k.pick")
 def e3(spark, sf_dir):
     folder, _ = _maintained(spark, sf_dir)
-    days = spark.read.schema("event_id long, adj_lat double, adj_lon double, snap_shape_id string, snap_cumdist double, day long").parquet(f"{folder}/days")
+    days = Manifest(spark, f"{folder}/days").read("event_id long, adj_lat double, adj_lon double, snap_shape_id string, snap_cumdist double")
     return days.select("event_id", "day", r6("adj_lat"), r6("adj_lon"), "snap_shape_id", geo.round_half_up(F.col("snap_cumdist"), 2).alias("snap_cumdist"))
 
 

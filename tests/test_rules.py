@@ -15,7 +15,7 @@ from transitloom.operators import clusters, feeds, heatmap, kalman, maintenance,
 from transitloom.plans import fixtures as fx
 from transitloom.plans.registry import QUERIES
 from transitloom.sources import history, network, weather
-from transitloom.streaming import live
+from transitloom.streaming import keyed
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,15 +252,43 @@ def test_weather_range_is_bounded(spark):
         weather.weather_range(spark, fx.weather(spark), 0, 90)
 
 
-def test_day_views_replace_a_repeated_batch(spark, tmp_path):
-    pos = _wide(fx.pos_dense(spark, SF))
-    pos.coalesce(1).write.parquet(str(tmp_path / "in"))
-    seen = {}
-    stream = spark.readStream.schema(pos.schema).parquet(str(tmp_path / "in"))
-    for log in ("one", "two"):  # a lost log runs batch 0 again
-        live.day_views(stream, str(tmp_path / "store"), str(tmp_path / log), lambda name, view: seen.__setitem__(name, view.count())).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store")).count() == pos.count()
-    assert seen["heatmap"] == heatmap.speed_heatmap(pos).count() and seen["timeline"] == speeds.speed_timeline(pos).count()
+def test_live_views_from_state(spark, tmp_path):
+    """Rows out of order, more than a ring holds and over midnight; the state of a day goes after it, and its stragglers with it."""
+    noon = 1704081600000
+    rows = [("b1", "R1", noon + (k * 37 % 200) * 1000, k, 3.0, 101.0, float(k % 90)) for k in range(200)]
+    rows += [("b2", "R1", noon + k, 900 + k, 3.0, 101.0, 30.0 + k) for k in range(3)] + [("b2", None, noon, 990, None, 101.0, None), ("b2", "R1", noon, 991, 3.0, 101.0, 500.0)]
+    pos = _wide(spark.createDataFrame(rows, "bus_id string, route string, time_ms long, event_id long, lat double, lon double, speed double"))
+    folder = str(tmp_path)
+    sort = lambda df: sorted(map(str, df.collect()))
+
+    def session(view, name, keys):
+        with keyed.with_rocksdb(spark):
+            query = keyed.keep(view(spark.readStream.option("maxFilesPerTrigger", 1).schema(pos.schema).parquet(f"{folder}/in")), f"{folder}/{name}", f"{folder}/{name}-log", "day" in keys)
+            query.awaitTermination()
+        return keyed.newest(spark.read.parquet(f"{folder}/{name}"), keys), query.recentProgress
+
+    for part in range(3):
+        pos.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    cells, _ = session(keyed.live_heatmap, "cells", ["day", "route", "hour"])
+    batch = heatmap.speed_heatmap(pos)
+    assert sort(cells.select("route", "hour", "value", "bin", "n")) == sort(batch.select("route", "hour", "value", "bin", "n")) and cells.count() == 1
+    bins, _ = session(keyed.live_timeline, "bins", ["bus_id", "day", "bin"])
+    columns = ["bus_id", "bin", "raw", "trust", "n"]
+    assert sort(bins.select(columns)) == sort(speeds.speed_timeline(pos).select(columns))
+    trails, _ = session(keyed.live_trails, "trails", ["bus_id"])
+    want = {r.bus_id: [p.event_id for p in r.trail] for r in speeds.recent_trail(pos).collect()}
+    assert {r.bus_id: r.e for r in trails.groupBy("bus_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("time_ms", "event_id"))), lambda p: p["event_id"]).alias("e")).collect()} == want
+
+    day = 86_400_000
+    moved = pos.filter("speed = 31.0")
+    for days in (1, 2):  # the second batch sees the watermark of the first
+        moved.withColumn("time_ms", F.col("time_ms") + days * day).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    moved.withColumn("speed", F.lit(1.0)).coalesce(1).write.mode("append").parquet(f"{folder}/in")  # two days late
+    cells, progress = session(keyed.live_heatmap, "cells", ["day", "route", "hour"])
+    held = [sum(s["numRowsTotal"] for s in json.loads(p.json)["stateOperators"]) for p in progress]
+    assert cells.count() == 3 and held[-1] < held[0]
+    first = cells.filter(F.col("day") == noon // day).select("value", "n")
+    assert sort(first) == sort(batch.select("value", "n"))
 
 
 def _wide(pos):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import history, weather
-from ..streaming import live
-from ..operators import crossday, heatmap, speeds
+from ..streaming import keyed, live
+from ..operators import crossday, heatmap
 from ..runtime import shared_dir
 from . import fixtures as fx
 from .base import DAY, HOUR, MS_OF_DAY, half_up, query
@@ -106,10 +106,6 @@ def s10(spark, sf_dir):
 LEAST_TICKS, MOST_TICKS, RANGES = 30, 2000, 4
 
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def _folder(spark) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -151,13 +147,9 @@ def k11f(spark, sf_dir):
     half = (pos.agg(F.max("tick_id")).first()[0] or 0) // 2
     pos.filter(F.col("tick_id") > half).write.parquet(f"{folder}/in")
     states = live.kalman_state(pos.filter(F.col("tick_id") <= half))
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
+    with keyed.with_rocksdb(spark):
         out = live.kalman_stream(spark.readStream.schema(pos.schema).parquet(f"{folder}/in"), states)
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     return spark.read.schema("event_id long, speed_kalman double").parquet(f"{folder}/out").select("event_id", geo.round_half_up(F.col("speed_kalman"), 4).alias("speed_kalman"))
 
 
@@ -168,40 +160,82 @@ _LIVE = "s AS (SELECT *, {day} AS day_no, CAST({hour} AS INT) AS hour_no FROM po
 _LIVE_CELLS = 'route, hour_no AS "hour", floor(median(m) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS "value", count(*) AS n FROM b'
 
 
-def _views(spark, sf_dir, views: dict, shift_ms: int) -> str:
-    """The folder of published views and of the store, after the whole stream."""
+_CELLS = "day long, route string, hour int, value double, bin string, n long, version long"
+_BINS = "bus_id string, day long, bin int, raw double, corrected double, calc double, kalman double, trust double, n long, version long"
+
+
+def _live(spark, sf_dir, view, schema: str, keys: list[str], shift_ms: int) -> DataFrame:
+    """A view's rows after the whole stream, each micro-batch of which read its own positions alone."""
     folder = _folder(spark)
-    _replay(spark, sf_dir, folder, lambda ticks: live.day_views(ticks, f"{folder}/store", f"{folder}/log", live.publish_days(folder), views), shift_ms)
-    return folder
+    with keyed.with_rocksdb(spark):
+        _replay(spark, sf_dir, folder, lambda ticks: keyed.keep(view(ticks), f"{folder}/view", f"{folder}/log"), shift_ms)
+    return keyed.newest(spark.read.schema(schema).parquet(f"{folder}/view"), keys)
 
 
 @query("k6_live_heatmap", f"WITH {fx.POS_DENSE}, {_LIVE} SELECT {_LIVE_CELLS} GROUP BY day_no, route, hour_no")
 def k6(spark, sf_dir):
-    return spark.read.parquet(f"{_views(spark, sf_dir, {'heatmap': live.day_heatmap}, 0)}/heatmap").select("route", "hour", "value", "n")
+    return _live(spark, sf_dir, keyed.live_heatmap, _CELLS, ["day", "route", "hour"], 0).select("route", "hour", "value", "n")
 
 
 @query("k6_live_over_midnight", f"WITH {_MOVED}, {_LIVE} SELECT CAST(day_no AS BIGINT) AS day_no, {_LIVE_CELLS} GROUP BY day_no, route, hour_no")
 def k6m(spark, sf_dir):
-    found = spark.read.parquet(f"{_views(spark, sf_dir, {'heatmap': live.day_heatmap}, _TO_MIDNIGHT)}/heatmap")
-    return found.select(F.col("day").cast("long").alias("day_no"), "route", "hour", "value", "n")
+    found = _live(spark, sf_dir, keyed.live_heatmap, _CELLS, ["day", "route", "hour"], _TO_MIDNIGHT)
+    return found.select(F.col("day").alias("day_no"), "route", "hour", "value", "n")
+
+
+_TIMELINE = f"SELECT bus_id, CAST({DAY} AS BIGINT) AS day_no, CAST({MS_OF_DAY} // 780000 AS INT) AS bin, {half_up(half_up('avg(speed)', 9), 2)} AS raw, count(*) AS n FROM pos GROUP BY ALL"
 
 
-@query("k6_live_timeline", f"WITH {_MOVED} SELECT bus_id, CAST({DAY} AS BIGINT) AS day_no, CAST({MS_OF_DAY} // 780000 AS INT) AS bin, {half_up(half_up('avg(speed)', 9), 2)} AS raw, count(*) AS n FROM pos GROUP BY ALL")
+@query("k6_live_timeline", f"WITH {_MOVED} {_TIMELINE}")
 def k6t(spark, sf_dir):
-    def timeline(rows):
-        modes = [F.lit(None).cast("double").alias(c) for c in heatmap.MODES.values() if c not in rows.columns]
-        return speeds.speed_timeline(rows.select("*", *modes))
+    found = _live(spark, sf_dir, keyed.live_timeline, _BINS, ["bus_id", "day", "bin"], _TO_MIDNIGHT)
+    return found.select("bus_id", F.col("day").alias("day_no"), "bin", "raw", "n")
 
-    found = spark.read.parquet(f"{_views(spark, sf_dir, {'timeline': timeline}, _TO_MIDNIGHT)}/timeline")
-    return found.select("bus_id", F.col("day").cast("long").alias("day_no"), "bin", "raw", "n")
+
+def _resumed(spark, sf_dir, view, schema: str, by_day: bool = True, shift_ms: int = _TO_MIDNIGHT) -> tuple[DataFrame, DataFrame]:
+    """The stored first half of the ticks, and the rows that a session which starts from its state adds over the second."""
+    folder = _folder(spark)
+    moved = fx.pos_dense(spark, sf_dir).withColumn("time_ms", F.col("time_ms") + F.lit(shift_ms))
+    moved.write.parquet(f"{folder}/dense")
+    pos = spark.read.parquet(f"{folder}/dense")
+    half = (pos.agg(F.max("tick_id")).first()[0] or 0) // 2
+    stored = pos.filter(F.col("tick_id") <= half)
+    pos.filter(F.col("tick_id") > half).write.parquet(f"{folder}/in")
+    with keyed.with_rocksdb(spark):
+        ticks = spark.readStream.schema(pos.schema).parquet(f"{folder}/in")
+        keyed.keep(view(ticks, stored), f"{folder}/view", f"{folder}/log", by_day).awaitTermination()
+    return stored, spark.read.schema(schema).parquet(f"{folder}/view")
 
 
 @query("k11_warm_restart", f"WITH {_MOVED}, {_LIVE} SELECT {_LIVE_CELLS} WHERE day_no = (SELECT max({DAY}) FROM pos) GROUP BY route, hour_no")
 def k11(spark, sf_dir):
-    """A session that starts anew reads the newest day's rows, and has the heatmap that the stream had."""
-    store = f"{_views(spark, sf_dir, {}, _TO_MIDNIGHT)}/store"
-    newest = spark.read.parquet(store).agg(F.max("day")).first()[0] or 0
-    return live.speed_heatmap(live.warm_rows(spark, store, newest)).select("route", "hour", "value", "n")
+    """The newest day's heatmap of a session that started midway from the rings of stored rows."""
+    view = lambda ticks, stored: keyed.live_heatmap(ticks, warm=keyed.stored_rings(stored))
+    stored, changes = _resumed(spark, sf_dir, view, _CELLS)
+    cells = keyed.newest(keyed.stored_cells(keyed.stored_rings(stored)).select(*changes.columns).union(changes), ["day", "route", "hour"])
+    newest = cells.agg(F.max("day")).first()[0] or 0
+    return cells.filter(F.col("day") == newest).select("route", "hour", "value", "n")
+
+
+@query("k11_warm_timeline", f"WITH {_MOVED} {_TIMELINE}")
+def k11t(spark, sf_dir):
+    """Timelines of a session that started midway from the sums of stored rows."""
+    view = lambda ticks, stored: keyed.live_timeline(ticks, keyed.stored_bins(stored))
+    stored, changes = _resumed(spark, sf_dir, view, _BINS)
+    first = keyed.stored_timeline(keyed.stored_bins(stored)).select(*changes.columns)
+    bins = keyed.newest(first.union(changes), ["bus_id", "day", "bin"])
+    return bins.select("bus_id", F.col("day").alias("day_no"), "bin", "raw", "n")
+
+
+@query("k11_warm_trail", f"WITH {fx.POS_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY bus_id ORDER BY time_ms DESC, event_id DESC) AS i FROM pos) SELECT bus_id, count(*) AS n, string_agg(event_id, ',' ORDER BY time_ms, event_id) AS events FROM r WHERE i <= 20 GROUP BY bus_id")
+def k11tr(spark, sf_dir):
+    """Trails of a session that started midway from the last points of stored rows."""
+    view = lambda ticks, stored: keyed.live_trails(ticks, warm=keyed.stored_trails(stored))
+    stored, changes = _resumed(spark, sf_dir, view, "bus_id string, time_ms long, event_id long, lat double, lon double, speed double, version long", False, 0)
+    first = keyed.stored_trails(stored).withColumn("version", F.lit(0).cast("long")).select(*changes.columns)
+    points = keyed.newest(first.union(changes), ["bus_id"])
+    ordered = F.array_sort(F.collect_list(F.struct("time_ms", "event_id")))
+    return points.groupBy("bus_id").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda p: p["event_id"].cast("string")), ",").alias("events"))
 
 
 @query("k10_without_repeats", f"WITH {fx.POS_DENSE} SELECT bus_id, tick_id, count(*) OVER () AS whole FROM pos GROUP BY bus_id, tick_id")

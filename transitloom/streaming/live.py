@@ -1,43 +1,51 @@
-"""Structured Streaming over the same functions."""
+"""Structured Streaming over the same functions (K2, K10, K11, S6); live views are in keyed.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.geo import local_x, local_y
-from ..functions.timeparts import day_number
-from ..operators.heatmap import speed_heatmap
 from ..operators.kalman import kalman_step
-from ..operators.speeds import speed_timeline
 from ..sources.history import with_ingest_date
 
 _FLOATS = ["x", "y", "vx", "vy", "p11", "p12", "p22"]
 _STATE = "x double, y double, vx double, vy double, p11 double, p12 double, p22 double, starts int, live boolean, tick long, time_ms long"
 
 
+class _Track:
+    """A bus's filter, row by row in tick order: its state, and the last row with that of the tick before it."""
+
+    def __init__(self, saved: tuple | None = None) -> None:
+        *kept, starts, live, tick, time_ms = saved or (*[0.0] * 7, 0, False, None, None)
+        self.own = (*kept, starts) if live else None
+        self.before = self.current = (tick, time_ms)
+
+    def step(self, tick: int, time_ms: int, x: float | None, y: float | None, speed: float | None) -> float | None:
+        if tick != self.current[0]:
+            self.before = self.current
+        near = self.before[0] is not None and tick - self.before[0] == 1
+        out = None
+        if not (pd.isna(x) or pd.isna(y) or pd.isna(speed)):
+            self.own, out = kalman_step(self.own, x, y, speed, (time_ms - self.before[1]) / 1000 if near else 1.0)
+        self.current = (tick, time_ms)
+        return out
+
+    def saved(self) -> tuple:
+        return (*(self.own or (*[0.0] * 7, 0)), self.own is not None, int(self.current[0]), int(self.current[1]))
+
+
 def _advance(saved: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list]:
     """A bus's state after its rows, which are in tick order, and the speed of each."""
-    *kept, starts, live, tick, time_ms = saved or (*[0.0] * 7, 0, False, None, None)
-    own = (*kept, starts) if live else None
-    before = (tick, time_ms)  # the last row of an earlier tick
-    out, current = [], None
-    for row in rows.itertuples(index=False):
-        if current is not None and row.tick_id != current[0]:
-            before = current
-        near = before[0] is not None and row.tick_id - before[0] == 1
-        if pd.isna(row.x) or pd.isna(row.y) or pd.isna(row.speed):
-            out.append(None)
-        else:
-            own, speed = kalman_step(own, row.x, row.y, row.speed, (row.time_ms - before[1]) / 1000 if near else 1.0)
-            out.append(speed)
-        current = (row.tick_id, row.time_ms)
-    return (*(own or (*[0.0] * 7, 0)), own is not None, int(current[0]), int(current[1])), out
+    track = _Track(saved)
+    out = [track.step(r.tick_id, r.time_ms, r.x, r.y, r.speed) for r in rows.itertuples(index=False)]
+    return track.saved(), out
 
 
 def _tracks(ticks: DataFrame) -> DataFrame:
@@ -69,13 +77,32 @@ class _Filter(StatefulProcessor):
 
 
 def kalman_state(rows: DataFrame) -> DataFrame:
-    """(bus_id and the filter's state) after rows that are already stored, one row a bus: what a new session starts from."""
+    """(bus_id and the filter's state) after rows that are already stored, one row a bus: what a new session starts from.
+
+    Sorted rows are scanned with the state carried over batches: one batch of memory, however long a history is.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, track, found = None, None, []
+        for batch in batches:
+            for bus, *row in zip(*(batch.column(k).to_pylist() for k in ("bus_id", "tick_id", "time_ms", "x", "y", "speed")), strict=True):
+                if track is None or bus != own:
+                    if track is not None:
+                        found.append((own, *track.saved()))
+                    own, track = bus, _Track()
+                track.step(*row)
+            if found:
+                yield _state_batch(found)
+                found = []
+        if track is not None:
+            yield _state_batch([(own, *track.saved())])
+
+    return _tracks(rows).repartition("bus_id").sortWithinPartitions("bus_id", *_ORDER).mapInArrow(scan, f"bus_id string, {_STATE}")
 
-    def last(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        state, _ = _advance(None, frame.sort_values(_ORDER))
-        return pd.DataFrame([(key[0], *state)], columns=["bus_id", *_FLOATS, "starts", "live", "tick", "time_ms"])
 
-    return _tracks(rows).groupBy("bus_id").applyInPandas(last, f"bus_id string, {_STATE}")
+def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), *[pa.float64()] * 7, pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bus_id", *_FLOATS, "starts", "live", "tick", "time_ms"])
 
 
 def kalman_stream(ticks: DataFrame, warm: DataFrame | None = None) -> DataFrame:
@@ -105,50 +132,6 @@ def append_ticks(ticks: DataFrame, path: str, checkpoint: str, arrival_ms: str =
     return with_ingest_date(ticks, arrival_ms).writeStream.format("parquet").partitionBy("ingest_date").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def day_heatmap(rows: DataFrame) -> DataFrame:
-    """The heatmap of each day apart."""
-    return speed_heatmap(rows, keys=("day",))
-
-
-def day_views(ticks: DataFrame, store: str, checkpoint: str, publish: Callable[[str, DataFrame], None], views: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
-    """Keeps the heatmap and timeline of the days that a stream touches (K6).
-
-    Exact medians are not incremental: each micro-batch is appended to its days' partitions
-    and only those days are computed anew, from their partitions. Views get the rows with
-    their ``day`` and keep days apart, so a batch that crosses midnight mixes none of them and
-    a local day starts empty (K5). A batch that is tried again replaces its own rows, so
-    nothing counts twice; a new session finds its days where the last one left them (K11).
-    """
-    made = views if views is not None else {"heatmap": day_heatmap, "timeline": speed_timeline}
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("day", day_number(F.col("time_ms"))).withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(store)
-        days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one micro-batch
-        if days:
-            stored = spark.read.parquet(store).filter(F.col("day").isin(days))
-            for name, view in made.items():
-                publish(name, view(stored.drop("batch")))
-
-    return ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def publish_days(folder: str) -> Callable[[str, DataFrame], None]:
-    """A publisher that replaces, in folder/name, the days that a view has and leaves the others."""
-
-    def publish(name: str, view: DataFrame) -> None:
-        view.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{folder}/{name}")
-
-    return publish
-
-
 def without_repeats(ticks: DataFrame, event_time: str, delay: str = "10 minutes", keys: tuple[str, ...] = ("bus_id", "tick_id")) -> DataFrame:
     """Optional: one row for each key within a watermark. The faithful path drops nothing."""
     return ticks.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
-def warm_rows(spark: SparkSession, store: str, day: int) -> DataFrame:
-    """A day's stored rows, from which trails, timelines and heatmaps restart."""
-    return spark.read.parquet(store).filter(F.col("day") == day)
-

@@ -191,6 +191,46 @@ def test_sticky_shape_and_slices(spark):
 
 
 # ---- clusters ---------------------------------------------------------------------------------
+def plain_link(distances, method):
+    """The pair of least distance in a full scan, again and again."""
+    order, size, merges = list(range(len(distances))), {k: 1 for k in range(len(distances))}, []
+    d = {(a, b): distances[a][b] for a in order for b in order}
+    while len(order) > 1:
+        best = min((d[a, b], x, y) for x, a in enumerate(order) for y, b in enumerate(order) if x < y)
+        a, b, number = order[best[1]], order[best[2]], len(distances) + len(merges)
+        size[number] = size[a] + size[b]
+        merges.append((a, b, best[0], size[number]))
+        order = [k for k in order if k not in (a, b)]
+        for c in order:
+            if method == "ward":
+                new = max(0, ((size[a] + size[c]) * d[a, c] ** 2 + (size[b] + size[c]) * d[b, c] ** 2 - size[c] * best[0] ** 2) / (size[a] + size[b] + size[c])) ** 0.5
+            else:
+                new = (size[a] * d[a, c] + size[b] * d[b, c]) / (size[a] + size[b])
+            d[number, c] = d[c, number] = new
+        order.append(number)
+    return merges
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_linkage_equals_a_full_scan(method):
+    rng = np.random.default_rng(4)
+    for n, values in ((2, 3), (5, 2), (17, 3), (30, 1000), (40, 4)):  # few values are many ties
+        upper = np.triu(rng.integers(1, values + 1, (n, n)), 1).astype(float)
+        distances = upper + upper.T
+        got, want = clusters.link(distances, method), plain_link(distances, method)
+        assert [m[:2] + m[3:] for m in got] == [m[:2] + m[3:] for m in want] and np.allclose([m[2] for m in got], [m[2] for m in want])
+    assert clusters.link(np.zeros((1, 1)), method) == []
+
+
+def test_linkage_of_two_thousand_routes():
+    import time
+
+    x = np.random.default_rng(5).normal(size=(2000, 8))
+    distances = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    began = time.process_time()
+    assert len(clusters.link(distances, "ward")) == 1999 and time.process_time() - began < 20
+
+
 def test_linkage_and_cut():
     x = np.array([0.0, 1.0, 10.0, 11.5, 30.0])
     d = np.abs(x[:, None] - x[None, :])
@@ -445,3 +485,47 @@ def test_a_cluster_has_to_name_its_shared_folder():
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError):
             shared_dir(session(master, sql="/tmp/warehouse"))
+
+
+def test_exact_medians_of_a_hot_key(spark):
+    """Most rows are of one key; nulls are keys, and a key's middle may lie between two ranges."""
+    from transitloom.operators.medians import exact_median
+
+    rng = np.random.default_rng(6)
+    rows = [("hot", None, float(v), int(n)) for v, n in zip(rng.normal(0, 40, 4000).round(2), rng.integers(1, 4, 4000))]
+    rows += [("a", "x", 0.5, 1), ("a", "x", 7.5, 1), ("b", None, -3.25, 5), (None, None, 1.0, 1), (None, None, 2.0, 2), ("c", "y", None, 3), ("c", "y", 9.0, 0)]
+    table = spark.createDataFrame(rows, "k string, l string, value double, n long")
+    got = {(r.k, r.l): (r["median"], r.n) for r in exact_median(table, ["k", "l"], 1.0).collect()}
+    groups = {}
+    for k, l, v, n in rows:
+        if v is not None and n:
+            groups.setdefault((k, l), []).extend([v] * n)
+    assert got == {key: (float(np.median(vs)), len(vs)) for key, vs in groups.items()}
+    plan = exact_median(table, ["k", "l"], 1.0)._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    assert windows and not any("value" in x and "part" not in x for x in windows)  # values are only ranked within a range
+
+
+def test_nearest_nodes_by_a_full_scan(spark):
+    from transitloom.operators import roads
+
+    rng = np.random.default_rng(7)
+    nodes = [(k, 3.0 + rng.random() * 0.03, 101.0 + rng.random() * 0.03) for k in range(150)] + [(900, 3.0101, 101.0101), (901, 3.0101, 101.0101), (902, None, 101.0)]
+    main = [k for k in range(150) if nodes[k][1] < 3.012]
+    points = [(k, 2.99 + rng.random() * 0.05, 100.99 + rng.random() * 0.05) for k in range(400)] + [(998, 3.0101, 101.0101), (999, None, 101.0)]
+    schema = "node_id long, lat double, lon double"
+    table = spark.createDataFrame(nodes, schema)
+    found = roads.nearest_node(spark.createDataFrame(points, "point_id long, lat double, lon double"), table, table.filter(F.col("node_id").isin(main)).select("node_id"))
+    got = {r.point_id: (r.node_id, r.dist_m) for r in found.collect()}
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(np.radians, (a, b, c, d))
+        return 2 * 6371000 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+
+    want = {}
+    for p, lat, lon in points[:-1]:
+        near = [(n not in main, metres(lat, lon, y, x), n) for n, y, x in nodes if y is not None and abs(np.floor(lat / 0.002) - np.floor(y / 0.002)) <= 4 and abs(np.floor(lon / 0.002) - np.floor(x / 0.002)) <= 4]
+        if near:
+            want[p] = min(near)[::-1][:2]
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    assert len({n in main for n, _ in got.values()}) == 2

@@ -66,23 +66,49 @@ def pairwise_distance(rows: DataFrame, metric: str = "euclidean") -> DataFrame:
 def link(distances: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, distance, size) of a symmetric matrix by Lance-Williams updates.
 
-    Of equal distances the first pair in order wins, merged clusters coming last.
+    Of equal distances the first pair in order wins, merged clusters coming last. Each cluster
+    keeps its nearest among those after it; a merge looks again only for those that lose
+    theirs, so work is about quadratic. A merged cluster takes the place of its right part.
     """
-    work, ids, sizes = distances.astype(float).copy(), list(range(len(distances))), [1] * len(distances)
-    merges, number = [], len(distances)
-    while len(ids) > 1:
-        upper = np.where(np.triu(np.ones_like(work, bool), 1), work, np.inf)
-        i, j = divmod(int(upper.argmin()), len(ids))
-        d, a, b = work[i, j], sizes[i], sizes[j]
-        merges.append((ids[i], ids[j], float(d), a + b))
-        rest = [k for k in range(len(ids)) if k not in (i, j)]
-        to_a, to_b, c = work[i, rest], work[j, rest], np.array([sizes[k] for k in rest])
+    n = len(distances)
+    work, size = distances.astype(float).copy(), np.ones(n)
+    ids, open_ = np.arange(n), np.ones(n, bool)  # ids are also the order
+    near, gap = np.full(n, -1), np.full(n, np.inf)
+
+    def first(places: np.ndarray) -> int:
+        return int(places[ids[places].argmin()])
+
+    def look(k: int) -> None:
+        later = np.flatnonzero(open_ & (ids > ids[k]))
+        if len(later):
+            gap[k] = work[k, later].min()
+            near[k] = first(later[work[k, later] == gap[k]])
+        else:
+            gap[k], near[k] = np.inf, -1
+
+    for k in range(n):
+        look(k)
+    merges = []
+    for number in range(n, 2 * n - 1):
+        waiting = np.flatnonzero(open_ & (near >= 0))
+        i = first(waiting[gap[waiting] == gap[waiting].min()])
+        j = int(near[i])
+        d, a, b = work[i, j], size[i], size[j]
+        merges.append((int(ids[i]), int(ids[j]), float(d), int(a + b)))
+        open_[[i, j]] = False
+        rest = np.flatnonzero(open_)
+        to_a, to_b, c = work[i, rest], work[j, rest], size[rest]
         if method == "ward":
             row = np.sqrt(np.maximum(0, ((a + c) * to_a**2 + (b + c) * to_b**2 - c * d * d) / (a + b + c)))
         else:
             row = (a * to_a + b * to_b) / (a + b)
-        work = np.block([[work[np.ix_(rest, rest)], row[:, None]], [row[None, :], np.zeros((1, 1))]])
-        ids, sizes, number = [*[ids[k] for k in rest], number], [*[sizes[k] for k in rest], a + b], number + 1
+        work[j, rest] = work[rest, j] = row
+        ids[j], size[j], open_[j], near[j], gap[j] = number, a + b, True, -1, np.inf
+        lost = (near[rest] == i) | (near[rest] == j)
+        nearer = rest[~lost & (row < gap[rest])]
+        near[nearer], gap[nearer] = j, work[nearer, j]
+        for k in rest[lost]:
+            look(int(k))
     return merges
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine
 from ..functions.labels import is_unknown_route
 from ..functions.timeparts import day_number, fractional_bucket, half_hour_bucket
+from ..runtime import if_small, written
 from .heatmap import recent_days
 
 MODEL_DAYS, SLOTS, JUMP_KM = 60, 48, 2.0
@@ -40,15 +41,18 @@ def adjust_positions(positions: DataFrame, model: DataFrame) -> DataFrame:
 
     The typical position lies between the centres of the slots before and after the time, of
     the bus on its route or else of the route; on unknown routes of the bus. Slots do not wrap
-    at midnight.
+    at midnight. The model is computed once, and its sides are broadcast where their counted
+    rows are few.
     """
+    model = written(model, "cross-day-model")
     at = fractional_bucket(F.col("time_ms"))
     rows = positions.withColumn("_route", F.when(is_unknown_route(F.col("route")), "Unknown").otherwise(F.col("route")))
     rows = rows.withColumn("_lo", F.floor(at - 0.5).cast("int")).withColumn("_frac", at - (F.floor(at - 0.5) + 0.5))
     for tier, keys in ((1, ("bus_id", "route")), (2, ("route",)), (3, ("bus_id",))):
         # one row for each key, with all its slots: at most SLOTS of them
         slots = F.map_from_entries(F.collect_list(F.struct("slot", F.struct("lat", "lon")))).alias(f"_slots{tier}")
-        side = model.filter(F.col("tier") == tier).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(slots)
+        side = written(model.filter(F.col("tier") == tier).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(slots), "typical-positions")
+        side = if_small(side, SLOTS * 32 + 64)
         match = F.lit(True)
         for k in keys:
             match &= F.col("_route" if k == "route" else k) == F.col(f"_k_{k}")

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.geo import grid_cell, grid_step, round_half_up
 from ..functions.speed import MODES, PHYSICAL_ANCHOR, SPIKE, bin_edges, fixed_edges, mode_bin, plausible, speed_bin
 from ..functions.timeparts import day_number, frac_hour, local_hour
+from .medians import exact_median
 
 SAMPLES = 60
+#: Speeds of a range that is ranked as one.
+RANGE_KMH = 1.0
 
 
 def unpivot_modes(positions: DataFrame, *keys: str | Column) -> DataFrame:
@@ -47,12 +50,21 @@ def speed_heatmap_all(positions: DataFrame) -> DataFrame:
     return cells.select("mode", "route", "hour", round_half_up(F.col("raw_value"), 2).alias("value"), mode_bin(F.col("mode"), F.col("raw_value")).alias("bin"), "n")
 
 
+def day_medians(positions: DataFrame) -> DataFrame:
+    """(mode, day, bus_id, m): each bus's median speed of a day."""
+    samples = unpivot_modes(positions, day_number(F.col("time_ms")).alias("day"), "bus_id").filter(plausible(F.col("v")))
+    return samples.groupBy("mode", "day", "bus_id").agg(F.median("v").alias("m"))
+
+
+def pooled(counted: DataFrame) -> DataFrame:
+    """(mode, anchor, n) of counted medians (mode, value, n): theirs, null unless positive. Only the range of values around each is ranked."""
+    found = exact_median(counted.select("mode", "value", "n"), ["mode"], RANGE_KMH)
+    return found.select("mode", F.when(F.col("median") > 0, F.col("median")).alias("anchor"), "n")
+
+
 def pooled_anchors(positions: DataFrame) -> DataFrame:
     """(mode, anchor, n): the median over days and buses of each one's median; null unless positive."""
-    samples = unpivot_modes(positions, day_number(F.col("time_ms")).alias("day"), "bus_id").filter(plausible(F.col("v")))
-    medians = samples.groupBy("mode", "day", "bus_id").agg(F.median("v").alias("m"))
-    pooled = medians.groupBy("mode").agg(F.median("m").alias("anchor"), F.count("*").alias("n"))
-    return pooled.withColumn("anchor", F.when(F.col("anchor") > 0, F.col("anchor")))
+    return pooled(day_medians(positions).select("mode", F.col("m").alias("value"), F.lit(1).cast("long").alias("n")))
 
 
 def anchored_edges(anchors: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine, round_half_up
-from ..runtime import shared_dir, written
+from ..runtime import if_small, shared_dir, written
 
 #: Free-flow speeds by road class, km/h.
 FREE_FLOW = {
@@ -17,6 +17,8 @@ FREE_FLOW = {
     "secondary": 50, "secondary_link": 40, "tertiary": 40, "tertiary_link": 35, "residential": 30, "unclassified": 30, "living_street": 15,
 }
 OTHER_KMH, LEAST_EDGE_M, NODE_CELL, NODE_REACH, JAM_CELL, LEAST_KMH = 30, 0.5, 0.002, 4, 0.001, 5.0
+#: The place that the main component is found from. (Fixed values.)
+SEED = (3.148, 101.694)
 
 
 def free_flow(highway: Column) -> Column:
@@ -39,16 +41,40 @@ def road_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(F.explode(both).alias("e"), round_half_up(F.col("m")).cast("long").alias("dist_m"), free_flow(F.coalesce("highway", F.lit("unclassified"))).alias("kmh")).select("e.*", "dist_m", "kmh")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, main: DataFrame) -> DataFrame:
-    """(point_id, node_id, dist_m): the nearest node within four cells, one of the main component if there is any."""
-    rows = points.select("point_id", "lat", "lon")
+def node_candidates(cells: DataFrame, nodes: DataFrame, main: DataFrame) -> DataFrame:
+    """(row, col, near): for each cell the nodes within four cells that can be nearest to some point in it.
+
+    Where there are nodes of the main component they alone can. A node whose distance from the
+    cell's centre is beyond the nearest one's by the cell's diagonal is nearest to none of its
+    points, so few are left, and a point needs no other row than its cell's.
+    """
     near = F.sequence(F.lit(-NODE_REACH), F.lit(NODE_REACH))
-    rows = rows.withColumn("row", F.explode(F.transform(near, lambda s: F.floor(F.col("lat") / NODE_CELL) + s))).withColumn("col", F.explode(F.transform(near, lambda s: F.floor(F.col("lon") / NODE_CELL) + s)))
+    place = lambda c: F.floor(F.col(c) / NODE_CELL)
     known = nodes.join(main.select("node_id").distinct().withColumn("main", F.lit(True)), "node_id", "left")
-    cells = known.select("node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), F.coalesce("main", F.lit(False)).alias("main"), F.floor(F.col("lat") / NODE_CELL).alias("row"), F.floor(F.col("lon") / NODE_CELL).alias("col"))
-    met = rows.join(cells, ["row", "col"]).withColumn("dist_m", haversine(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"), EARTH_M))
-    best = met.groupBy("point_id").agg(F.min(F.struct((~F.col("main")).alias("side"), "dist_m", "node_id")).alias("m"))
-    return best.select("point_id", "m.node_id", "m.dist_m")
+    spread = known.filter("lat is not null and lon is not null").select("node_id", "lat", "lon", F.coalesce("main", F.lit(False)).alias("main"), F.explode(F.transform(near, lambda s: place("lat") + s)).alias("row"), place("lon").alias("own_col"))
+    spread = spread.withColumn("col", F.explode(F.transform(near, lambda s: F.col("own_col") + s))).drop("own_col")
+    lat, lon = ((F.col(c) + 0.5) * NODE_CELL for c in ("row", "col"))
+    met = spread.join(cells, ["row", "col"], "left_semi").withColumn("away", haversine(lat, lon, F.col("lat"), F.col("lon"), EARTH_M))
+    corner = lambda s: haversine(lat, lon, lat + s * NODE_CELL / 2, lon + NODE_CELL / 2, EARTH_M)
+    least = met.groupBy("row", "col").agg(F.min(F.struct((~F.col("main")).alias("other"), "away")).alias("least"), F.min("away").alias("nearest"))
+    least = least.select("row", "col", (~F.col("least.other")).alias("has_main"), F.when(~F.col("least.other"), F.col("least.away")).otherwise(F.col("nearest")).alias("nearest"))
+    reach = F.col("nearest") + 2.02 * F.greatest(corner(1), corner(-1)) + 1
+    kept = met.join(least, ["row", "col"]).filter((F.col("away") <= reach) & (F.col("main") | ~F.col("has_main")))
+    return kept.groupBy("row", "col").agg(F.collect_list(F.struct("node_id", "lat", "lon")).alias("near"))
+
+
+def nearest_node(points: DataFrame, nodes: DataFrame, main: DataFrame) -> DataFrame:
+    """(point_id, node_id, dist_m): the nearest node within four cells, one of the main component if there is any.
+
+    Points meet the candidates of their cell in one row; they are not copied, and not shuffled
+    where the counted cells can be broadcast.
+    """
+    rows = points.select("point_id", "lat", "lon", F.floor(F.col("lat") / NODE_CELL).alias("row"), F.floor(F.col("lon") / NODE_CELL).alias("col"))
+    near = written(node_candidates(rows.select("row", "col").distinct(), nodes, main), "node-candidates")
+    listed = near.agg(F.sum(F.size("near"))).first()[0] or 0
+    met = rows.join(if_small(near, 64 + 48 * listed // max(1, near.count())), ["row", "col"])
+    away = F.transform("near", lambda n: F.struct(haversine(F.col("lat"), F.col("lon"), n["lat"], n["lon"], EARTH_M).alias("dist_m"), n["node_id"].alias("node_id")))
+    return met.select("point_id", F.array_min(away).alias("m")).select("point_id", "m.node_id", "m.dist_m")
 
 
 def edge_congestion(edges: DataFrame, nodes: DataFrame, speeds: DataFrame) -> DataFrame:
@@ -94,3 +120,11 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return seen
         found = frontier.join(steps, "node_id").select(F.col("to_node").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
+
+
+def main_component(edges: DataFrame, nodes: DataFrame, lat: float = SEED[0], lon: float = SEED[1]) -> DataFrame:
+    """(node_id): what directed edges reach from the node nearest to a place, of those that edges leave; none without edges."""
+    starts = nodes.filter("lat is not null and lon is not null").join(edges.select(F.col("from_node").alias("node_id")).distinct(), "node_id", "left_semi")
+    away = haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon), EARTH_M)
+    seed = starts.agg(F.min(F.struct(away.alias("m"), "node_id")).alias("s")).select("s.node_id").filter("node_id is not null")
+    return reachable(edges, seed)

@@ -377,6 +377,27 @@ def j9(spark, sf_dir):
     return found.select("point_id", "node_id", geo.round_half_up(F.col("dist_m"), 3).alias("dist_m"))
 
 
+_MAIN = f"{fx.ROAD_NODES}, {fx.ROAD_WAYS}, {_EDGES}, e AS MATERIALIZED (SELECT DISTINCT from_node, to_node FROM ed), seed AS (SELECT node_id FROM road_nodes WHERE node_id IN (SELECT from_node FROM e) ORDER BY {hav_sql('lat', 'lon', str(roads.SEED[0]) + '::DOUBLE', str(roads.SEED[1]) + '::DOUBLE', '6371000')}, node_id LIMIT 1), k AS (SELECT node_id FROM seed UNION SELECT to_node FROM k JOIN e ON from_node = node_id)"
+
+
+def _main(spark, sf_dir):
+    nodes = fx.road_nodes(spark, sf_dir)
+    return nodes, roads.main_component(roads.road_edges(fx.road_ways(spark, sf_dir), nodes), nodes)
+
+
+@query("g1_main_component", f"WITH RECURSIVE {_MAIN} SELECT node_id FROM k")
+def g1_main(spark, sf_dir):
+    return _main(spark, sf_dir)[1]
+
+
+@query("j9_router_node", f"WITH RECURSIVE {_MAIN}, {fx.POS_SPARSE}, c AS (SELECT event_id, node_id, node_id IN (SELECT node_id FROM k) AS main, {hav_sql('p.lat', 'p.lon', 'n.lat', 'n.lon', '6371000')} AS d FROM pos p JOIN road_nodes n ON abs(floor(p.lat / 0.002::DOUBLE) - floor(n.lat / 0.002::DOUBLE)) <= 4 AND abs(floor(p.lon / 0.002::DOUBLE) - floor(n.lon / 0.002::DOUBLE)) <= 4) SELECT event_id AS point_id, arg_min(node_id, (NOT main, d, node_id)) AS node_id, {half_up('arg_min(d, (NOT main, d, node_id))', 3)} AS dist_m FROM c GROUP BY event_id")
+def j9_router(spark, sf_dir):
+    """The nearest node as the router looks for it: of the main component that its seed gives, else of any."""
+    nodes, main = _main(spark, sf_dir)
+    points = fx.pos_sparse(spark, sf_dir).select(F.col("event_id").alias("point_id"), "lat", "lon")
+    return roads.nearest_node(points, nodes, main).select("point_id", "node_id", geo.round_half_up(F.col("dist_m"), 3).alias("dist_m"))
+
+
 @query("j10_a16_a17_congestion", f"WITH {fx.ROAD_NODES}, {fx.ROAD_WAYS}, {_EDGES}, {fx.POS_DENSE}, me AS (SELECT ed.*, floor((a.lat + b.lat) / 2 / 0.001::DOUBLE) AS r, floor((a.lon + b.lon) / 2 / 0.001::DOUBLE) AS c FROM ed JOIN road_nodes a ON a.node_id = from_node JOIN road_nodes b ON b.node_id = to_node), pc AS (SELECT floor(lat / 0.001::DOUBLE) AS r, floor(lon / 0.001::DOUBLE) AS c, speed FROM pos WHERE speed >= 0), nb AS (SELECT m.r, m.c, list_sort(list(speed)) AS s FROM (SELECT DISTINCT r, c FROM me) m JOIN pc ON abs(pc.r - m.r) <= 1 AND abs(pc.c - m.c) <= 1 GROUP BY m.r, m.c), x AS (SELECT from_node, to_node, dist_m, kmh, coalesce(greatest(5, least(kmh, s[len(s) // 2 + 1])), kmh) AS g FROM me LEFT JOIN nb ON nb.r = me.r AND nb.c = me.c) SELECT from_node, to_node, dist_m, CAST(kmh AS INT) AS kmh, CAST(g AS DOUBLE) AS congestion_kmh, {half_up('dist_m / (g / 3.6::DOUBLE)', 3)} AS travel_s FROM x")
 def j10(spark, sf_dir):
     nodes = fx.road_nodes(spark, sf_dir)

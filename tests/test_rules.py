@@ -529,3 +529,37 @@ def test_nearest_nodes_by_a_full_scan(spark):
             want[p] = min(near)[::-1][:2]
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
     assert len({n in main for n, _ in got.values()}) == 2
+
+
+def test_cells_of_a_long_ferry_line(spark):
+    """Every cell within reach of a segment, and few others: a diagonal of 40 km has its line's and not its box's."""
+    reach, size = 200.0, shapes.CELL_M
+    lines = [(0, 0.0, 0.0, 28_000.0, 28_000.0), (1, 500.0, 900.0, 500.0, -3_000.0), (2, 10.0, 10.0, 10.0, 10.0), (3, 3_000.0, 100.0, -2_000.0, 900.0)]
+    rows = spark.createDataFrame(lines, "seg long, ax double, ay double, bx double, by double")
+    got = {}
+    for r in shapes.gridded(rows, reach).collect():
+        got.setdefault(r.seg, []).append((r.cell_x, r.cell_y))
+    rng = np.random.default_rng(9)
+    for seg, ax, ay, bx, by in lines:
+        cells = set(got[seg])
+        assert len(cells) == len(got[seg])
+        t, angle, far = rng.random(4000), rng.random(4000) * 2 * np.pi, np.sqrt(rng.random(4000)) * reach
+        x, y = ax + t * (bx - ax) + far * np.cos(angle), ay + t * (by - ay) + far * np.sin(angle)
+        assert {(int(a), int(b)) for a, b in zip(np.floor(x / size), np.floor(y / size))} <= cells
+    assert len(got[0]) < 72 * 6
+
+
+def test_ranks_of_a_hot_cell_in_pieces(spark):
+    """Nine rows in ten are of one cell: places are those of one sort, and no window takes the whole cell."""
+    from transitloom.operators.medians import ranked
+
+    rng = np.random.default_rng(10)
+    rows = [("hot" if k % 10 else None, None if k % 97 == 0 else int(t), k) for k, t in enumerate(rng.integers(0, 90_000_000, 3000))]
+    table = spark.createDataFrame(rows, "cell string, time_ms long, event_id long")
+    made = ranked(table, ["cell"])
+    got = {r.event_id: (r._i, r._len) for r in made.collect()}
+    for cell in ("hot", None):
+        own = sorted((r for r in rows if r[0] == cell), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == [(i, len(own)) for i in range(len(own))]
+    windows = [x for x in made._jdf.queryExecution().executedPlan().toString().split("\n") if "row_number" in x and "Window" in x]
+    assert windows and all("_part" in x for x in windows)

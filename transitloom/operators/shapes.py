@@ -45,9 +45,19 @@ def _cell(metres: Column) -> Column:
 
 
 def gridded(segs: DataFrame, reach: float) -> DataFrame:
-    """A row of each segment for each cell within reach of its box."""
-    span = lambda a, b: F.sequence(_cell(F.least(a, b) - reach), _cell(F.greatest(a, b) + reach))
-    return segs.withColumn("cell_x", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("cell_y", F.explode(span(F.col("ay"), F.col("by"))))
+    """A row of each segment for each cell within reach of it, column by column.
+
+    In a column of cells only the part of the segment counts that comes within reach of the
+    column, so a long slanted one has cells along its line and not those of its whole box.
+    """
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    held = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    share = lambda x: F.when(dx != 0, held((x - F.col("ax")) / F.when(dx != 0, dx)))
+    y = lambda t, other: F.col("ay") + F.coalesce(t, F.lit(other)) * dy
+    columns = F.sequence(_cell(F.least("ax", "bx") - reach), _cell(F.greatest("ax", "bx") + reach))
+    rows = segs.withColumn("cell_x", F.explode(columns))
+    one, two = y(share(F.col("cell_x") * CELL_M - reach), 0.0), y(share((F.col("cell_x") + 1) * CELL_M + reach), 1.0)
+    return rows.withColumn("cell_y", F.explode(F.sequence(_cell(F.least(one, two) - reach), _cell(F.greatest(one, two) + reach))))
 
 
 _BOX = [f"{end}_{c}" for end in ("lo", "hi") for c in ("lat", "lon")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_KM, EARTH_KM_SHORT, grid_cell, grid_step, haversine, round_half_up
 from ..functions.speed import MODES, effective_speed, is_moving
 from ..functions.timeparts import day_number, ms_of_day
+from .medians import ranked
 
 BIN_MS = 13 * 60_000
 #: Fixed values of the trust weight: offset, floor, the speed above which it is cut, and the trust without a second speed.
@@ -116,8 +117,7 @@ def last_known(positions: DataFrame) -> DataFrame:
 
 def even_sample(positions: DataFrame, n: int = 200) -> DataFrame:
     """Rows at floor(i * length / n) of each bus's track, the last one being its final row; short tracks whole."""
-    own = Window.partitionBy("bus_id")
-    rows = positions.withColumn("_i", F.row_number().over(own.orderBy("time_ms", "event_id")) - 1).withColumn("_len", F.count("*").over(own))
+    rows = ranked(positions, ["bus_id"])
     length, i = F.col("_len"), F.col("_i")
     # i is taken where some k < n has floor(k * length / n) = i; the last k takes the final row
     k = F.ceil(i * n / length)
@@ -131,11 +131,10 @@ def spatial_sample(positions: DataFrame, most: int, metres: float = 200.0) -> Da
     rows = positions.withColumn("_y", grid_cell(F.col("lat"), step)).withColumn("_x", grid_cell(F.col("lon"), step))
     cells = rows.groupBy("_y", "_x").agg(F.count("*").alias("_n"))
     whole = cells.agg(F.sum("_n").alias("_all"), F.greatest(F.lit(1), F.ceil(F.lit(most) / F.count("*"))).alias("_cap"))
-    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_y", "_x").orderBy("time_ms", "event_id")) - 1)
-    ranked = ranked.join(cells, ["_y", "_x"]).crossJoin(F.broadcast(whole))  # one row
-    cap, n, i = F.col("_cap"), F.col("_n"), F.col("_i")
+    placed = ranked(rows, ["_y", "_x"]).crossJoin(F.broadcast(whole))  # one row
+    cap, n, i = F.col("_cap"), F.col("_len"), F.col("_i")
     strided = F.floor(F.ceil(i * cap / n) * n / cap) == i
-    return ranked.filter((F.col("_all") <= most) | (n <= cap) | (strided & (F.ceil(i * cap / n) < cap))).drop("_y", "_x", "_n", "_all", "_cap", "_i")
+    return placed.filter((F.col("_all") <= most) | (n <= cap) | (strided & (F.ceil(i * cap / n) < cap))).drop("_y", "_x", "_len", "_all", "_cap", "_i")
 
 
 def moving_average(positions: DataFrame, n: int = 3) -> DataFrame:

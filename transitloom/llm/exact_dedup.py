@@ -124,6 +124,10 @@ class FilterStack:
             self.filters[-n:] = [self.filters[-n].merged(*self.filters[-n + 1 :])]
 
 
+#: Fingerprints of a slice, which one group merges.
+SLICE_ROWS = 1 << 20
+
+
 def normalised(text_col: str) -> Column:
     """The text with each run of ASCII white space made one space; null is empty."""
     return F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " ")
@@ -171,7 +175,9 @@ def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     flagged alike. An empty table gives none.
     """
     spark = docs.sparkSession
-    bits = slice_bits or max(6, min(16, (4 * partitions(spark) - 1).bit_length()))
+    # slices of SLICE_ROWS at most, about, and several for each task
+    slices = max(4 * partitions(spark), -(-docs.count() // SLICE_ROWS)) if slice_bits is None else 1 << slice_bits
+    bits = max(6, min(32, (slices - 1).bit_length()))
     text = normalised(text_col)
     repeated = written(repeated_prints(docs.select(F.xxhash64(text).alias("fp")), bits), "copies-prints")
     routed = join_dealt(docs.select(F.col(id_col).alias("id"), text.alias("norm")).withColumn("fp", F.xxhash64("norm")), repeated, "fp", "n", 16, ["id"])

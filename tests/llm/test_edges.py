@@ -164,3 +164,25 @@ def test_joins_deal_a_hot_key_over_tasks(spark, monkeypatch):
     info = common.written(rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 350"), "test-info")
     dealt = common.join_dealt(rows, info, "k", "n", 16, ["id"], "left")
     assert runs(dealt.select("id", "k", "n")) == runs(rows.join(info, "k", "left").select("id", "k", "n"))
+
+
+def test_very_many_path_rules_of_one_host(spark):
+    """5,000 nested and neighbouring paths of a host beside rules of the hosts around it: all pages as a plain loop judges them, and no row holds the rules."""
+    import random
+
+    rng = random.Random(12)
+    rules = {("x.org", "/" + "/".join(f"d{rng.randrange(9)}" for _ in range(rng.randrange(1, 7))) + rng.choice(["", "/", "é", "~"])) for _ in range(9000)}
+    rules = [(rng.choice(["block", "allow"]), h, p) for h, p in sorted(rules)[:5000]] + [("block", "org", "/d1"), ("allow", "a.x.org", "/d1/d"), ("block", "x.org", ""), ("allow", "b.a.x.org", "/")]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    pages = [(k, f"http://{rng.choice(['x.org', 'a.x.org', 'b.a.x.org', 'c.b.a.x.org', 'y.org', 'xx.org', 'org'])}/" + "/".join(f"d{rng.randrange(9)}" for _ in range(rng.randrange(1, 8))) + rng.choice(["", "/", "é", "~z", "?q"])) for k in range(3000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), table).collect()}
+    by_host = {}
+    for verdict, host, path in rules:
+        by_host.setdefault(host, {})[path] = max(verdict, by_host.get(host, {}).get(path, ""))
+    for k, url in pages:
+        host, path = url[7:].split("/", 1)
+        path, labels = "/" + path.split("?")[0], host.split(".")
+        fits = [(len(h + path[:n]), h + path[:n], by_host[h][path[:n]]) for h in (".".join(labels[i:]) for i in range(len(labels))) if h in by_host for n in range(len(path) + 1) if path[:n] in by_host[h]]
+        assert got[k] == (max(fits)[1:] if fits else (None, "allow")), url
+    named = table.selectExpr("host AS at", "path", "length(concat(host, path)) AS size", "concat(host, path) AS rule", "verdict")
+    assert url_filters._path_events(named).schema["top"].dataType.simpleString().startswith("struct")  # one rule, not all

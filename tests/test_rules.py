@@ -563,3 +563,25 @@ def test_ranks_of_a_hot_cell_in_pieces(spark):
         assert [got[r[2]] for r in own] == [(i, len(own)) for i in range(len(own))]
     windows = [x for x in made._jdf.queryExecution().executedPlan().toString().split("\n") if "row_number" in x and "Window" in x]
     assert windows and all("_part" in x for x in windows)
+
+
+def test_reachability_by_blocks(spark, tmp_path, monkeypatch):
+    """A way of 600 hops in blocks of 100 takes some six rounds; random graphs as a plain search finds them."""
+    from transitloom.operators import roads
+
+    monkeypatch.setattr(roads, "shared_dir", lambda session: str(tmp_path))
+    table = lambda rows: spark.createDataFrame(rows, "from_node long, to_node long")
+    seeds = lambda *rows: spark.createDataFrame([(k,) for k in rows], "node_id long")
+    got = roads.reachable(table([(k, k + 1) for k in range(600)] + [(None, 3), (4, None), (900, 5)]), seeds(0), block_nodes=100)
+    assert sorted(r.node_id for r in got.collect()) == list(range(601))
+    assert len(list(next(tmp_path.glob("reached-*")).glob("round=*"))) <= 10
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (140, 2))]
+    seen, waiting = set(), [3, 700]
+    while waiting:
+        node = waiting.pop()
+        if node not in seen:
+            seen.add(node)
+            waiting += [b for a, b in edges if a == node]
+    assert {r.node_id for r in roads.reachable(table(edges), seeds(3, 700, None), block_nodes=25).collect()} == seen
+    assert roads.reachable(table(edges), seeds()).count() == 0

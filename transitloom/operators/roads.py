@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ FREE_FLOW = {
     "secondary": 50, "secondary_link": 40, "tertiary": 40, "tertiary_link": 35, "residential": 30, "unclassified": 30, "living_street": 15,
 }
 OTHER_KMH, LEAST_EDGE_M, NODE_CELL, NODE_REACH, JAM_CELL, LEAST_KMH = 30, 0.5, 0.002, 4, 0.001, 5.0
+#: Nodes whose edges are walked in one row.
+BLOCK_NODES = 50_000
 #: The place that the main component is found from. (Fixed values.)
 SEED = (3.148, 101.694)
 
@@ -102,24 +106,66 @@ def edge_congestion(edges: DataFrame, nodes: DataFrame, speeds: DataFrame) -> Da
     return found.withColumn("congestion_kmh", jam).withColumn("travel_s", F.col("dist_m") / (F.col("congestion_kmh") / 3.6)).select(*edges.columns, "congestion_kmh", "travel_s")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block what its start nodes reach inside it, and the nodes of other blocks that edges lead to from there."""
+    for batch in batches:
+        nodes, blocks, inside = [], [], []
+        for block, starts, steps, old in zip(*(batch.column(c).to_pylist() for c in ("block", "starts", "steps", "old")), strict=True):
+            follow: dict = {}
+            for step in steps or ():
+                follow.setdefault(step["a"], []).append((step["b"], step["block"]))
+            seen, waiting, out = set(old or ()), [n for n in starts], set()
+            while waiting:
+                node = waiting.pop()
+                if node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                blocks.append(block)
+                inside.append(True)
+                for to, home in follow.get(node, ()):
+                    waiting.append(to) if home == block else out.add((to, home))
+            for to, home in out:
+                nodes.append(to)
+                blocks.append(home)
+                inside.append(False)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, batch.schema.field("starts").type.value_type), pa.array(blocks, pa.int32()), pa.array(inside, pa.bool_())], ["node_id", "block", "inside"])
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(node_id): nodes that directed edges reach from the seeds, these included (G1).
 
-    Each round joins the frontier to the edges, takes out what is known and writes what is left
-    as one more part of the result; nothing is written twice. Rounds are as many as the
-    farthest node has hops.
+    Nodes are blocks by ranges of their numbers, and a block's edges one row of about
+    ``block_nodes`` times their degree. A round walks from the new nodes of each block as far as
+    its own edges lead, with what it has seen there before, and hands on only what edges to
+    other blocks lead to. So rounds are as many as a way changes blocks, not as it has hops.
+    Edges with a null end lead nowhere.
     """
     spark, folder = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/reached-{uuid.uuid4().hex}"
-    steps = written(edges.select(F.col("from_node").alias("node_id"), "to_node").distinct(), "road-steps")
-    shape = seeds.select("node_id").schema
-    found = seeds.select("node_id").distinct()
-    for hops in itertools.count():
-        found.write.parquet(f"{folder}/hops={hops}")
-        frontier = spark.read.schema(shape).parquet(f"{folder}/hops={hops}")
-        seen = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(folder)
+    steps = written(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).filter("a is not null and b is not null").distinct(), "road-steps")
+    begin = seeds.select("node_id").filter("node_id is not null").distinct()
+    nodes = steps.select(F.col("a").alias("node_id")).union(steps.select("b")).union(begin).distinct()
+    count = max(1, -(-nodes.count() // block_nodes))
+    placed = written(nodes.repartitionByRange(count, "node_id").withColumn("block", F.spark_partition_id()), "road-blocks")
+    few = if_small(placed, 32)
+    home = few.select(F.col("node_id").alias("b"), F.col("block").alias("of_b"))
+    own = few.select(F.col("node_id").alias("a"), "block")
+    packed = steps.join(own, "a").join(home, "b").groupBy("block").agg(F.collect_list(F.struct("a", "b", F.col("of_b").alias("block"))).alias("steps"))
+    packed = written(packed, "road-adjacency")
+    kind = begin.schema["node_id"].dataType.simpleString()
+    shape = f"node_id {kind}, block int, inside boolean"
+    frontier = begin.join(few, "node_id").select("node_id", "block")
+    for rounds in itertools.count():
+        seen = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(folder).filter("inside") if rounds else spark.createDataFrame([], shape)
+        starts = frontier.groupBy("block").agg(F.collect_list("node_id").alias("starts"))
+        old = seen.join(F.broadcast(starts.select("block")) if count < 1 << 20 else starts.select("block"), "block", "left_semi").groupBy("block").agg(F.collect_list("node_id").alias("old"))
+        work = starts.join(packed, "block", "left").join(old, "block", "left").select("block", "starts", "steps", "old")
+        work.mapInArrow(_walk, shape).write.parquet(f"{folder}/round={rounds}")
+        made = spark.read.schema(shape).parquet(f"{folder}/round={rounds}")
+        known = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(folder).filter("inside")
+        frontier = written(made.filter("not inside").select("node_id", "block").distinct().join(known.select("node_id"), "node_id", "left_anti").select("node_id", "block"), "road-frontier")
         if frontier.isEmpty():
-            return seen
-        found = frontier.join(steps, "node_id").select(F.col("to_node").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
+            return known.select("node_id")
 
 
 def main_component(edges: DataFrame, nodes: DataFrame, lat: float = SEED[0], lon: float = SEED[1]) -> DataFrame:

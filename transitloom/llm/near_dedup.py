@@ -315,7 +315,6 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = written(shortened(reps), "near-reps")
     shorts = if_small(reps.select("rep", "n", "short"), 2 * TOKENS, FEW_BYTES)
     compared: list[DataFrame] = []
-    links: list[DataFrame] = []
     labels = None
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -331,9 +330,12 @@ def find_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(if_small(old, 32), ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         compared.append(pairs)
-        links.append(written(confirmed(pairs, texts, words, percent).distinct(), "near-links"))
-        if labels is None or not links[-1].isEmpty():
-            labels = if_small(components(reduce(DataFrame.union, links)).withColumnRenamed("v", "rep"), 32)
+        new = written(confirmed(pairs, texts, words, percent).distinct(), "near-links")
+        if labels is None or not new.isEmpty():
+            # what is known is a star for each component, so a look joins its own links to that and not all before
+            stars = [] if labels is None else [labels.filter("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b"))]
+            labels = components(reduce(DataFrame.union, [new, *stars])).withColumnRenamed("v", "rep")
+            labels = if_small(labels, 32)
 
     def unfinished(rows: DataFrame) -> DataFrame:
         """(node, rep, size, probe, outsiders) of the nodes with several components; probes are outside the main one."""

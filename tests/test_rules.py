@@ -206,7 +206,7 @@ def plain_link(distances, method):
                 new = max(0, ((size[a] + size[c]) * d[a, c] ** 2 + (size[b] + size[c]) * d[b, c] ** 2 - size[c] * best[0] ** 2) / (size[a] + size[b] + size[c])) ** 0.5
             else:
                 new = (size[a] * d[a, c] + size[b] * d[b, c]) / (size[a] + size[b])
-            d[number, c] = d[c, number] = new
+            d[number, c] = d[c, number] = np.floor(new * 1e9 + 0.5) / 1e9
         order.append(number)
     return merges
 

@@ -63,6 +63,11 @@ def pairwise_distance(rows: DataFrame, metric: str = "euclidean") -> DataFrame:
     return both.select("day", "a", "b", (1 - F.when(F.col("s") > 0, F.col("c") / F.when(F.col("s") > 0, F.col("s"))).otherwise(0.0)).alias("d"))
 
 
+def settled(distances: np.ndarray) -> np.ndarray:
+    """Distances at nine decimals, so that which of two equal ones is less never hangs on the order of a sum."""
+    return np.floor(distances * 1e9 + 0.5) / 1e9
+
+
 def link(distances: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
     """Merges (left, right, distance, size) of a symmetric matrix by Lance-Williams updates.
 
@@ -71,7 +76,7 @@ def link(distances: np.ndarray, method: str) -> list[tuple[int, int, float, int]
     theirs, so work is about quadratic. A merged cluster takes the place of its right part.
     """
     n = len(distances)
-    work, size = distances.astype(float).copy(), np.ones(n)
+    work, size = settled(distances.astype(float)), np.ones(n)
     ids, open_ = np.arange(n), np.ones(n, bool)  # ids are also the order
     near, gap = np.full(n, -1), np.full(n, np.inf)
 
@@ -102,6 +107,7 @@ def link(distances: np.ndarray, method: str) -> list[tuple[int, int, float, int]
             row = np.sqrt(np.maximum(0, ((a + c) * to_a**2 + (b + c) * to_b**2 - c * d * d) / (a + b + c)))
         else:
             row = (a * to_a + b * to_b) / (a + b)
+        row = settled(row)
         work[j, rest] = work[rest, j] = row
         ids[j], size[j], open_[j], near[j], gap[j] = number, a + b, True, -1, np.inf
         lost = (near[rest] == i) | (near[rest] == j)

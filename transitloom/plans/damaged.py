@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,15 @@ from ..sources.scan import Archive
 from . import fixtures as fx
 from .base import DAY, query, r6, s6
 
-#: Which days are in which origin, and torn there; a day is told by its number.
-HELD = {"local_parquet": "day % 3 < 2", "jsonl": "day % 5 < 3", "history_parquet": "day % 7 < 5"}
-TORN = {"local_parquet": "day % 3 = 1", "history_parquet": "day % 7 = 4"}
+#: Of each origin: a modulus of the day's number, the remainders below which it holds the day, and the one at which it is torn.
+DAYS = {"local_parquet": (3, 2, 1), "jsonl": (5, 3, None), "history_parquet": (7, 5, 4)}
+HELD = {source: f"day % {modulus} < {below}" for source, (modulus, below, _) in DAYS.items()}
+TORN = {source: f"day % {modulus} = {at}" for source, (modulus, _, at) in DAYS.items() if at is not None}
 #: Files of a day, of which one is torn.
 PARTS = 2
 
 
 def _name(day: int, kind: str) -> str:
-    import datetime
-
     return f"{datetime.date(1970, 1, 1) + datetime.timedelta(day)}.{kind}"
 
 
@@ -57,7 +57,7 @@ def damaged_archive(spark: SparkSession, sf_dir: str) -> Archive:
     day = "(time_ms + 28800000) div 86400000 AS day"
     rows = fx.pos_sparse(spark, sf_dir).selectExpr("event_id", day, "bus_id", "route", "time_ms AS time", "lat", "lon", "speed")
     own = lambda source: rows.withColumn("feed_source", F.lit(source))
-    torn = lambda days, source: [d for d in days if eval(TORN[source].replace("day", str(d)).replace("=", "=="))]  # noqa: E731, S307
+    torn = lambda days, source: [d for d in days if d % DAYS[source][0] == DAYS[source][2]]
     local = _write_days(own("local_parquet"), HELD["local_parquet"], f"{folder}/data", "parquet")
     _tear(spark, f"{folder}/data", torn(local, "local_parquet"))
     # one line in eleven is cut

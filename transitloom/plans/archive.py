@@ -147,7 +147,7 @@ def k11f(spark, sf_dir):
     half = (pos.agg(F.max("tick_id")).first()[0] or 0) // 2
     pos.filter(F.col("tick_id") > half).write.parquet(f"{folder}/in")
     states = live.kalman_state(pos.filter(F.col("tick_id") <= half))
-    with keyed.with_rocksdb(spark):
+    with keyed.with_rocksdb(spark, pos.count()):
         out = live.kalman_stream(spark.readStream.schema(pos.schema).parquet(f"{folder}/in"), states)
         out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, speed_kalman double").parquet(f"{folder}/out").select("event_id", geo.round_half_up(F.col("speed_kalman"), 4).alias("speed_kalman"))
@@ -167,7 +167,7 @@ _BINS = "bus_id string, day long, bin int, raw double, corrected double, calc do
 def _live(spark, sf_dir, view, schema: str, keys: list[str], shift_ms: int) -> DataFrame:
     """A view's rows after the whole stream, each micro-batch of which read its own positions alone."""
     folder = _folder(spark)
-    with keyed.with_rocksdb(spark):
+    with keyed.with_rocksdb(spark, fx.pos_dense(spark, sf_dir).count()):
         _replay(spark, sf_dir, folder, lambda ticks: keyed.keep(view(ticks), f"{folder}/view", f"{folder}/log"), shift_ms)
     return keyed.newest(spark.read.schema(schema).parquet(f"{folder}/view"), keys)
 
@@ -201,7 +201,7 @@ def _resumed(spark, sf_dir, view, schema: str, by_day: bool = True, shift_ms: in
     half = (pos.agg(F.max("tick_id")).first()[0] or 0) // 2
     stored = pos.filter(F.col("tick_id") <= half)
     pos.filter(F.col("tick_id") > half).write.parquet(f"{folder}/in")
-    with keyed.with_rocksdb(spark):
+    with keyed.with_rocksdb(spark, pos.count()):
         ticks = spark.readStream.schema(pos.schema).parquet(f"{folder}/in")
         keyed.keep(view(ticks, stored), f"{folder}/view", f"{folder}/log", by_day).awaitTermination()
     return stored, spark.read.schema(schema).parquet(f"{folder}/view")

@@ -24,6 +24,9 @@ from ..operators.speeds import BIN_MS
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PARTITIONS = "spark.sql.shuffle.partitions"
+#: Positions for each state store, at least.
+STORE_ROWS = 2000
 #: How late a position may be for a live view; a day's state goes once its end is so long ago.
 LATE = "12 hours"
 #: Points of a trail.
@@ -33,14 +36,24 @@ _POINT = "time_ms long, event_id long, lat double, lon double, speed double"
 
 
 @contextmanager
-def with_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The session keeps streamed states in RocksDB meanwhile."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def with_rocksdb(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """The session keeps streamed states in RocksDB meanwhile.
+
+    A stream has as many state stores as partitions when it first starts, each with files of
+    its own; with the ``rows`` that are expected, there are no more than those give work to.
+    """
+    wanted = {_PROVIDER: _ROCKSDB}
+    if rows is not None:
+        most = int(spark.conf.get(_PARTITIONS))
+        wanted[_PARTITIONS] = str(min(most, max(4, -(-rows // STORE_ROWS))))
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def day_end_ms(day: int) -> int:

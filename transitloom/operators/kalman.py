@@ -26,7 +26,11 @@ State = tuple[float, float, float, float, float, float, float, int]
 
 
 def kalman_step(state: State | None, x: float, y: float, measured: float, dt: float) -> tuple[State | None, float]:
-    """The next state and the filtered speed in km/h."""
+    """The next state and the filtered speed in km/h.
+
+    The operations and their order are those of the SQL twin, to the last bit: a clamped speed is
+    150 km/h, and speeds of one decimal lie just on the limits that it is compared with.
+    """
     fresh = (FIRST_VARIANCE, 0.0, FIRST_VARIANCE)
     if state is None:
         return (x, y, 0.0, 0.0, *fresh, 0), measured
@@ -37,27 +41,31 @@ def kalman_step(state: State | None, x: float, y: float, measured: float, dt: fl
     if starts < STARTS:
         vx, vy = _clamped((x - sx) / dt, (y - sy) / dt)
         starts += 1
-    q = Q_HIGH if abs(measured - math.hypot(vx, vy) * 3.6) > Q_STEP_KMH else Q_LOW
+    q = Q_HIGH if abs(measured - _size(vx, vy) * 3.6) > Q_STEP_KMH else Q_LOW
     sx, sy = sx + vx * dt, sy + vy * dt
-    p11, p12, p22 = p11 + 2 * dt * p12 + dt * dt * p22 + q * dt**4 / 4, p12 + dt * p22 + q * dt**3 / 2, p22 + q * dt * dt
+    p11, p12, p22 = p11 + 2 * dt * p12 + dt * dt * p22 + q * dt * dt * dt * dt / 4, p12 + dt * p22 + q * dt * dt * dt / 2, p22 + q * dt * dt
     dx, dy = x - sx, y - sy
-    if math.hypot(dx, dy) > GATE_M:
-        return (sx, sy, vx, vy, p11, p12, p22, starts), math.hypot(vx, vy) * 3.6
+    if _size(dx, dy) > GATE_M:
+        return (sx, sy, vx, vy, p11, p12, p22, starts), _size(vx, vy) * 3.6
     spread = p11 + NOISE
     damp = FAR_GAIN if math.sqrt((dx * dx + dy * dy) / spread) > FAR_SIGMA else 1.0
     k1, k2 = damp * p11 / spread, damp * p12 / spread
     sx, sy = sx + k1 * dx, sy + k1 * dy
     vx, vy = _clamped(vx + k2 * dx, vy + k2 * dy)
     p11, p12, p22 = (1 - k1) * p11, (1 - k1) * p12, p22 - k2 * p12
-    speed = math.hypot(vx, vy) * 3.6
+    speed = _size(vx, vy) * 3.6
     if speed > WILD_KMH or 2 * (p11 + p22) > WILD_TRACE:
         return None, measured
     return (sx, sy, vx, vy, p11, p12, p22, starts), speed
 
 
+def _size(x: float, y: float) -> float:
+    return math.sqrt(x * x + y * y)
+
+
 def _clamped(vx: float, vy: float) -> tuple[float, float]:
-    size = math.hypot(vx, vy)
-    return (vx * MAX_MS / size, vy * MAX_MS / size) if size > MAX_MS else (vx, vy)
+    share = min(1.0, MAX_MS / max(_size(vx, vy), 1e-12))
+    return vx * share, vy * share
 
 
 def kalman_speed(rows: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def gridded(segs: DataFrame, reach: float) -> DataFrame:
 
 _BOX = [f"{end}_{c}" for end in ("lo", "hi") for c in ("lat", "lon")]
 _NEAR = "array<struct<perp:double,shape_id:string,cum:double>>"
-#: Bytes of a segment in a cell's row.
-SEGMENT_BYTES = 96
+#: Bytes of a segment in a cell's row, and of a vertex in its shape's.
+SEGMENT_BYTES, VERTEX_BYTES = 96, 48
 
 
 def shape_cells(shapes: DataFrame, reach: float, own_route: bool = True) -> DataFrame:
@@ -259,36 +259,55 @@ def snap_trail(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return rows.repartition("bus_id").sortWithinPartitions("bus_id", "tick_id", "event_id").mapInArrow(scan, "event_id long, source string, shape_id string, from_cum double, to_cum double")
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def slice_shape(vertices: Column, low: Column, high: Column) -> Column:
     """The part of a shape between two arc lengths, as points (lon, lat).
 
-    vertices: array<struct<cum, lon, lat>> in order. Ends are interpolated; vertices from
-    the second on with low <= cum < high lie between. Lengths outside are clamped.
+    vertices: array<struct<cum, lon, lat>> in order of cum. Ends are interpolated; vertices from
+    the second on with low <= cum < high lie between. Lengths outside are clamped. A row looks
+    over the vertices once for each end.
     """
     total = F.try_element_at(vertices, F.lit(-1))["cum"]
     a, b = F.greatest(F.lit(0.0), F.least(total, low)), F.greatest(F.lit(0.0), F.least(total, high))
     point = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    below = lambda d: F.size(F.filter(vertices, lambda v: v["cum"] < d))
 
-    def at(d: Column) -> Column:
+    def at(d: Column, under: Column) -> Column:
         # the first segment that ends at or past d
-        end = F.greatest(F.lit(2), F.least(F.size(vertices), F.size(F.filter(vertices, lambda v: v["cum"] < d)) + 1))
-        one, two = F.try_element_at(vertices, end - 1), F.try_element_at(vertices, end)
-        length = two["cum"] - one["cum"]
-        t = F.when(length > 0, (d - one["cum"]) / F.when(length > 0, length)).otherwise(0.0)
-        return point(one["lon"] + t * (two["lon"] - one["lon"]), one["lat"] + t * (two["lat"] - one["lat"]))
+        end = F.greatest(F.lit(2), F.least(F.size(vertices), under + 1))
+        segment = _let(end, lambda k: F.struct(F.try_element_at(vertices, k - 1).alias("one"), F.try_element_at(vertices, k).alias("two")))
+
+        def between(s: Column) -> Column:
+            one, two = s["one"], s["two"]
+            length = two["cum"] - one["cum"]
+            share = F.when(length > 0, (d - one["cum"]) / F.when(length > 0, length)).otherwise(0.0)
+            return _let(share, lambda t: point(one["lon"] + t * (two["lon"] - one["lon"]), one["lat"] + t * (two["lat"] - one["lat"])))
+
+        return _let(segment, between)
+
+    def cut(c: Column) -> Column:
+        start = F.greatest(F.lit(2), c["under_a"] + 1)
+        inner = F.transform(F.slice(vertices, start, F.greatest(F.lit(0), c["under_b"] - start + 1)), lambda v: point(v["lon"], v["lat"]))
+        return F.concat(F.array(at(c["a"], c["under_a"])), inner, F.array(at(c["b"], c["under_b"])))
 
-    inner = F.transform(F.filter(F.slice(vertices, 2, F.greatest(F.size(vertices), F.lit(1))), lambda v: (v["cum"] >= a) & (v["cum"] < b)), lambda v: point(v["lon"], v["lat"]))
-    return F.when((low <= high) & (F.size(vertices) > 1), F.concat(F.array(at(a)), inner, F.array(at(b))))
+    counted = _let(F.struct(a.alias("a"), b.alias("b")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), below(e["a"]).alias("under_a"), below(e["b"]).alias("under_b")))
+    return F.when((low <= high) & (F.size(vertices) > 1), _let(counted, cut))
 
 
 def trail_paths(trail: DataFrame, points: DataFrame, shapes: DataFrame) -> DataFrame:
     """The trail with ``path``: five-decimal points (lon, lat) along the shape or the chord, null in gaps."""
     vertices = shape_cumdist(shapes).groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("seq", "cum", "lon", "lat"))).alias("v"))
-    vertices = vertices.select("shape_id", F.transform("v", lambda x: F.struct(x["cum"], x["lon"], x["lat"])).alias("v"))
-    rows = trail.join(vertices, "shape_id", "left").join(pairs(points).drop("route"), "event_id")
+    vertices = written(vertices.select("shape_id", F.transform("v", lambda x: F.struct(x["cum"], x["lon"], x["lat"])).alias("v")), "vertices")
+    held = vertices.agg(F.sum(F.size("v"))).first()[0] or 0
+    vertices = F.broadcast(vertices) if held * VERTEX_BYTES <= BROADCAST_BYTES else vertices
+    # a shape's vertices come last, so that no shuffle of the trail carries them
+    rows = trail.join(pairs(points).drop("route"), "event_id").join(vertices, "shape_id", "left")
     low, high = F.least("from_cum", "to_cum"), F.greatest("from_cum", "to_cum")
-    along = slice_shape(F.col("v"), low, high)
-    along = F.when(F.col("from_cum") > F.col("to_cum"), F.reverse(along)).otherwise(along)
+    along = _let(slice_shape(F.col("v"), low, high), lambda p: F.when(F.col("from_cum") > F.col("to_cum"), F.reverse(p)).otherwise(p))
     chord = F.array(F.struct("lon", "lat"), F.struct(F.col("lon2").alias("lon"), F.col("lat2").alias("lat")))
     path = F.when(F.col("source") == "gap", None).when(F.col("source") == "fallback", chord).otherwise(along)
     rounded = F.transform(path, lambda p: F.struct(round_half_up(p["lon"], 5).alias("lon"), round_half_up(p["lat"], 5).alias("lat")))

@@ -11,7 +11,7 @@ from ..functions.timeparts import day_number, fractional_bucket, half_hour_bucke
 from ..runtime import if_small, written
 from .heatmap import recent_days
 
-MODEL_DAYS, SLOTS, JUMP_KM = 60, 48, 2.0
+MODEL_DAYS, JUMP_KM = 60, 2.0
 #: What a bus must show before its shape is learned.
 LEARN_DAYS, LEARN_POINTS, LEARN_SPREAD_M, M_PER_DEGREE = 3, 100, 200.0, 111000.0
 
@@ -36,32 +36,40 @@ def cross_day_model(positions: DataFrame, max_days: int = MODEL_DAYS) -> DataFra
     return found.select("tier", F.col("bus").alias("bus_id"), F.col("rt").alias("route"), "slot", "lat", "lon", "n")
 
 
+def _between_slots(model: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """(_k_<keys>, _k_lo, _<name>_lo, _<name>_hi): the typical positions of each slot and of the one after it."""
+    none = F.lit(None).cast("double")
+    end = lambda lo, hi: F.struct((F.col("slot") - F.lit(hi)).alias("at"), *[(F.col(c) if on else none).alias(f"{e}_{c}") for e, on in (("lo", lo), ("hi", hi)) for c in ("lat", "lon")])
+    rows = model.select(*[F.col(k.removeprefix("_")).alias(f"_k_{k}") for k in keys], F.explode(F.array(end(1, 0), end(0, 1))).alias("e"))
+    found = rows.groupBy(*[f"_k_{k}" for k in keys], F.col("e.at").alias("_k_lo")).agg(*[F.max(f"e.{e}_{c}").alias(f"{e}_{c}") for e in ("lo", "hi") for c in ("lat", "lon")])
+    place = lambda e: F.when(F.col(f"{e}_lat").isNotNull(), F.struct(F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")))
+    return found.select(*[f"_k_{k}" for k in keys], "_k_lo", *[place(e).alias(f"_{name}_{e}") for e in ("lo", "hi")])
+
+
 def adjust_positions(positions: DataFrame, model: DataFrame) -> DataFrame:
     """Rows with adj_lat, adj_lon and adj_source: raw near the typical position, else that; unchanged where there is none.
 
     The typical position lies between the centres of the slots before and after the time, of
     the bus on its route or else of the route; on unknown routes of the bus. Slots do not wrap
-    at midnight. The model is computed once, and its sides are broadcast where their counted
+    at midnight. The model is computed once, and a row meets one row of its bus and one of its
+    route, which hold the slots before and after alone; sides are broadcast where their counted
     rows are few.
     """
-    model = written(model, "cross-day-model")
     at = fractional_bucket(F.col("time_ms"))
     rows = positions.withColumn("_route", F.when(is_unknown_route(F.col("route")), "Unknown").otherwise(F.col("route")))
     rows = rows.withColumn("_lo", F.floor(at - 0.5).cast("int")).withColumn("_frac", at - (F.floor(at - 0.5) + 0.5))
-    for tier, keys in ((1, ("bus_id", "route")), (2, ("route",)), (3, ("bus_id",))):
-        # one row for each key, with all its slots: at most SLOTS of them
-        slots = F.map_from_entries(F.collect_list(F.struct("slot", F.struct("lat", "lon")))).alias(f"_slots{tier}")
-        side = written(model.filter(F.col("tier") == tier).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(slots), "typical-positions")
-        side = if_small(side, SLOTS * 32 + 64)
-        match = F.lit(True)
+    # a bus's cells of all routes stand for it on unknown ones, which have no cells of their own
+    model = model.withColumn("route", F.when(F.col("tier") == 3, "Unknown").otherwise(F.col("route")))
+    model = written(model.select("tier", "bus_id", "route", "slot", "lat", "lon"), "cross-day-model")
+    for name, tiers, keys in (("own", (1, 3), ("bus_id", "_route")), ("any", (2,), ("_route",))):
+        match = F.col("_lo") == F.col("_k_lo")
         for k in keys:
-            match &= F.col("_route" if k == "route" else k) == F.col(f"_k_{k}")
-        rows = rows.join(side, match, "left").drop(*[f"_k_{k}" for k in keys])
-    known = F.col("_route") != "Unknown"
-    for end, shift in (("lo", 0), ("hi", 1)):
-        of = lambda tier: F.try_element_at(f"_slots{tier}", F.col("_lo") + shift)  # noqa: B023, E731
-        rows = rows.withColumn(f"_at_{end}", F.when(known, F.coalesce(of(1), of(2))).otherwise(of(3)))
-    rows = rows.drop("_slots1", "_slots2", "_slots3")
+            match &= F.col(k) == F.col(f"_k_{k}")
+        side = if_small(written(_between_slots(model.filter(F.col("tier").isin(*tiers)), keys, name), "typical-positions"), 160)
+        rows = rows.join(side, match, "left").drop("_k_lo", *[f"_k_{k}" for k in keys])
+    for end in ("lo", "hi"):
+        rows = rows.withColumn(f"_at_{end}", F.coalesce(f"_own_{end}", f"_any_{end}"))
+    rows = rows.drop("_own_lo", "_own_hi", "_any_lo", "_any_hi")
     typical = lambda c: F.coalesce(F.col(f"_at_lo.{c}") * (1 - F.col("_frac")) + F.col(f"_at_hi.{c}") * F.col("_frac"), F.col(f"_at_lo.{c}"), F.col(f"_at_hi.{c}"))
     rows = rows.withColumn("_lat", typical("lat")).withColumn("_lon", typical("lon"))
     far = F.col("lat").isNull() | F.col("lon").isNull() | (haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) > JUMP_KM)

@@ -50,29 +50,33 @@ def anchors_of(partials: DataFrame) -> DataFrame:
 
 
 class RollingDays:
-    """Stored partials of each day of a folder: of positions for the cross-day model, of speeds for pooled anchors."""
+    """Stored partials of each day of a folder: of positions for the cross-day model, of speeds for pooled anchors.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._tables = [(Manifest(spark, f"{folder}/places"), place_partials, _PLACES), (Manifest(spark, f"{folder}/speeds"), speed_partials, _SPEEDS)]
+    ``kinds`` are those that are kept: a folder for the model alone has no need of medians of speeds.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("places", "speeds")) -> None:
+        made = {"places": (place_partials, _PLACES), "speeds": (speed_partials, _SPEEDS)}
+        self._tables = {kind: (Manifest(spark, f"{folder}/{kind}"), *made[kind]) for kind in kinds}
 
     def enter(self, positions: DataFrame) -> None:
         """Adds the days of these positions, or puts them in place of what was held; each day has to be whole."""
-        for table, partials, _ in self._tables:
+        for table, partials, _ in self._tables.values():
             run = table.new_run()
             made = partials(positions)
             made.write.partitionBy("day").parquet(run)
             held = made.sparkSession.read.schema("n long, day long").parquet(run).groupBy("day").agg(F.count("*").alias("rows")).orderBy("day").collect()
             table.publish([{"day": r.day, "path": f"{run.removeprefix(table.folder)[1:]}/day={r.day}", "rows": r.rows} for r in held])
 
-    def _latest(self, at: int, most: int) -> DataFrame:
-        table, _, schema = self._tables[at]
+    def _latest(self, kind: str, most: int) -> DataFrame:
+        table, _, schema = self._tables[kind]
         days = [r.day for r in table.entries().select("day").orderBy(F.desc("day")).limit(most).collect()]
         return table.read(schema, days)
 
     def model(self, most: int = MODEL_DAYS) -> DataFrame:
         """The cross-day model of the latest days held."""
-        return model_of(self._latest(0, most))
+        return model_of(self._latest("places", most))
 
     def anchors(self, most: int = 1 << 30) -> DataFrame:
         """The pooled anchors of the latest days held, all by default."""
-        return anchors_of(self._latest(1, most))
+        return anchors_of(self._latest("speeds", most))

@@ -13,8 +13,8 @@ from .base import ORACLES, query, r6
 from .scalars import modes
 
 
-def _rolled(spark, sf_dir) -> RollingDays:
-    held = RollingDays(spark, f"{shared_dir(spark)}/rolling-{uuid.uuid4().hex}")
+def _rolled(spark, sf_dir, kind: str) -> RollingDays:
+    held = RollingDays(spark, f"{shared_dir(spark)}/rolling-{uuid.uuid4().hex}", (kind,))
     rows = modes(spark, sf_dir).withColumn("_day", day_number(F.col("time_ms")))
     newest = rows.agg(F.max("_day")).first()[0] or 0
     held.enter(rows.filter(F.col("_day") < newest))
@@ -24,9 +24,9 @@ def _rolled(spark, sf_dir) -> RollingDays:
 
 @query("a3_rolling_anchors", ORACLES["a3_pooled_anchors"])
 def a3_rolling(spark, sf_dir):
-    return _rolled(spark, sf_dir).anchors().select("mode", r6("anchor"), "n")
+    return _rolled(spark, sf_dir, "speeds").anchors().select("mode", r6("anchor"), "n")
 
 
 @query("a4_rolling_model", ORACLES["a4_cross_day_model"])
 def a4_rolling(spark, sf_dir):
-    return _rolled(spark, sf_dir).model().select("tier", "bus_id", "route", "slot", r6("lat"), r6("lon"), "n")
+    return _rolled(spark, sf_dir, "places").model().select("tier", "bus_id", "route", "slot", r6("lat"), r6("lon"), "n")

@@ -110,18 +110,21 @@ def _folder(spark) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _replay(spark, sf_dir, folder: str, run, shift_ms: int = 0) -> None:
-    """Runs a stream over the dense positions once for each range of ticks, in their order, all times moved by shift_ms.
-
-    Positions are numbered and written once, dealt by tick and event. Each range is as many
-    files as it has tasks and is taken as one micro-batch; ranges widen with the history up to
-    MOST_TICKS, beyond which there are more of them.
-    """
+def _dense(spark, sf_dir, folder: str, shift_ms: int = 0) -> DataFrame:
+    """The dense positions, numbered and written once, dealt by tick and event, all times moved by shift_ms."""
     moved = fx.pos_dense(spark, sf_dir)
     if shift_ms:
         moved = moved.withColumn("time_ms", F.col("time_ms") + F.lit(shift_ms))
     moved.repartitionByRange("tick_id", "event_id").write.parquet(f"{folder}/dense")
-    pos = spark.read.parquet(f"{folder}/dense")
+    return spark.read.parquet(f"{folder}/dense")
+
+
+def _replay_rows(spark, pos: DataFrame, folder: str, run) -> None:
+    """Runs a stream over positions once for each range of ticks, in their order.
+
+    Each range is as many files as it has tasks and is taken as one micro-batch; ranges widen
+    with the history up to MOST_TICKS, beyond which there are more of them.
+    """
     last = pos.agg(F.max("tick_id")).first()[0] or 1
     width = min(max(LEAST_TICKS, -(-last // RANGES)), MOST_TICKS)
     for start in range(0, last, width):
@@ -129,6 +132,11 @@ def _replay(spark, sf_dir, folder: str, run, shift_ms: int = 0) -> None:
         run(spark.readStream.schema(pos.schema).parquet(f"{folder}/in")).awaitTermination()
 
 
+def _replay(spark, sf_dir, folder: str, run) -> None:
+    """Runs a stream over the dense positions, range by range."""
+    _replay_rows(spark, _dense(spark, sf_dir, folder), folder, run)
+
+
 @query("k2_kalman_stream", _KALMAN)
 def k2(spark, sf_dir):
     """The streamed filter over replayed positions."""
@@ -167,8 +175,9 @@ _BINS = "bus_id string, day long, bin int, raw double, corrected double, calc do
 def _live(spark, sf_dir, view, schema: str, keys: list[str], shift_ms: int) -> DataFrame:
     """A view's rows after the whole stream, each micro-batch of which read its own positions alone."""
     folder = _folder(spark)
-    with keyed.with_rocksdb(spark, fx.pos_dense(spark, sf_dir).count()):
-        _replay(spark, sf_dir, folder, lambda ticks: keyed.keep(view(ticks), f"{folder}/view", f"{folder}/log"), shift_ms)
+    pos = _dense(spark, sf_dir, folder, shift_ms)
+    with keyed.with_rocksdb(spark, pos.count()):
+        _replay_rows(spark, pos, folder, lambda ticks: keyed.keep(view(ticks), f"{folder}/view", f"{folder}/log"))
     return keyed.newest(spark.read.schema(schema).parquet(f"{folder}/view"), keys)
 
 

@@ -1,5 +1,7 @@
 """Live views from state kept by key: a micro-batch reads its own rows and the state of what they touch.
 
+The buses of a view are dealt to parts by a hash; a part's state is one value, its rows packed
+as Arrow, so a batch calls Python and the state store once for each part and not for each bus.
 Each view is a stream of changed rows with a ``version`` that grows; ``newest`` reads a sink's
 current rows. A new session starts from stored rows: a batch job takes the state off them and
 hands it over, without a bus's history ever being in one place. Sessions need the RocksDB
@@ -11,7 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -31,7 +35,8 @@ STORE_ROWS = 2000
 LATE = "12 hours"
 #: Points of a trail.
 POINTS = 20
-_SAMPLE = "time_ms long, event_id long, v double"
+#: Parts that the buses of a view are dealt to; a part's rows are one value of a state.
+PARTS = 256
 _POINT = "time_ms long, event_id long, lat double, lon double, speed double"
 
 
@@ -68,67 +73,97 @@ def middle(values: list[float]) -> float:
     return values[half] if len(values) % 2 else 0.5 * values[half - 1] + 0.5 * values[half]
 
 
-def _plain(value: object) -> object:
-    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream, the value of a state."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-class _Ring(StatefulProcessor):
-    """(day, route, hour, bus): its latest samples, and their median after each batch."""
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_pandas()
+
+
+class _Rows(StatefulProcessor):
+    """A part's rows as one value of its state, with a version that grows by one a batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getListState("ring", _SAMPLE)
-
-    def _keep(self, key: tuple, samples: list[tuple]) -> list[tuple]:
-        if not self.ring.exists():
+        self.rows = handle.getValueState("rows", "held binary, version long")
+
+    def held(self, key: tuple) -> tuple[list[pd.DataFrame], int]:
+        """The rows so far, none or one frame of them, and their version; a day's first rows set the timer of its end."""
+        if self.rows.exists():
+            held, version = self.rows.get()
+            return [_unpacked(held)], version
+        if self.by_day:
             self.handle.registerTimer(day_end_ms(key[0]))
-        held = sorted([*self.ring.get(), *samples])[-SAMPLES:]
-        self.ring.put(held)
-        return held
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows)
-        held = self._keep(key, list(zip(frame.time_ms.tolist(), frame.event_id.tolist(), frame.v.tolist(), strict=True)))
-        yield pd.DataFrame({"day": [key[0]], "route": [key[1]], "hour": [key[2]], "bus_id": [key[3]], "m": [middle([v for _, _, v in held])], "at": [frame["at"].max()]})
+        return [], 0
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self._keep(key, list(zip(initialState.time_ms.tolist(), initialState.event_id.tolist(), initialState.v.tolist(), strict=True)))
+    def put(self, rows: pd.DataFrame, version: int) -> None:
+        self.rows.update((_packed(rows), version))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.ring.clear()
+        self.rows.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _last(frames: list[pd.DataFrame], most: int) -> pd.DataFrame:
+    """The last rows of each bus, in time order."""
+    return pd.concat(frames, ignore_index=True).sort_values(["bus_id", "time_ms", "event_id"]).groupby("bus_id").tail(most)
+
+
+class _Ring(_Rows):
+    """(day, route, hour, part): the latest samples of its buses, and the median of each bus after each batch."""
+
+    by_day = True
+
+    def _keep(self, key: tuple, frames: list[pd.DataFrame]) -> pd.DataFrame:
+        held, version = self.held(key)
+        rings = _last([*held, *[f[["bus_id", "time_ms", "event_id", "v"]] for f in frames]], SAMPLES)
+        self.put(rings, version + 1)
+        return rings
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        medians = self._keep(key, frames).groupby("bus_id")["v"].median()
+        yield pd.DataFrame({"day": [key[0]], "route": [key[1]], "hour": [key[2]], "part": [key[3]], "medians": [medians.tolist()], "at": [max(f["at"].max() for f in frames)]})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self._keep(key, [initialState])
+
+
 class _Cell(StatefulProcessor):
-    """(day, route, hour): the median of each bus, and theirs after each batch."""
+    """(day, route, hour): the medians of each part's buses, and theirs after each batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buses = handle.getMapState("buses", "bus_id string", "m double")
+        self.parts = handle.getMapState("parts", "part int", "medians array<double>")
         self.version = handle.getValueState("version", "n long")
 
     def _put(self, key: tuple, frame: pd.DataFrame) -> None:
-        if not self.buses.exists():
+        if not self.parts.exists():
             self.handle.registerTimer(day_end_ms(key[0]))
-        for bus, m in zip(frame.bus_id, frame.m, strict=True):
-            self.buses.updateValue((bus,), (float(m),))
+        for part, medians in zip(frame.part, frame.medians, strict=True):
+            self.parts.updateValue((int(part),), ([float(m) for m in medians],))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         for frame in rows:
             self._put(key, frame)
         version = (self.version.get()[0] if self.version.exists() else 0) + 1
         self.version.update((version,))
-        medians = [v[0] for v in self.buses.values()]
+        medians = [m for v in self.parts.values() for m in v[0]]
         yield pd.DataFrame({"day": [key[0]], "route": [key[1]], "hour": [key[2]], "raw_value": [middle(medians)], "n": [len(medians)], "version": [version]})
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
         self._put(key, initialState)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.buses.clear()
+        self.parts.clear()
         self.version.clear()
         return iter([])
 
@@ -136,13 +171,18 @@ class _Cell(StatefulProcessor):
         pass
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """With the part of each row's bus."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("bus_id"), F.lit(PARTS)).cast("int"))
+
+
 def _samples(rows: DataFrame, mode: str) -> DataFrame:
     stamp = F.timestamp_millis(F.col("time_ms").cast("long")).alias("at")
     read = rows.select(day_number(F.col("time_ms")).cast("long").alias("day"), "route", local_hour(F.col("time_ms")).cast("int").alias("hour"), "bus_id", F.col("time_ms").cast("long").alias("time_ms"), F.col("event_id").cast("long").alias("event_id"), F.col(MODES[mode]).cast("double").alias("v"), stamp)
     return read.filter(plausible(F.col("v")) & F.col("bus_id").isNotNull())
 
 
-_RING, _CELL = ["day", "route", "hour", "bus_id"], ["day", "route", "hour"]
+_RING, _CELL, _PART = ["day", "route", "hour", "bus_id"], ["day", "route", "hour"], ["day", "route", "hour", "part"]
 
 
 def _shown(cells: DataFrame, mode: str) -> DataFrame:
@@ -166,48 +206,43 @@ def live_heatmap(ticks: DataFrame, mode: str = "raw", warm: DataFrame | None = N
 
     A bus's latest samples of a cell are a ring in state, so a cell's value is that of
     ``speed_heatmap`` over all rows so far, whatever their order. The buses of a route are
-    spread over tasks and a route's task gets one number of each that moved. A day's states go
+    dealt to parts that are spread over tasks, and a route's task gets the medians of each
+    part in which a bus moved. A day's states go
     when positions are ``late`` beyond its end, and what comes later still is left out. With
     ``warm``, from ``stored_rings``, the stream goes on from there.
     """
-    samples = _samples(ticks, mode).withWatermark("at", late)
+    samples = _dealt(_samples(ticks, mode)).withWatermark("at", late)
     start = medians = None
     if warm is not None:
-        start = warm.groupBy(*_RING)
-        medians = warm.groupBy(*_RING).agg(F.median("v").alias("m")).groupBy(*_CELL)
-    buses = samples.groupBy(*_RING).transformWithStateInPandas(_Ring(), "day long, route string, hour int, bus_id string, m double, at timestamp", "append", "eventtime", start, "at")
-    cells = buses.groupBy(*_CELL).transformWithStateInPandas(_Cell(), "day long, route string, hour int, raw_value double, n long, version long", "append", "eventtime", medians)
+        start = _dealt(warm).groupBy(*_PART)
+        medians = _dealt(warm.groupBy(*_RING).agg(F.median("v").alias("m"))).groupBy(*_PART).agg(F.collect_list("m").alias("medians")).groupBy(*_CELL)
+    parts = samples.groupBy(*_PART).transformWithStateInPandas(_Ring(), "day long, route string, hour int, part int, medians array<double>, at timestamp", "append", "eventtime", start, "at")
+    cells = parts.groupBy(*_CELL).transformWithStateInPandas(_Cell(), "day long, route string, hour int, raw_value double, n long, version long", "append", "eventtime", medians)
     return _shown(cells, mode)
 
 
-class _Trail(StatefulProcessor):
-    """A bus's last points, in time order, across absences and midnight."""
+class _Trail(_Rows):
+    """A part's last points of each bus, in time order, across absences and midnight."""
+
+    by_day = False
 
     def __init__(self, points: int) -> None:
         self.points = points
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.trail = handle.getListState("trail", _POINT)
-        self.version = handle.getValueState("version", "n long")
-
-    def _keep(self, frame: pd.DataFrame) -> list[tuple]:
-        new = [tuple(_plain(x) for x in row) for row in frame[["time_ms", "event_id", "lat", "lon", "speed"]].itertuples(index=False)]
-        held = sorted([*self.trail.get(), *new], key=lambda p: p[:2])[-self.points :]
-        self.trail.put(held)
-        return held
+    def _keep(self, key: tuple, frames: list[pd.DataFrame]) -> tuple[pd.DataFrame, int]:
+        held, version = self.held(key)
+        trails = _last([*held, *[f[["bus_id", "time_ms", "event_id", "lat", "lon", "speed"]] for f in frames]], self.points)
+        self.put(trails, version + 1)
+        return trails, version + 1
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = self._keep(pd.concat(rows))
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        columns = dict(zip(("time_ms", "event_id", "lat", "lon", "speed"), zip(*held, strict=True), strict=True))
-        yield pd.DataFrame({"bus_id": key[0], **columns, "version": version})
+        frames = list(rows)
+        trails, version = self._keep(key, frames)
+        moved = pd.concat([f["bus_id"] for f in frames]).unique()
+        yield trails[trails["bus_id"].isin(moved)].assign(version=version)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self._keep(initialState)
-
-    def close(self) -> None:
-        pass
+        self._keep(key, [initialState])
 
 
 def _points(rows: DataFrame) -> DataFrame:
@@ -223,43 +258,39 @@ def stored_trails(rows: DataFrame, points: int = POINTS) -> DataFrame:
 
 def live_trails(ticks: DataFrame, points: int = POINTS, warm: DataFrame | None = None) -> DataFrame:
     """A stream of the trails that changed, a row for each point: (bus_id, time_ms, event_id, lat, lon, speed, version)."""
-    return _points(ticks).groupBy("bus_id").transformWithStateInPandas(_Trail(points), f"bus_id string, {_POINT}, version long", "append", "none", warm.groupBy("bus_id") if warm is not None else None)
+    start = _dealt(warm).groupBy("part") if warm is not None else None
+    return _dealt(_points(ticks)).groupBy("part").transformWithStateInPandas(_Trail(points), f"bus_id string, {_POINT}, version long", "append", "none", start)
 
 
-class _Timeline(StatefulProcessor):
-    """(bus, day): sums and counts of each bin and mode."""
+_SUMS, _COUNTS = [f"s{k}" for k in range(len(MODES))], [f"c{k}" for k in range(len(MODES))]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.bins = handle.getMapState("bins", "bin int", "sums array<double>, counts array<long>, n long, version long")
-
-    def _add(self, key: tuple, frame: pd.DataFrame) -> dict[int, tuple]:
-        if not self.bins.exists():
-            self.handle.registerTimer(day_end_ms(key[1]))
-        touched: dict[int, tuple] = {}
-        for row in frame.itertuples(index=False):
-            number = (int(row.bin),)
-            sums, counts, n, version = touched.get(number[0]) or (self.bins.getValue(number) if self.bins.containsKey(number) else ([0.0] * len(MODES), [0] * len(MODES), 0, 0))
-            touched[number[0]] = ([a + b for a, b in zip(sums, row.sums, strict=True)], [int(a + b) for a, b in zip(counts, row.counts, strict=True)], int(n + row.n), int(version))
-        touched = {k: (sums, counts, n, version + 1) for k, (sums, counts, n, version) in touched.items()}
-        for k, value in touched.items():
-            self.bins.updateValue((k,), value)
-        return touched
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        touched = self._add(key, pd.concat(rows))
-        out = [(key[0], key[1], k, [s / c if c else None for s, c in zip(sums, counts, strict=True)], n, version) for k, (sums, counts, n, version) in touched.items()]
-        yield pd.DataFrame(out, columns=["bus_id", "day", "bin", "means", "n", "version"])
+class _Timeline(_Rows):
+    """(day, bin, part): sums and counts of each bus and mode."""
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self._add(key, initialState)
+    by_day = True
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.bins.clear()
-        return iter([])
+    def _add(self, key: tuple, frames: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, int]:
+        """All sums, whether each bus moved, and the version."""
+        held, version = self.held(key)
+        both = pd.concat([*held, *[f[["bus_id", *_SUMS, *_COUNTS, "n"]] for f in frames]], ignore_index=True)
+        codes, buses = pd.factorize(both["bus_id"])
+        sums, counts, moved = np.zeros((len(buses), len(_SUMS))), np.zeros((len(buses), len(_COUNTS) + 1), dtype="int64"), np.zeros(len(buses), dtype=bool)
+        np.add.at(sums, codes, both[_SUMS].to_numpy())
+        np.add.at(counts, codes, both[[*_COUNTS, "n"]].to_numpy())
+        moved[codes[sum(map(len, held)) :]] = True
+        bins = pd.DataFrame({"bus_id": buses, **dict(zip(_SUMS, sums.T, strict=True)), **dict(zip([*_COUNTS, "n"], counts.T, strict=True))})
+        self.put(bins, version + 1)
+        return bins, moved, version + 1
 
-    def close(self) -> None:
-        pass
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        bins, moved, version = self._add(key, list(rows))
+        out = bins[moved]
+        means = [[s / c if c else None for s, c in zip(*row, strict=True)] for row in zip(out[_SUMS].to_numpy().tolist(), out[_COUNTS].to_numpy().tolist(), strict=True)]
+        yield pd.DataFrame({"bus_id": out["bus_id"].to_numpy(), "day": key[0], "bin": key[1], "means": means, "n": out["n"].to_numpy(), "version": version})
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
+        self._add(key, [initialState])
 
 
 def _binned(rows: DataFrame) -> DataFrame:
@@ -281,6 +312,12 @@ def stored_bins(rows: DataFrame) -> DataFrame:
     return _binned(rows).groupBy("bus_id", "day", "bin").agg(of("sums"), of("counts"), F.sum("n").alias("n"))
 
 
+def _wide(bins: DataFrame) -> DataFrame:
+    """Sums and counts as a column each, and the part of each bus."""
+    of = lambda c, names: {name: F.col(c)[k] for k, name in enumerate(names)}
+    return _dealt(bins).withColumns(of("sums", _SUMS) | of("counts", _COUNTS)).drop("sums", "counts")
+
+
 def _means(rows: DataFrame, mean: Column) -> list[Column]:
     return [round_half_up(round_half_up(F.get(mean, F.lit(k)), 9), 2).alias(m) for k, m in enumerate(MODES)]
 
@@ -293,8 +330,8 @@ def stored_timeline(bins: DataFrame) -> DataFrame:
 
 def live_timeline(ticks: DataFrame, warm: DataFrame | None = None, late: str = LATE) -> DataFrame:
     """A stream of the bins that changed: (bus_id, day, bin, mode columns, n, version), as ``speed_timeline`` over all rows so far."""
-    keyed = _binned(ticks).withWatermark("at", late).groupBy("bus_id", "day")
-    start = warm.groupBy("bus_id", "day") if warm is not None else None
+    keyed = _wide(_binned(ticks)).withWatermark("at", late).groupBy("day", "bin", "part")
+    start = _wide(warm).groupBy("day", "bin", "part") if warm is not None else None
     bins = keyed.transformWithStateInPandas(_Timeline(), "bus_id string, day long, bin int, means array<double>, n long, version long", "append", "eventtime", start)
     return bins.select("bus_id", "day", "bin", *_means(bins, F.col("means")), "n", "version")
 

@@ -253,7 +253,7 @@ def k10(spark, sf_dir):
     folder = _folder(spark)
 
     def run(ticks):
-        twice = ticks.withColumn("at", F.timestamp_millis(F.col("time_ms"))).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        twice = ticks.select("bus_id", "tick_id", F.timestamp_millis(F.col("time_ms")).alias("at")).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
         once = live.without_repeats(twice, "at", "1 day")
         return once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
 

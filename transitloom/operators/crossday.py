@@ -2,38 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.labels import is_unknown_route
 from ..functions.timeparts import day_number, fractional_bucket, half_hour_bucket
-from ..runtime import if_small, written
+from ..runtime import BROADCAST_BYTES, if_small, written
 from .heatmap import recent_days
+from .scans import group_medians, key_starts
 
 MODEL_DAYS, JUMP_KM = 60, 2.0
 #: What a bus must show before its shape is learned.
 LEARN_DAYS, LEARN_POINTS, LEARN_SPREAD_M, M_PER_DEGREE = 3, 100, 200.0, 111000.0
+#: Bytes of a row of typical positions.
+TYPICAL_BYTES = 160
 
 
 def cross_day_model(positions: DataFrame, max_days: int = MODEL_DAYS) -> DataFrame:
-    """(tier, bus_id, route, slot, lat, lon, n): exact medians in three groupings over one scan.
+    """(tier, bus_id, route, slot, lat, lon, n): exact medians in three groupings.
 
     Tier 1 is by bus, route and slot, tier 2 by route and slot, both of known routes; tier 3
-    is by bus and slot of all rows. Only the latest days count.
+    is by bus and slot of all rows. Only the latest days count. One scan gives tiers 1 and 3,
+    a second one tier 2.
     """
     rows = positions.filter("lat is not null and lon is not null").withColumn("day", day_number(F.col("time_ms")))
     rows = rows.join(F.broadcast(recent_days(rows, max_days)), "day", "left_semi").withColumn("slot", half_hour_bucket(F.col("time_ms")))
-    none = F.lit(None).cast("string")
-    known = ~is_unknown_route(F.col("route"))
-    tiers = F.array(
-        F.when(known, F.struct(F.lit(1).alias("tier"), F.col("bus_id").alias("bus"), F.col("route").alias("rt"))),
-        F.when(known, F.struct(F.lit(2).alias("tier"), none.alias("bus"), F.col("route").alias("rt"))),
-        F.struct(F.lit(3).alias("tier"), F.col("bus_id").alias("bus"), none.alias("rt")),
-    )
-    keyed = rows.select(F.explode(F.filter(tiers, lambda t: t.isNotNull())).alias("k"), "slot", "lat", "lon")
-    found = keyed.groupBy("k.tier", "k.bus", "k.rt", "slot").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("n"))
-    return found.select("tier", F.col("bus").alias("bus_id"), F.col("rt").alias("route"), "slot", "lat", "lon", "n")
+    route = F.when(~is_unknown_route(F.col("route")), F.col("route"))
+    keyed = rows.select(F.col("bus_id").cast("string").alias("bus_id"), route.alias("route"), "slot", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon")])
+    return _of_buses(keyed).unionByName(_of_routes(keyed))
+
+
+def _of_buses(keyed: DataFrame) -> DataFrame:
+    """Tiers 1 and 3: a bus's slot is one stretch of a sorted scan, which holds no more than one such stretch and a batch."""
+
+    def medians(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        bus, route, slot, lat, lon = (c.combine_chunks() for c in rows.columns)
+        lat, lon = lat.to_numpy(zero_copy_only=False), lon.to_numpy(zero_copy_only=False)
+        for tier, keys in ((1, [bus, slot, route]), (3, [bus, slot])):
+            starts = key_starts(keys)
+            first = np.flatnonzero(starts)
+            n = np.diff(np.append(first, len(starts)))
+            at = pa.array(first)
+            routes = route.take(at) if tier == 1 else pa.nulls(len(at), pa.string())
+            found = pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tier, "int32")), bus.take(at), routes, slot.take(at), pa.array(group_medians(lat, starts)), pa.array(group_medians(lon, starts)), pa.array(n)], ["tier", "bus_id", "route", "slot", "lat", "lon", "n"])
+            yield found if tier == 3 else found.filter(found.column(2).is_valid())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+        for batch in filter(len, batches):
+            by = [batch.column(0), batch.column(2)]
+            starts = key_starts(by)
+            starts[0] = [c[0].as_py() for c in by] != own
+            own = [c[-1].as_py() for c in by]
+            cuts = np.flatnonzero(starts)
+            if len(cuts) and (held or cuts[-1]):
+                yield from medians([*held, batch.slice(0, cuts[-1])])
+                held = []
+            held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+        if held:
+            yield from medians(held)
+
+    sorted_rows = keyed.repartition("bus_id", "slot").sortWithinPartitions("bus_id", "slot", "route")
+    return sorted_rows.mapInArrow(scan, "tier int, bus_id string, route string, slot int, lat double, lon double, n long")
+
+
+def _of_routes(keyed: DataFrame) -> DataFrame:
+    """Tier 2: values are counted first, so that medians are taken of those that differ."""
+    each = keyed.filter("route is not null").select("route", "slot", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ("lat", "lon")])).alias("p"))
+    counted = each.groupBy("route", "slot", "p.c", "p.v").agg(F.count("*").alias("n"))
+    found = counted.groupBy("route", "slot").agg(*[F.percentile(F.when(F.col("c") == c, F.col("v")), F.lit(0.5), F.col("n")).alias(c) for c in ("lat", "lon")], F.sum(F.when(F.col("c") == "lat", F.col("n"))).alias("n"))
+    return found.select(F.lit(2).alias("tier"), F.lit(None).cast("string").alias("bus_id"), "route", "slot", "lat", "lon", "n")
 
 
 def _between_slots(model: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
@@ -65,7 +109,11 @@ def adjust_positions(positions: DataFrame, model: DataFrame) -> DataFrame:
         match = F.col("_lo") == F.col("_k_lo")
         for k in keys:
             match &= F.col(k) == F.col(f"_k_{k}")
-        side = if_small(written(_between_slots(model.filter(F.col("tier").isin(*tiers)), keys, name), "typical-positions"), 160)
+        cells = model.filter(F.col("tier").isin(*tiers))
+        side = _between_slots(cells, keys, name)
+        # there is a row for each cell at least: where cells are too many for a broadcast, rows are grouped as the join wants them
+        if cells.count() * TYPICAL_BYTES <= BROADCAST_BYTES:
+            side = if_small(written(side, "typical-positions"), TYPICAL_BYTES)
         rows = rows.join(side, match, "left").drop("_k_lo", *[f"_k_{k}" for k in keys])
     for end in ("lo", "hi"):
         rows = rows.withColumn(f"_at_{end}", F.coalesce(f"_own_{end}", f"_any_{end}"))

@@ -5,20 +5,20 @@ from __future__ import annotations
 import logging
 
 from py4j.protocol import Py4JError
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.labels import is_unknown_route
 from ..functions.timeparts import day_number
-from ..runtime import written
+from ..runtime import empty, if_small, written
 from ..sources.manifest import Manifest
 from . import crossday
 from .shapes import POINT_M, shape_cells, with_nearest, with_sticky
 
 #: Rows of a task and a file of a maintained day, about; a bus's day is in one of them.
 FILE_ROWS = 500_000
-_SNAPPED = ["adj_source", "snap_shape_id", "snap_cumdist"]
+_MADE = ["adj_source", "adj_lat", "adj_lon", "snap_shape_id", "snap_cumdist"]
 _LEARNED = "shape_id string, seq int, lat double, lon double, bus_id string"
 _OBSERVED = "bus_id string, time_ms long, lat double, lon double, day long"
 
@@ -31,7 +31,7 @@ def augmented(positions: DataFrame, model: DataFrame, shapes: DataFrame, learned
     neither is near. Each bus starts each ``day`` without a shape to stick to; ``order`` is
     that of its rows. A day is one task, or as many as its column ``pieces`` says, which goes.
     """
-    rows = crossday.adjust_positions(positions.drop(*_SNAPPED, "adj_lat", "adj_lon"), model).drop("adj_source")
+    rows = crossday.adjust_positions(positions.drop(*_MADE), model).drop("adj_source")
     rows = rows.withColumn("adj_lat", F.coalesce("adj_lat", "lat")).withColumn("adj_lon", F.coalesce("adj_lon", "lon"))
     own = F.when(is_unknown_route(F.col("route")), F.concat(F.lit("LRN_"), F.col("bus_id"))).otherwise(F.col("route"))
     # a learned shape is a route of its own, which only its bus is on
@@ -40,7 +40,7 @@ def augmented(positions: DataFrame, model: DataFrame, shapes: DataFrame, learned
     near = with_nearest(routed, shape_cells(network, POINT_M), POINT_M, lat="adj_lat", lon="adj_lon")
     rows = near.drop("route").withColumnRenamed("_route", "route")
     piece = F.pmod(F.hash("bus_id"), F.col(pieces)) if pieces else F.lit(0)
-    done = with_sticky(rows.withColumn("_piece", piece).drop(*[pieces] * bool(pieces)), ["day", "bus_id"], list(order), dealt_by=[F.col("day"), F.col("_piece")])
+    done = with_sticky(rows.withColumn("_piece", piece).drop(*[pieces] * bool(pieces)), ["bus_id", "day"], list(order), dealt_by=[F.col("day"), F.col("_piece")])
     return done.drop("_piece")
 
 
@@ -54,15 +54,15 @@ class Store:
     def read(self, name: str, schema: str) -> DataFrame:
         """The table, empty where it has not been written yet."""
         if not self.days.files.exists(f"{self.folder}/{name}"):
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, StructType.fromDDL(schema))
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
 
 def run_maintenance(positions: DataFrame, shapes: DataFrame, folder: str, today: int, order: tuple[str, ...] = ("time_ms",)) -> DataFrame:
     """Maintains the finished days of an archive in ``folder`` and returns the run's report, one row.
 
-    One projection of all days before ``today`` feeds the cross-day model and what is learned
-    of unknown routes. Buses that pass are published as shapes, and then the days that the
+    One projection of all days before ``today``, written once, feeds the cross-day model, what
+    is learned of unknown routes, and the days to come. Buses that pass are published as shapes, and then the days that the
     folder does not hold yet are augmented, written as Parquet, read back, and named in one
     commit of the folder's manifest where their rows are all there. A day that is short is
     held back for the next run, and so are all of a run whose commit fails. Days held are
@@ -72,18 +72,15 @@ def run_maintenance(positions: DataFrame, shapes: DataFrame, folder: str, today:
     """
     spark = positions.sparkSession
     store = Store(spark, folder)
-    past = positions.withColumn("day", day_number(F.col("time_ms")).cast("long")).filter(F.col("day") < today)
-    shared = past.select("bus_id", "route", "time_ms", "lat", "lon", "day").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = written(crossday.cross_day_model(shared.drop("day")), "model")
-        seen = store.read("observations", _OBSERVED)
-        learned = written(store.read("learned", _LEARNED), "learned")
-        new = crossday.new_unknown_observations(shared, seen, learned).select("bus_id", "time_ms", "lat", "lon", F.col("day").cast("long").alias("day"))
-        new = written(new, "observations")
-        new.write.mode("append").parquet(f"{store.folder}/observations")
-        days = written(shared.groupBy("day").agg(F.count("*").alias("had")), "days")
-    finally:
-        shared.unpersist()
+    past = positions.drop(*_MADE).withColumn("day", day_number(F.col("time_ms")).cast("long")).filter(F.col("day") < today)
+    past = written(past, "past")
+    model = written(crossday.cross_day_model(past.drop("day")), "model")
+    seen = store.read("observations", _OBSERVED)
+    learned = written(store.read("learned", _LEARNED), "learned")
+    new = crossday.new_unknown_observations(past, seen, learned).select("bus_id", "time_ms", "lat", "lon", F.col("day").cast("long").alias("day"))
+    new = written(new, "observations")
+    new.write.mode("append").parquet(f"{store.folder}/observations")
+    days = written(past.groupBy("day").agg(F.count("*").alias("had")), "days")
 
     unlearned = store.read("observations", _OBSERVED).join(learned.select("bus_id").distinct(), "bus_id", "left_anti")
     judged = written(crossday.promotion(unlearned, learned), "judged")
@@ -107,8 +104,11 @@ def _augment_days(past: DataFrame, days: DataFrame, model: DataFrame, shapes: Da
     wanted = written(missing.withColumn("pieces", F.ceil(F.col("had") / FILE_ROWS).cast("int")), "wanted")
     # a row a day: as many as the calendar has
     rows = past.join(F.broadcast(wanted.select("day", F.col("pieces").alias("_pieces"))), "day")
+    # the cells of a bus over all its routes are for rows without a route
+    riders = written(past.filter(is_unknown_route(F.col("route"))).select("bus_id").distinct(), "riders")
+    used = model.filter("tier <> 3").unionByName(model.filter("tier = 3").join(if_small(riders, 40), "bus_id", "left_semi").select(model.columns))
     staged = store.days.new_run()
-    ready = augmented(rows, model, shapes, store.read("learned", _LEARNED), order, "_pieces")
+    ready = augmented(rows, used, shapes, store.read("learned", _LEARNED), order, "_pieces")
     ready.write.partitionBy("day").parquet(staged)
     back = _read_back(store, staged)
     found = written(wanted.drop("pieces").join(back, "day", "left"), "verified")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..functions.geo import haversine, local_x, local_y, round_half_up
 from ..functions.speed import segment_class
 from ..runtime import BROADCAST_BYTES, written
+from .scans import key_starts
 
 #: Fixed values, in metres.
 POINT_M, OWN_ROUTE_M, STICKY_M, CHORD_M, BOX_PAD_DEG = 200.0, 400.0, 30.0, 3000.0, 200 / 111000
@@ -131,19 +133,36 @@ def with_sticky(rows: DataFrame, keys: list[str], order: list[str], near: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = None, None
-        for batch in batches:
-            ids, where = [], []
-            for *key, options in zip(*[batch.column(p).to_pylist() for p in places], batch.column(len(kept)).to_pylist(), strict=True):
-                if key != own:
-                    own, last = key, None
-                pick = None
-                if options:
-                    held = next((o for o in options if o["shape_id"] == last), None)
-                    pick = held if held and held["perp"] <= options[0]["perp"] + STICKY_M else options[0]
-                    last = pick["shape_id"]
-                ids.append(pick and pick["shape_id"])
-                where.append(pick and pick["cum"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(ids, pa.string()), pa.array(where, pa.float64())], [*kept, "snap_shape_id", "snap_cumdist"])
+        for batch in filter(len, batches):
+            by = [batch.column(p) for p in places]
+            options = batch.column(len(kept))
+            sizes = options.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            perps, shape_ids, cums = options.flatten().flatten()
+            perp = perps.to_numpy(zero_copy_only=False)
+            at, begin, some = np.arange(len(batch)), np.cumsum(sizes) - sizes, sizes > 0
+            of_row = np.repeat(at, sizes)
+            close = perp <= perp[begin[of_row]] + STICKY_M
+            picks = np.where(some, begin, -1)
+            starts = key_starts(by)
+            starts[0] = [c[0].as_py() for c in by] != own
+            # the rows of its key so far begin at ``since``, and the last of them with a shape is ``before``
+            since = np.maximum.accumulate(np.where(starts, at, -1))
+            matched = np.maximum.accumulate(np.where(some, at, -1))
+            before = np.append(-1, matched[:-1])
+            # only where two or more are close does the choice hang on the row before
+            for i in np.flatnonzero(np.bincount(of_row, close, len(batch)) > 1).tolist():
+                j = before[i]
+                held = shape_ids[picks[j]].as_py() if j >= max(since[i], 0) else None if since[i] >= 0 else last
+                if held is not None:
+                    same = next((k for k in range(begin[i], begin[i] + sizes[i]) if shape_ids[k].as_py() == held), None)
+                    picks[i] = same if same is not None and close[same] else begin[i]
+            own = [c[-1].as_py() for c in by]
+            if matched[-1] >= max(since[-1], 0):
+                last = shape_ids[picks[matched[-1]]].as_py()
+            elif since[-1] >= 0:
+                last = None
+            chosen = pa.array(picks, mask=picks < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], shape_ids.take(chosen), cums.take(chosen)], [*kept, "snap_shape_id", "snap_cumdist"])
 
     tracks = rows.select(*kept, F.array_sort(near).alias(near))
     schema = StructType([*rows.select(*kept).schema.fields, StructField("snap_shape_id", StringType()), StructField("snap_cumdist", DoubleType())])

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -50,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A table without rows, which no Python worker is asked for."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 #: Bytes that a broadcast table may hold; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 

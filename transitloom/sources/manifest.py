@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..runtime import empty
 from .folders import Files
 
 _ENTRY = "day long, path string, rows long"
@@ -36,7 +37,7 @@ class Manifest:
         """(day, path, rows): the newest entry of each day."""
         commits = [f"{self.folder}/log/{n}" for n in self._commits()]
         if not commits:
-            return self.spark.createDataFrame([], _ENTRY)
+            return empty(self.spark, StructType.fromDDL(_ENTRY))
         read = self.spark.read.schema(_ENTRY).json(commits).withColumn("commit", F.col("_metadata.file_name"))
         newest = F.max_by(F.struct("path", "rows"), "commit").alias("newest")
         return read.groupBy("day").agg(newest).select("day", "newest.*")
@@ -63,5 +64,5 @@ class Manifest:
         typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         whole = StructType([*[f for f in typed.fields if f.name not in ("day", "run")]]).add("run", "string").add("day", "long")
         if not paths:
-            return self.spark.createDataFrame([], whole).drop("run")
+            return empty(self.spark, whole).drop("run")
         return self.spark.read.schema(whole).option("basePath", f"{self.folder}/data").parquet(*paths).drop("run")

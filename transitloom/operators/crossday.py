@@ -23,15 +23,15 @@ LEARN_DAYS, LEARN_POINTS, LEARN_SPREAD_M, M_PER_DEGREE = 3, 100, 200.0, 111000.0
 TYPICAL_BYTES = 160
 
 
-def cross_day_model(positions: DataFrame, max_days: int = MODEL_DAYS) -> DataFrame:
+def cross_day_model(positions: DataFrame, max_days: int = MODEL_DAYS, days: DataFrame | None = None) -> DataFrame:
     """(tier, bus_id, route, slot, lat, lon, n): exact medians in three groupings.
 
     Tier 1 is by bus, route and slot, tier 2 by route and slot, both of known routes; tier 3
     is by bus and slot of all rows. Only the latest days count. One scan gives tiers 1 and 3,
-    a second one tier 2.
+    a second one tier 2. ``days`` holds each ``day`` with a place, where the caller knows them.
     """
     rows = positions.filter("lat is not null and lon is not null").withColumn("day", day_number(F.col("time_ms")))
-    rows = rows.join(F.broadcast(recent_days(rows, max_days)), "day", "left_semi").withColumn("slot", half_hour_bucket(F.col("time_ms")))
+    rows = rows.join(F.broadcast(recent_days(rows if days is None else days, max_days)), "day", "left_semi").withColumn("slot", half_hour_bucket(F.col("time_ms")))
     route = F.when(~is_unknown_route(F.col("route")), F.col("route"))
     keyed = rows.select(F.col("bus_id").cast("string").alias("bus_id"), route.alias("route"), "slot", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon")])
     return _of_buses(keyed).unionByName(_of_routes(keyed))
@@ -90,21 +90,22 @@ def _between_slots(model: DataFrame, keys: tuple[str, ...], name: str) -> DataFr
     return found.select(*[f"_k_{k}" for k in keys], "_k_lo", *[place(e).alias(f"_{name}_{e}") for e in ("lo", "hi")])
 
 
-def adjust_positions(positions: DataFrame, model: DataFrame) -> DataFrame:
+def adjust_positions(positions: DataFrame, model: DataFrame, stored: bool = False) -> DataFrame:
     """Rows with adj_lat, adj_lon and adj_source: raw near the typical position, else that; unchanged where there is none.
 
     The typical position lies between the centres of the slots before and after the time, of
     the bus on its route or else of the route; on unknown routes of the bus. Slots do not wrap
-    at midnight. The model is computed once, and a row meets one row of its bus and one of its
-    route, which hold the slots before and after alone; sides are broadcast where their counted
-    rows are few.
+    at midnight. The model is computed once, unless it is ``stored`` already, and a row meets one
+    row of its bus and one of its route, which hold the slots before and after alone; sides are
+    broadcast where their counted rows are few.
     """
     at = fractional_bucket(F.col("time_ms"))
     rows = positions.withColumn("_route", F.when(is_unknown_route(F.col("route")), "Unknown").otherwise(F.col("route")))
-    rows = rows.withColumn("_lo", F.floor(at - 0.5).cast("int")).withColumn("_frac", at - (F.floor(at - 0.5) + 0.5))
+    rows = rows.withColumn("_lo", F.floor(at - 0.5).cast("int"))
     # a bus's cells of all routes stand for it on unknown ones, which have no cells of their own
     model = model.withColumn("route", F.when(F.col("tier") == 3, "Unknown").otherwise(F.col("route")))
-    model = written(model.select("tier", "bus_id", "route", "slot", "lat", "lon"), "cross-day-model")
+    model = model.select("tier", "bus_id", "route", "slot", "lat", "lon")
+    model = model if stored else written(model, "cross-day-model")
     for name, tiers, keys in (("own", (1, 3), ("bus_id", "_route")), ("any", (2,), ("_route",))):
         match = F.col("_lo") == F.col("_k_lo")
         for k in keys:
@@ -117,7 +118,7 @@ def adjust_positions(positions: DataFrame, model: DataFrame) -> DataFrame:
         rows = rows.join(side, match, "left").drop("_k_lo", *[f"_k_{k}" for k in keys])
     for end in ("lo", "hi"):
         rows = rows.withColumn(f"_at_{end}", F.coalesce(f"_own_{end}", f"_any_{end}"))
-    rows = rows.drop("_own_lo", "_own_hi", "_any_lo", "_any_hi")
+    rows = rows.drop("_own_lo", "_own_hi", "_any_lo", "_any_hi").withColumn("_frac", at - (F.col("_lo") + 0.5))
     typical = lambda c: F.coalesce(F.col(f"_at_lo.{c}") * (1 - F.col("_frac")) + F.col(f"_at_hi.{c}") * F.col("_frac"), F.col(f"_at_lo.{c}"), F.col(f"_at_hi.{c}"))
     rows = rows.withColumn("_lat", typical("lat")).withColumn("_lon", typical("lon"))
     far = F.col("lat").isNull() | F.col("lon").isNull() | (haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) > JUMP_KM)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.labels import is_unknown_route
 from ..functions.timeparts import day_number
-from ..runtime import empty, if_small, written
+from ..runtime import batches_by_rows, empty, if_small, written
 from ..sources.manifest import Manifest
 from . import crossday
 from .shapes import POINT_M, shape_cells, with_nearest, with_sticky
@@ -28,10 +28,10 @@ def augmented(positions: DataFrame, model: DataFrame, shapes: DataFrame, learned
 
     Where no typical position is known the raw one stands. The adjusted position is held to the
     shapes of its route, on an unknown route to the bus's learned shape, and has no shape where
-    neither is near. Each bus starts each ``day`` without a shape to stick to; ``order`` is
+    neither is near. The model is a stored one. Each bus starts each ``day`` without a shape to stick to; ``order`` is
     that of its rows. A day is one task, or as many as its column ``pieces`` says, which goes.
     """
-    rows = crossday.adjust_positions(positions.drop(*_MADE), model).drop("adj_source")
+    rows = crossday.adjust_positions(positions.drop(*_MADE), model, stored=True).drop("adj_source")
     rows = rows.withColumn("adj_lat", F.coalesce("adj_lat", "lat")).withColumn("adj_lon", F.coalesce("adj_lon", "lon"))
     own = F.when(is_unknown_route(F.col("route")), F.concat(F.lit("LRN_"), F.col("bus_id"))).otherwise(F.col("route"))
     # a learned shape is a route of its own, which only its bus is on
@@ -74,18 +74,20 @@ def run_maintenance(positions: DataFrame, shapes: DataFrame, folder: str, today:
     store = Store(spark, folder)
     past = positions.drop(*_MADE).withColumn("day", day_number(F.col("time_ms")).cast("long")).filter(F.col("day") < today)
     past = written(past, "past")
-    model = written(crossday.cross_day_model(past.drop("day")), "model")
+    placed = F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    days = written(past.groupBy("day").agg(F.count("*").alias("had"), placed.alias("placed")), "days")
+    with batches_by_rows(spark):
+        model = written(crossday.cross_day_model(past, days=days.filter("placed > 0")), "model")
     seen = store.read("observations", _OBSERVED)
     learned = written(store.read("learned", _LEARNED), "learned")
     new = crossday.new_unknown_observations(past, seen, learned).select("bus_id", "time_ms", "lat", "lon", F.col("day").cast("long").alias("day"))
-    new = written(new, "observations")
+    observed = written(new.agg(F.count("*").alias("observations_written")), "observed")
     new.write.mode("append").parquet(f"{store.folder}/observations")
-    days = written(past.groupBy("day").agg(F.count("*").alias("had")), "days")
 
     unlearned = store.read("observations", _OBSERVED).join(learned.select("bus_id").distinct(), "bus_id", "left_anti")
     judged = written(crossday.promotion(unlearned, learned), "judged")
     shaped = crossday.publish_learned(learned, crossday.learned_shapes(unlearned, judged))
-    shaped = written(shaped.select("shape_id", "seq", "lat", "lon", F.expr("substr(shape_id, 5)").alias("bus_id")), "shaped")
+    shaped = shaped.select("shape_id", "seq", "lat", "lon", F.expr("substr(shape_id, 5)").alias("bus_id"))
     shaped.write.mode("append").parquet(f"{store.folder}/learned")
 
     done, short = _augment_days(past, days, model, shapes, store, order)
@@ -93,23 +95,24 @@ def run_maintenance(positions: DataFrame, shapes: DataFrame, folder: str, today:
     cells = model.agg(of(1).alias("bus_route_cells"), of(2).alias("route_cells"), of(3).alias("bus_cells"))
     added = done.agg(F.count("*").alias("days_augmented"), F.coalesce(F.sum("wrote"), F.lit(0)).alias("rows_converted"), F.coalesce(F.sum("snapped"), F.lit(0)).alias("rows_with_snap"))
     report = days.agg(F.coalesce(F.sum("had"), F.lit(0)).alias("scanned_rows"), F.count("*").alias("scanned_days"))
-    for part in (new.agg(F.count("*").alias("observations_written")), cells, crossday.promotion_report(judged), added, short.agg(F.count("*").alias("days_held_back"))):
+    for part in (observed, cells, crossday.promotion_report(judged), added, short.agg(F.count("*").alias("days_held_back"))):
         report = report.crossJoin(F.broadcast(part))  # single rows
     return report
 
 
 def _augment_days(past: DataFrame, days: DataFrame, model: DataFrame, shapes: DataFrame, store: Store, order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(day, had, wrote, snapped) of the days that were moved in, and of those held back."""
-    missing = days.join(crossday.days_missing(days, store.days.entries()), "day")
+    missing = days.select("day", "had").join(crossday.days_missing(days, store.days.entries()), "day")
     wanted = written(missing.withColumn("pieces", F.ceil(F.col("had") / FILE_ROWS).cast("int")), "wanted")
     # a row a day: as many as the calendar has
     rows = past.join(F.broadcast(wanted.select("day", F.col("pieces").alias("_pieces"))), "day")
     # the cells of a bus over all its routes are for rows without a route
     riders = written(past.filter(is_unknown_route(F.col("route"))).select("bus_id").distinct(), "riders")
-    used = model.filter("tier <> 3").unionByName(model.filter("tier = 3").join(if_small(riders, 40), "bus_id", "left_semi").select(model.columns))
+    used = model.join(if_small(riders.withColumn("_rides", F.lit(True)), 40), "bus_id", "left").filter("tier <> 3 OR _rides").select(model.columns)
     staged = store.days.new_run()
     ready = augmented(rows, used, shapes, store.read("learned", _LEARNED), order, "_pieces")
-    ready.write.partitionBy("day").parquet(staged)
+    with batches_by_rows(store.spark):
+        ready.write.partitionBy("day").parquet(staged)
     back = _read_back(store, staged)
     found = written(wanted.drop("pieces").join(back, "day", "left"), "verified")
     whole: Column = F.coalesce(F.col("wrote") == F.col("had"), F.lit(False))

@@ -164,7 +164,7 @@ def with_sticky(rows: DataFrame, keys: list[str], order: list[str], near: str =
             chosen = pa.array(picks, mask=picks < 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], shape_ids.take(chosen), cums.take(chosen)], [*kept, "snap_shape_id", "snap_cumdist"])
 
-    tracks = rows.select(*kept, F.array_sort(near).alias(near))
+    tracks = rows.select(*kept, F.sort_array(near).alias(near))
     schema = StructType([*rows.select(*kept).schema.fields, StructField("snap_shape_id", StringType()), StructField("snap_cumdist", DoubleType())])
     return tracks.repartition(*(dealt_by or keys)).sortWithinPartitions(*keys, *order).mapInArrow(scan, schema)
 

@@ -69,9 +69,20 @@ _LEARN = [
 _LEARN_RULE = "(b <> 13 OR day_no <= 19724) AND (b <> 14 OR event_id % 10 = 0)"
 
 
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).selectExpr("*", "u % 15 AS b", "(t + 28800000) div 86400000 AS day_no", "((t + 28800000) div 1800000) % 48 AS slot")
+
+
 def pos_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = _events(spark, sf_dir).selectExpr("*", "u % 15 AS b", "(t + 28800000) div 86400000 AS day_no", "((t + 28800000) div 1800000) % 48 AS slot")
-    return slots.filter(_LEARN_RULE).selectExpr("event_id", "b", "day_no", "slot", *_LEARN)
+    return _slots(spark, sf_dir).filter(_LEARN_RULE).selectExpr("event_id", "b", "day_no", "slot", *_LEARN)
+
+
+def pos_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of pos_sparse and those of pos_learn, as other buses under other ids: an event is parsed once for both."""
+    bus, route, *place = _SPARSE[:4]
+    rider = f"struct(event_id * 2 AS event_id, {bus}, {route}, t AS time_ms, {', '.join(place)})"
+    learner = f"struct(event_id * 2 + 1 AS event_id, 'L' || {', '.join(_LEARN)})"
+    return _slots(spark, sf_dir).selectExpr(f"inline(CASE WHEN {_LEARN_RULE} THEN array({rider}, {learner}) ELSE array({rider}) END)")
 
 
 POS_LEARN = f"{EVENTS_SQL}, slots AS (SELECT *, u % 15 AS b, (t + 28800000) // 86400000 AS day_no, ((t + 28800000) // 1800000) % 48 AS slot FROM ev), pos AS (SELECT event_id, b, day_no, slot, {_duck(', '.join(_LEARN))} FROM slots WHERE {_LEARN_RULE})"

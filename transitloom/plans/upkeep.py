@@ -27,10 +27,9 @@ _ALL = f"WITH RECURSIVE {_BOTH}, {_MODEL}, {_LEARNT}, {_NETWORK}, {_CUM}, {_ADJU
 
 def _maintained(spark, sf_dir):
     """The folder and the report of a first run."""
-    rows = fx.pos_sparse(spark, sf_dir).selectExpr("event_id * 2 AS event_id", "bus_id", "route", "time_ms", "lat", "lon")
-    learners = fx.pos_learn(spark, sf_dir).selectExpr("event_id * 2 + 1 AS event_id", "'L' || bus_id AS bus_id", "route", "time_ms", "lat", "lon")
-    both = rows.unionByName(learners)
-    today = both.agg(F.max(day_number(F.col("time_ms")))).first()[0] or 0
+    both = fx.pos_both(spark, sf_dir)
+    # each event is a rider's position at least, so the newest day needs their times alone
+    today = fx.pos_sparse(spark, sf_dir).agg(F.max(day_number(F.col("time_ms")))).first()[0] or 0
     folder = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     return folder, maintenance.run_maintenance(both, fx.shapes(spark), folder, today, ("time_ms", "event_id"))
 

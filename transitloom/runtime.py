@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,27 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+_BATCH_BYTES, _BATCH_ROWS = (f"spark.sql.execution.arrow.max{c}PerBatch" for c in ("Bytes", "Records"))
+#: Rows of a batch up to which their number bounds it; and the bytes that Spark takes for no bound.
+ROWS_ENOUGH, NO_BOUND = 10_000, 2**31 - 1
+
+
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python workers are bounded by their rows alone meanwhile, where the session has such a bound.
+
+    For a bound in bytes Spark adds up the sizes of all columns at each row, which for rows of a
+    dozen numbers and short strings costs more than to write them.
+    """
+    before = spark.conf.get(_BATCH_BYTES)
+    few = 0 < int(spark.conf.get(_BATCH_ROWS)) <= ROWS_ENOUGH
+    spark.conf.set(_BATCH_BYTES, str(NO_BOUND) if few else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
+
 #: Bytes that a broadcast table may hold; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
